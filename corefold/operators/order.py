@@ -61,5 +61,31 @@ def running_total(
     )
 
 
+def running_max(
+    df: DataFrame, keys: Sequence[str], order: Sequence, block: Column, value: Column, out: str
+) -> DataFrame:
+    """Largest ``value`` of the rows before each one, null for the first."""
+    keys = list(keys)
+    blocked = df.withColumn("_block", block).withColumn("_value", value)
+    earlier = (
+        Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    base = (
+        blocked.groupBy(*keys, "_block")
+        .agg(F.max("_value").alias("_m"))
+        .withColumn("_base", F.max("_m").over(earlier))
+        .drop("_m")
+    )
+    inner = (
+        Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    return (
+        blocked.withColumn("_local", F.max("_value").over(inner))
+        .join(base, [*keys, "_block"])
+        .withColumn(out, F.greatest("_local", "_base"))
+        .drop("_local", "_base", "_block", "_value")
+    )
+
+
 def blocks_of(column: Column, width: int) -> Column:
     return F.floor(column / F.lit(width))
