@@ -54,7 +54,7 @@ def _(t):
     "SELECT m.doc, m.idx, s.seg, s.label FROM mentions m JOIN segments s ON m.doc = s.doc",
 )
 def _(t):
-    return P.mention_action_pairs(t.mentions().select("doc", "idx"), t.segments().select("doc", "seg", "label"), block=64)
+    return P.mention_action_pairs(t.mentions().select("doc", "idx"), t.segments().select("doc", "seg", "label"))
 
 
 @query(
@@ -347,7 +347,7 @@ NULL_RULE = "SELECT doc, -1 AS i, idx AS j, tag NOT IN ('PRP', 'PRP$') AS matche
         ON a.doc = b.doc AND a.type = b.type AND a.kind = b.kind AND a.idx < b.idx UNION ALL {NULL_RULE}""",
 )
 def _(t):
-    cand = P.antecedent_candidates(t.mention_vectors(), ["doc", "type", "kind"], ["emb", "number", "tag"])
+    cand = P.antecedent_candidates(unit_vectors(t), ["doc", "type", "kind"], ["emb", "number", "tag"])
     return cand.select("doc", "i", "j", P.match_semantic(0.1).alias("matched"))
 
 
@@ -490,6 +490,10 @@ def _(t):
     )
 
 
+def unit_vectors(t):
+    return t.mention_vectors().withColumn("emb", V.unit(F.col("emb")))
+
+
 VECTOR_PAIRS = "mention_vectors a JOIN mention_vectors b ON a.doc = b.doc AND a.lemma = b.lemma AND a.idx < b.idx"
 
 
@@ -628,7 +632,7 @@ def _(t):
     f"SELECT a.doc, a.idx AS i, b.idx AS j, (a.lemma = b.lemma)::INT::DOUBLE AS same_lemma, round({COSINE.format('a.emb', 'b.emb')}, 6) AS cosine FROM mention_vectors a JOIN mention_vectors b ON a.doc = b.doc AND a.sent = b.sent AND a.idx < b.idx",
 )
 def _(t):
-    pairs = P.mention_pairs(t.mention_vectors(), ["doc", "sent"], ["lemma", "emb"])
+    pairs = P.mention_pairs(unit_vectors(t), ["doc", "sent"], ["lemma", "emb"])
     f = V.pair_features(F.col("a_lemma"), F.col("b_lemma"), F.col("a_emb"), F.col("b_emb"))
     return pairs.select("doc", "i", "j", f.alias("f")).select("doc", "i", "j", F.col("f")[0].alias("same_lemma"), F.round(F.col("f")[1], 6).alias("cosine"))
 
@@ -699,7 +703,7 @@ SEG_MEMBERS = """members AS (SELECT s.doc, s.seg, s.label, f.fidx, f.emb, row_nu
 
 
 def _members(t):
-    found = M.frames_in_segment(M.annotation_frames(t.segments()).select("doc", "seg", "f0", "f1", "label"), t.frames().drop("label"))
+    found = M.frames_in_segment(M.annotation_frames(t.segments()).select("doc", "seg", "f0", "f1", "label"), t.frames().drop("label"), "label")
     return order.number_rows(found, ["doc", "seg"], ["fidx"], order.blocks_of(F.col("fidx"), 65536), "pos")
 
 

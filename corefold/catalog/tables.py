@@ -42,7 +42,8 @@ def stored(build):
         key = (self.spark.sparkContext.applicationId, self.folder, build.__name__)
         if key not in _STORED:
             path = fresh_path(self.spark, build.__name__)
-            build(self).write.parquet(path)
+            parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism)
+            build(self).repartition(parts).write.parquet(path)
             _STORED[key] = path
         return self.spark.read.parquet(_STORED[key])
 

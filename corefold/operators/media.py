@@ -36,10 +36,10 @@ def annotation_frames(segments: DataFrame, n_frames: int = 100) -> DataFrame:
     )
 
 
-def frames_in_segment(segments: DataFrame, frames: DataFrame) -> DataFrame:
+def frames_in_segment(segments: DataFrame, frames: DataFrame, *carry: str) -> DataFrame:
     """Frames with f0 <= frame <= f1. A video has a fixed number of frame slots,
     so a segment lists its slots and the join is an equi join."""
-    slots = segments.select("doc", "seg", F.explode(F.sequence("f0", "f1")).alias("frame"))
+    slots = segments.select("doc", "seg", *carry, F.explode(F.sequence("f0", "f1")).alias("frame"))
     return slots.join(frames, ["doc", "frame"])
 
 
@@ -180,11 +180,11 @@ def merge_segments_by_label(members: DataFrame, limit: int = 30) -> DataFrame:
     own = Window.partitionBy("doc", "label", "seg").orderBy("fidx")
     first = members.withColumn("_r", F.row_number().over(own)).filter(F.col("_r") <= limit).drop("_r")
     sizes = first.groupBy("doc", "label", "seg").agg(F.count("*").alias("_n"))
-    before = order.running_total(sizes, ["doc", "label"], ["seg"], order.blocks_of(F.col("seg"), 4096), F.col("_n"), "_base")
+    before = order.running_total(sizes, ["doc", "label"], ["seg"], order.blocks_of(F.col("seg"), 4096), F.col("_n"), "_sofar")
     return (
-        first.join(before.filter(F.col("_base") < limit).select("doc", "label", "seg", "_base"), ["doc", "label", "seg"])
-        .withColumn("row", F.row_number().over(own) + F.col("_base") - 1)
-        .filter(F.col("row") < limit).drop("_base")
+        first.join(before.filter(F.col("_sofar") < limit).select("doc", "label", "seg", "_sofar"), ["doc", "label", "seg"])
+        .withColumn("row", F.row_number().over(own) + F.col("_sofar") - 1)
+        .filter(F.col("row") < limit).drop("_sofar")
     )
 
 
@@ -198,7 +198,7 @@ def align_mean_actions(mentions: DataFrame, actions: DataFrame, dim: int) -> Dat
 
     def part(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if l.empty or r.empty:
-            return pd.DataFrame({"doc": [], "idx": [], "n": [], "s": []})
+            return pd.DataFrame()
         actions_ = _matrix(r["emb"])
         mask = (_matrix(l["emb"]) @ actions_.T > 0).astype(float)
         return pd.DataFrame({"doc": l["doc"], "idx": l["idx"], "n": mask.sum(axis=1), "s": list(mask @ actions_)})
@@ -226,7 +226,7 @@ def matchmap_similarity(tokens: DataFrame, regions: DataFrame, how: str) -> Data
 
     def best(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if l.empty or r.empty:
-            return pd.DataFrame({"doc": [], "row": [], "best": []})
+            return pd.DataFrame()
         products = _matrix(l["emb"]) @ _matrix(r["emb"]).T
         rows = l["idx"] if side == 0 else r["fidx"]
         return pd.DataFrame({"doc": l["doc"].iloc[0], "row": rows.to_numpy(), "best": products.max(axis=1 - side)})
@@ -236,13 +236,24 @@ def matchmap_similarity(tokens: DataFrame, regions: DataFrame, how: str) -> Data
 
 
 def attention_rows(mentions: DataFrame, actions: DataFrame) -> DataFrame:
-    """Softmax over the actions of a document of each mention's dot products."""
-    from corefold.operators.pairs import mention_action_pairs
+    """Softmax over the actions of a document of each mention's dot products.
 
-    scored = mention_action_pairs(
-        mentions.select("doc", "idx", F.col("emb").alias("_m")), actions.select("doc", "fidx", F.col("emb").alias("_a")),
-        action_index="fidx",
-    ).select("doc", "idx", "fidx", V.dot(F.col("_m"), F.col("_a")).alias("s"))
+    Blocks give the products; the normaliser is aggregated per mention and joined
+    back, so a document with many actions is not one group."""
+
+    def products(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if l.empty or r.empty:
+            return pd.DataFrame()
+        dots = _matrix(l["emb"]) @ _matrix(r["emb"]).T
+        return pd.DataFrame(
+            {
+                "doc": l["doc"].iloc[0], "idx": np.repeat(l["idx"].to_numpy(), len(r)),
+                "fidx": np.tile(r["fidx"].to_numpy(), len(l)), "s": dots.ravel(),
+            }
+        )
+
+    sides = mentions.select("doc", "idx", "emb"), actions.select("doc", "fidx", "emb")
+    scored = block_scores(*sides, ["doc"], "idx", "fidx", products, "doc long, idx long, fidx long, s double")
     peaks = scored.groupBy("doc", "idx").agg(F.max("s").alias("_peak"))
     shifted = scored.join(peaks, ["doc", "idx"]).withColumn("_e", F.exp(F.col("s") - F.col("_peak")))
     totals = shifted.groupBy("doc", "idx").agg(F.sum("_e").alias("_t"))
@@ -269,11 +280,12 @@ def fuse_scores(trigger: Column, visual: Column | None, argument: Column, weight
 def max_abs_cosine_mean(pairs: DataFrame, token_vecs: DataFrame) -> DataFrame:
     """Mean over the tokens of j of the best |cos| with the tokens of i; 1 for the
     null candidate. ``token_vecs`` is (doc, idx, tid, emb)."""
-    a = token_vecs.select("doc", F.col("idx").alias("i"), F.col("emb").alias("_a"))
-    b = token_vecs.select("doc", F.col("idx").alias("j"), "tid", F.col("emb").alias("_b"))
+    units = token_vecs.withColumn("emb", V.unit(F.col("emb")))
+    a = units.select("doc", F.col("idx").alias("i"), F.col("emb").alias("_a"))
+    b = units.select("doc", F.col("idx").alias("j"), "tid", F.col("emb").alias("_b"))
     real = (
         pairs.filter("i >= 0").select("doc", "i", "j").join(a, ["doc", "i"]).join(b, ["doc", "j"])
-        .groupBy("doc", "i", "j", "tid").agg(F.max(V.abs_cosine(F.col("_a"), F.col("_b"))).alias("_best"))
+        .groupBy("doc", "i", "j", "tid").agg(F.max(F.abs(V.dot(F.col("_a"), F.col("_b")))).alias("_best"))
         .groupBy("doc", "i", "j").agg(F.avg("_best").alias("sim"))
     )
     null = pairs.filter("i < 0").select("doc", "i", "j", F.lit(1.0).alias("sim"))

@@ -146,8 +146,8 @@ def _null_rule() -> Column:
 
 def match_semantic(similarity: float = 0.5) -> Column:
     """Over candidates keyed by type: cosine and number agree; the null candidate
-    is accepted unless the mention is a pronoun."""
-    real = (V.abs_cosine(F.col("a_emb"), F.col("b_emb")) > similarity) & X.number_match(F.col("a_number"), F.col("b_number"))
+    is accepted unless the mention is a pronoun. Vectors are of unit length."""
+    real = (F.abs(V.dot(F.col("a_emb"), F.col("b_emb"))) > similarity) & X.number_match(F.col("a_number"), F.col("b_number"))
     return F.when(F.col("i") < 0, _null_rule()).otherwise(real)
 
 

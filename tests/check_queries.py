@@ -67,7 +67,6 @@ def main():
     folder = f"/root/testdata/sf{sf}"
     spark = local_session("8")
     spark.sparkContext.setLogLevel("ERROR")
-    spark.conf.set("spark.ui.showConsoleProgress", "false")
     con = duck(folder)
     oracles = entry.oracle_sql()
     bad = 0
