@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corefold.catalog.pairs_and_media import QUERY_V, _entities
 from corefold.catalog.registry import query
+from corefold.catalog.tables import six_digits
 from corefold.operators import counts as C
 from corefold.operators import media as M
 from corefold.operators import ranking as R
@@ -116,7 +117,7 @@ CONFUSION = f"""{DATASETS}, cf AS (SELECT a.type AS type1, b.type AS type2, coun
 
 @query("agg10_type_confusion", f"WITH {CONFUSION} SELECT type1, type2, n, round(n / sum(n) OVER (PARTITION BY type1), 6) AS share FROM cf")
 def _(t):
-    return C.type_confusion(_datasets(t), "even", "odd").withColumn("share", F.round("share", 6))
+    return C.type_confusion(_datasets(t), "even", "odd").withColumn("share", six_digits("share"))
 
 
 @query("agg11_confusion_order")
@@ -150,7 +151,7 @@ def _(t):
     results = t.read("lineitem").groupBy((F.col("l_linenumber") % 4).alias("seed"), F.col("l_returnflag").alias("metric")).agg(
         F.avg(F.col("l_discount") * F.col("l_quantity")).alias("value")
     )
-    return C.seed_summary(results, ["metric"]).select("metric", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"))
+    return C.seed_summary(results, ["metric"]).select("metric", six_digits("mean").alias("mean"), six_digits("deviation").alias("deviation"))
 
 
 @query(
@@ -178,7 +179,7 @@ def _(t):
     results = t.read("lineitem").select(
         (F.col("l_suppkey") % 5).alias("n_clusters"), F.col("l_returnflag").alias("metric"), (F.col("l_discount") * F.col("l_quantity")).alias("value")
     )
-    return C.score_by_cluster_count(results).withColumn("value", F.round("value", 6))
+    return C.score_by_cluster_count(results).withColumn("value", six_digits("value"))
 
 
 SCORED = "cand AS (SELECT a.doc, a.idx AS i, b.idx AS j, (length(a.tok) * 7 + length(b.tok) * 3 + a.type) % 11 / 10.0::DOUBLE AS score FROM mentions a JOIN mentions b ON a.doc = b.doc AND a.lemma = b.lemma AND a.idx < b.idx UNION ALL SELECT doc, -1, idx, 0.35::DOUBLE FROM mentions)"
@@ -194,7 +195,7 @@ def scored_candidates(t):
 
 @query("win01_rank_antecedents", f"WITH {SCORED} SELECT doc, j AS idx, i AS antecedent, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc, j ORDER BY score DESC, i) AS r FROM cand) WHERE r = 1")
 def _(t):
-    return R.rank_antecedents(scored_candidates(t)).withColumn("score", F.round("score", 6))
+    return R.rank_antecedents(scored_candidates(t)).withColumn("score", six_digits("score"))
 
 
 RETRIEVAL = f"""tv AS ({QUERY_V}), fv AS ({QUERY_V.replace('FROM (SELECT doc, emb FROM vectors)', 'FROM (SELECT doc, emb FROM frames)')}),
@@ -215,14 +216,14 @@ def _top(rows, key, order):
 def _(t):
     text, video = _sides(t)
     top = R.retrieve_topk(text.select(F.col("doc").alias("q"), "emb"), video.select(F.col("doc").alias("g"), "emb"), 10, block=64)
-    return top.withColumn("score", F.round("score", 6))
+    return top.withColumn("score", six_digits("score"))
 
 
 @query("win02_topk_retrieval_reverse", f"WITH {RETRIEVAL} {_top('(SELECT g AS q, q AS g, score FROM sc)', 'q', 'g')}")
 def _(t):
     text, video = _sides(t)
     top = R.retrieve_topk(video.select(F.col("doc").alias("q"), "emb"), text.select(F.col("doc").alias("g"), "emb"), 10)
-    return top.withColumn("score", F.round("score", 6))
+    return top.withColumn("score", six_digits("score"))
 
 
 @query("win03_top_pairs_per_doc", f"WITH {SCORED} SELECT doc, i, j, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score DESC, j, i) AS rank FROM cand WHERE i >= 0) WHERE rank <= 20")
@@ -247,7 +248,7 @@ def _(t):
     counts = named.groupBy("src", "tgt").agg(F.sum("score").alias("count"))
     totals = counts.groupBy("src").agg(F.sum("count").alias("_t"))
     table = counts.join(totals, "src").withColumn("p", F.when(F.col("_t") != 0, F.col("count") / F.col("_t"))).drop("_t")
-    return R.top_translations(table, 50, 5).select("src", "tgt", F.round("p", 6).alias("p"), "rank")
+    return R.top_translations(table, 50, 5).select("src", "tgt", six_digits("p").alias("p"), "rank")
 
 
 @query("win05_top_tables", "SELECT lemma AS \"table\", count(*) AS n FROM mentions GROUP BY lemma ORDER BY n DESC, lemma LIMIT 10")
@@ -310,7 +311,7 @@ def labelled(t):
 
 
 def _rounded(df):
-    return df.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in df.dtypes])
+    return df.select(*[six_digits(c).alias(c) if t == "double" else c for c, t in df.dtypes])
 
 
 @query("met01_pairwise_prf", f"WITH {PAIRS} SELECT {PRF} FROM (SELECT {COUNTS} FROM prs)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corefold.catalog.registry import query
-from corefold.catalog.tables import VARIANCE
+from corefold.catalog.tables import six_digits
 from corefold.functions import text as X
 from corefold.functions import vectors as V
 from corefold.operators import media as M
@@ -18,8 +18,8 @@ def shape(vector: str = "emb"):
     """A vector as four comparable columns."""
     v = F.col(vector)
     return [
-        F.size(v).alias("n"), F.round(F.element_at(v, 1), 6).alias("first"),
-        F.round(F.element_at(v, -1), 6).alias("last"), F.round(V.vsum(v), 6).alias("total"),
+        F.size(v).alias("n"), six_digits(F.element_at(v, 1)).alias("first"),
+        six_digits(F.element_at(v, -1)).alias("last"), six_digits(V.vsum(v)).alias("total"),
     ]
 
 
@@ -136,7 +136,7 @@ def _(t):
     role_ids = t.spark.createDataFrame([("Agent", 0), ("Patient", 1)], "role string, role_id long")
     keyed = t.arguments().withColumn("frame", F.col("a_start") % 100)
     return M.keyframe_arguments(keyed, t.frames(), entity_ids, role_ids).select(
-        "doc", "e_idx", "a_idx", "entity_id", "role_id", F.round(F.element_at("emb", 1), 6).alias("first")
+        "doc", "e_idx", "a_idx", "entity_id", "role_id", six_digits(F.element_at("emb", 1)).alias("first")
     )
 
 
@@ -164,7 +164,7 @@ def _boxes(t):
 def _(t):
     boxes = _boxes(t)
     found = M.box_overlap_join(boxes.filter("side = 1"), boxes.filter("side = 0"), 0.2, cell=16.0)
-    return found.withColumn("overlap", F.round("overlap", 6))
+    return found.withColumn("overlap", six_digits("overlap"))
 
 
 @query(
@@ -174,7 +174,7 @@ def _(t):
 def _(t):
     window = [F.lit(10.0), F.lit(10.0), F.lit(40.0), F.lit(40.0)]
     overlap = M.hull_overlap([F.col(c) for c in M.BOX], window)
-    return _boxes(t).select("doc", "box", F.round(overlap, 6).alias("overlap"))
+    return _boxes(t).select("doc", "box", six_digits(overlap).alias("overlap"))
 
 
 @query(
@@ -484,7 +484,7 @@ def _(t):
     events = t.mention_vectors().filter("kind = 'event'").join(listed, ["doc", "idx"], "left").join(seen, "doc", "left")
     types = F.array_join(F.transform("_a", lambda a: a["entity_type"]), ",")
     return events.select(
-        "doc", "idx", "lemma", "number", "mtype", F.round(V.vsum(F.col("emb")), 6).alias("total"),
+        "doc", "idx", "lemma", "number", "mtype", six_digits(V.vsum(F.col("emb"))).alias("total"),
         F.coalesce(F.size("_a"), F.lit(0)).alias("n_arguments"), F.coalesce(types, F.lit("")).alias("argument_types"),
         (F.col("_seen").isNotNull() & (F.col("type") < 2)).alias("is_visual"),
     )
@@ -503,7 +503,7 @@ def _lemma_pairs(t, *carry):
 
 @query("fun01_abs_cosine", f"SELECT a.doc, a.idx AS i, b.idx AS j, round({COSINE.format('a.emb', 'b.emb')}, 6) AS c FROM {VECTOR_PAIRS}")
 def _(t):
-    return _lemma_pairs(t, "emb").select("doc", "i", "j", F.round(V.abs_cosine(F.col("a_emb"), F.col("b_emb")), 6).alias("c"))
+    return _lemma_pairs(t, "emb").select("doc", "i", "j", six_digits(V.abs_cosine(F.col("a_emb"), F.col("b_emb"))).alias("c"))
 
 
 @query(
@@ -511,7 +511,7 @@ def _(t):
     f"SELECT a.doc, a.idx AS i, b.idx AS j, round(levenshtein(a.tok, b.tok)::DOUBLE / greatest(length(a.tok), length(b.tok)), 6) AS d FROM {SAME_LEMMA}",
 )
 def _(t):
-    return _lemma_pairs(t, "tok").select("doc", "i", "j", F.round(X.edit_ratio(F.col("a_tok"), F.col("b_tok")), 6).alias("d"))
+    return _lemma_pairs(t, "tok").select("doc", "i", "j", six_digits(X.edit_ratio(F.col("a_tok"), F.col("b_tok"))).alias("d"))
 
 
 @query(
@@ -562,7 +562,7 @@ def _(t):
     rows = t.vectors().select("doc", "idx", V.softmax(F.col("emb")).alias("p"))
     nxt = rows.select("doc", (F.col("idx") - 1).alias("idx"), F.col("p").alias("q"))
     return rows.join(nxt, ["doc", "idx"]).select(
-        "doc", "idx", F.round(V.kl(F.col("p"), F.col("q")), 6).alias("kl"), F.round(V.symmetric_kl(F.col("p"), F.col("q")), 6).alias("sym")
+        "doc", "idx", six_digits(V.kl(F.col("p"), F.col("q"))).alias("kl"), six_digits(V.symmetric_kl(F.col("p"), F.col("q"))).alias("sym")
     )
 
 
@@ -573,18 +573,18 @@ def _(t):
 def _(t):
     soft = V.softmax(F.col("emb"))
     return t.embeddings().select(
-        "vec_id", F.round(F.element_at(soft, 1), 6).alias("first"), F.round(F.array_max(soft), 6).alias("top"), F.round(V.logsumexp(F.col("emb")), 6).alias("lse")
+        "vec_id", six_digits(F.element_at(soft, 1)).alias("first"), six_digits(F.array_max(soft)).alias("top"), six_digits(V.logsumexp(F.col("emb"))).alias("lse")
     )
 
 
 @query("fun09_gaussian_posterior", "SELECT doc, fidx, k::BIGINT AS k, round(p, 6) AS p FROM posteriors")
 def _(t):
-    return t.posteriors().select("doc", "fidx", "k", F.round("p", 6).alias("p"))
+    return t.posteriors().select("doc", "fidx", "k", six_digits("p").alias("p"))
 
 
 @query("fun10_log_mean_posterior", "SELECT doc, k::BIGINT AS k, round(ln(avg(p)), 6) AS log_p FROM posteriors GROUP BY doc, k")
 def _(t):
-    return M.log_mean_posterior(t.posteriors()).withColumn("log_p", F.round("log_p", 6))
+    return M.log_mean_posterior(t.posteriors()).withColumn("log_p", six_digits("log_p"))
 
 
 DOT_MAP = "dots AS (SELECT m.doc, m.idx, f.fidx, list_dot_product(m.emb, f.emb) AS s FROM mention_vectors m JOIN frames f ON m.doc = f.doc)"
@@ -600,7 +600,7 @@ def _(t):
     tokens, regions = t.vectors(), t.frames().select("doc", "fidx", "emb")
     out = None
     for how in ("mean", "mean_max", "max_mean"):
-        one = M.matchmap_similarity(tokens, regions, how).select("doc", F.round("score", 6).alias(how))
+        one = M.matchmap_similarity(tokens, regions, how).select("doc", six_digits("score").alias(how))
         out = one if out is None else out.join(one, "doc")
     return out
 
@@ -624,7 +624,7 @@ def _(t):
     near = m.select("doc", F.col("idx").alias("i"), F.explode(F.sequence(F.col("idx") + 1, F.col("idx") + 4)).alias("j"))
     pairs = near.join(m.withColumnRenamed("idx", "j"), ["doc", "j"], "left_semi").select("doc", "i", "j")
     null = m.select("doc", F.lit(-1).cast("long").alias("i"), F.col("idx").alias("j"))
-    return M.max_abs_cosine_mean(pairs.unionByName(null), span_token_vectors(t)).withColumn("sim", F.round("sim", 6))
+    return M.max_abs_cosine_mean(pairs.unionByName(null), span_token_vectors(t)).withColumn("sim", six_digits("sim"))
 
 
 @query(
@@ -634,7 +634,7 @@ def _(t):
 def _(t):
     pairs = P.mention_pairs(unit_vectors(t), ["doc", "sent"], ["lemma", "emb"])
     f = V.pair_features(F.col("a_lemma"), F.col("b_lemma"), F.col("a_emb"), F.col("b_emb"))
-    return pairs.select("doc", "i", "j", f.alias("f")).select("doc", "i", "j", F.col("f")[0].alias("same_lemma"), F.round(F.col("f")[1], 6).alias("cosine"))
+    return pairs.select("doc", "i", "j", f.alias("f")).select("doc", "i", "j", F.col("f")[0].alias("same_lemma"), six_digits(F.col("f")[1]).alias("cosine"))
 
 
 @query(
@@ -656,7 +656,7 @@ def _(t):
     m = t.mentions().select("doc", "idx")
     pairs = m.join(m.select("doc", (F.col("idx") - 1).alias("idx")), ["doc", "idx"]).select("doc", F.col("idx").alias("i"), (F.col("idx") + 1).alias("j"))
     f = M.attention_pair_features(pairs, M.attention_rows(t.vectors(), t.frames()))
-    return f.select("doc", "i", "j", *[F.round(c, 6).alias(c) for c in ("first", "second", "product", "joint")])
+    return f.select("doc", "i", "j", *[six_digits(c).alias(c) for c in ("first", "second", "product", "joint")])
 
 
 @query(
@@ -669,8 +669,8 @@ def _(t):
     visual = (F.col("a_type") == F.col("b_type")).cast("double")
     argument = F.abs(F.col("i") - F.col("j")) / 100.0
     return _lemma_pairs(t, "emb", "type").select(
-        "doc", "i", "j", F.round(M.fuse_scores(trigger, visual, argument, (0.5, 0.3, 0.2)), 6).alias("fused"),
-        F.round(M.fuse_scores(trigger, None, argument, (0.5, 0.2)), 6).alias("two_terms"),
+        "doc", "i", "j", six_digits(M.fuse_scores(trigger, visual, argument, (0.5, 0.3, 0.2))).alias("fused"),
+        six_digits(M.fuse_scores(trigger, None, argument, (0.5, 0.2))).alias("two_terms"),
     )
 
 
@@ -686,7 +686,7 @@ QUERY_V = mean_sql("doc", "SELECT doc, emb FROM vectors")
 )
 def _(t):
     queries = M.vector_mean(t.vectors(), ["doc"], out="q_emb").withColumn("q", F.lit(0))
-    return M.best_segments(t.frames().select("doc", "fidx", "emb"), queries).select("doc", "start", "end", F.round("score", 6).alias("score"))
+    return M.best_segments(t.frames().select("doc", "fidx", "emb"), queries).select("doc", "start", "end", six_digits("score").alias("score"))
 
 
 @query(
@@ -695,7 +695,7 @@ def _(t):
 )
 def _(t):
     counts = t.read("orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
-    return counts.select("o_custkey", "n", F.round(V.log_rising_factorial(F.lit(0.7), F.col("n")), 6).alias("v"))
+    return counts.select("o_custkey", "n", six_digits(V.log_rising_factorial(F.lit(0.7), F.col("n"))).alias("v"))
 
 
 SEG_MEMBERS = """members AS (SELECT s.doc, s.seg, s.label, f.fidx, f.emb, row_number() OVER (PARTITION BY s.doc, s.seg ORDER BY f.fidx) - 1 AS pos, count(*) OVER (PARTITION BY s.doc, s.seg) AS n

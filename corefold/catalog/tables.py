@@ -182,6 +182,7 @@ class Tables:
             return frames.drop("vec_id")
         return frames.join(self.embeddings().drop("label"), "vec_id").drop("vec_id")
 
+    @stored
     def segments(self) -> DataFrame:
         """doc, seg, t0, t1, label: from each event to the next of that user."""
         log = self.log()
@@ -205,6 +206,7 @@ class Tables:
             raise ValueError("too many clusters for a model table")
         return [list(r["v"]) for r in rows]
 
+    @stored
     def posteriors(self) -> DataFrame:
         """doc, fidx, k, p: cluster posterior of each frame."""
         from corefold.functions.vectors import gaussian_posterior
@@ -271,8 +273,32 @@ SQL_VIEWS: dict[str, str] = {
 }
 
 
+ROUND_SHIFT = 1e-9
+
+
+def shift_rounding(sql: str) -> str:
+    """``round(x, 6)`` -> ``round(x + 1e-9, 6)``: exact fractions such as 3/128 lie on
+    the halves of the sixth digit, where the order of a sum would decide."""
+    out, at = "", 0
+    for start in [m.end() for m in re.finditer(r"\bround\(", sql)]:
+        depth, end = 1, start
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        if start >= at and sql[start : end - 1].endswith(", 6"):
+            out += sql[at:start] + shift_rounding(sql[start : end - 4]) + f" + {ROUND_SHIFT}, 6)"
+            at = end
+    return out + sql[at:]
+
+
+def six_digits(column):
+    column = F.col(column) if isinstance(column, str) else column
+    return F.round(column + F.lit(ROUND_SHIFT), 6)
+
+
 def with_views(sql: str) -> str:
     """Put the views that ``sql`` names, and those they name, in front of it."""
+    sql = shift_rounding(sql)
     needed: list[str] = []
 
     def visit(body: str, own: str | None = None) -> None:

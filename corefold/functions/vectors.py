@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -88,12 +89,19 @@ def one_hot(index: Column, size: int) -> Column:
     ).otherwise(F.array_repeat(F.lit(1.0 / size), size))
 
 
+def log_gamma(x: Column) -> Column:
+    """ln Gamma(x) for x > 0: Stirling's series at x + 8, stepped back."""
+    y = x + 8
+    series = (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    shift = F.lit(0.0)
+    for i in range(8):
+        shift = shift + F.ln(x + i)
+    return series - shift
+
+
 def log_rising_factorial(a: Column, n: Column) -> Column:
     """ln(a (a+1) ... (a+n-1)); 0 for n = 0."""
-    steps = F.when(n > 0, F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)).otherwise(
-        F.array().cast("array<bigint>")
-    )
-    return F.aggregate(steps, F.lit(0.0), lambda s, i: s + F.ln(a + i))
+    return F.when(n > 0, log_gamma(a + n) - log_gamma(a)).otherwise(0.0)
 
 
 def gaussian_posterior(x: Column, centroids: Sequence[Sequence[float]], variances) -> Column:

@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 def _earlier_blocks(df: DataFrame, keys: Sequence[str], amount: Column) -> DataFrame:
     window = (
         Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    ).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ).orderBy("_order_block").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        df.groupBy(*keys, "_block")
-        .agg(amount.alias("_amount"))
-        .withColumn("_base", F.coalesce(F.sum("_amount").over(window), F.lit(0)))
-        .drop("_amount")
+        df.groupBy(*keys, "_order_block")
+        .agg(amount.alias("_order_amount"))
+        .withColumn("_order_base", F.coalesce(F.sum("_order_amount").over(window), F.lit(0)))
+        .drop("_order_amount")
     )
 
 
@@ -29,14 +29,14 @@ def number_rows(
 ) -> DataFrame:
     """Dense numbers in ``order`` per ``keys``; no keys numbers the whole table."""
     keys = list(keys)
-    blocked = df.withColumn("_block", block)
+    blocked = df.withColumn("_order_block", block)
     base = _earlier_blocks(blocked, keys, F.count(F.lit(1)))
-    inner = Window.partitionBy(*keys, "_block").orderBy(*order)
+    inner = Window.partitionBy(*keys, "_order_block").orderBy(*order)
     return (
-        blocked.withColumn("_local", F.row_number().over(inner))
-        .join(base, [*keys, "_block"])
-        .withColumn(out, (F.col("_local") + F.col("_base") - 1 + start).cast("long"))
-        .drop("_local", "_base", "_block")
+        blocked.withColumn("_order_local", F.row_number().over(inner))
+        .join(base, [*keys, "_order_block"])
+        .withColumn(out, (F.col("_order_local") + F.col("_order_base") - 1 + start).cast("long"))
+        .drop("_order_local", "_order_base", "_order_block")
     )
 
 
@@ -46,18 +46,18 @@ def running_total(
 ) -> DataFrame:
     """Sum of ``value`` over the rows before each one (or up to it)."""
     keys = list(keys)
-    blocked = df.withColumn("_block", block).withColumn("_value", value)
-    base = _earlier_blocks(blocked, keys, F.sum("_value"))
+    blocked = df.withColumn("_order_block", block).withColumn("_order_value", value)
+    base = _earlier_blocks(blocked, keys, F.sum("_order_value"))
     inner = (
-        Window.partitionBy(*keys, "_block")
+        Window.partitionBy(*keys, "_order_block")
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
     return (
-        blocked.withColumn("_local", F.coalesce(F.sum("_value").over(inner), F.lit(0)))
-        .join(base, [*keys, "_block"])
-        .withColumn(out, F.col("_local") + F.col("_base"))
-        .drop("_local", "_base", "_block", "_value")
+        blocked.withColumn("_order_local", F.coalesce(F.sum("_order_value").over(inner), F.lit(0)))
+        .join(base, [*keys, "_order_block"])
+        .withColumn(out, F.col("_order_local") + F.col("_order_base"))
+        .drop("_order_local", "_order_base", "_order_block", "_order_value")
     )
 
 
@@ -66,24 +66,24 @@ def running_max(
 ) -> DataFrame:
     """Largest ``value`` of the rows before each one, null for the first."""
     keys = list(keys)
-    blocked = df.withColumn("_block", block).withColumn("_value", value)
+    blocked = df.withColumn("_order_block", block).withColumn("_order_value", value)
     earlier = (
-        Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*keys).orderBy("_order_block").rowsBetween(Window.unboundedPreceding, -1)
     )
     base = (
-        blocked.groupBy(*keys, "_block")
-        .agg(F.max("_value").alias("_m"))
-        .withColumn("_base", F.max("_m").over(earlier))
-        .drop("_m")
+        blocked.groupBy(*keys, "_order_block")
+        .agg(F.max("_order_value").alias("_order_max"))
+        .withColumn("_order_base", F.max("_order_max").over(earlier))
+        .drop("_order_max")
     )
     inner = (
-        Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*keys, "_order_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        blocked.withColumn("_local", F.max("_value").over(inner))
-        .join(base, [*keys, "_block"])
-        .withColumn(out, F.greatest("_local", "_base"))
-        .drop("_local", "_base", "_block", "_value")
+        blocked.withColumn("_order_local", F.max("_order_value").over(inner))
+        .join(base, [*keys, "_order_block"])
+        .withColumn(out, F.greatest("_order_local", "_order_base"))
+        .drop("_order_local", "_order_base", "_order_block", "_order_value")
     )
 
 

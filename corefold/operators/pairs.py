@@ -64,10 +64,11 @@ def spread(
     left: DataFrame, right: DataFrame, keys: Sequence[str], left_index: str, right_index: str, block: int = BLOCK
 ) -> tuple[DataFrame, DataFrame]:
     """Both sides keyed by (keys, _lb, _rb) so that every row of the left meets
-    every row of the right of its keys exactly once, at most block x block at a time."""
+    every row of the right of its keys exactly once, at most block x block at a time.
+    Rows with a negative index (null candidates) belong to the first block."""
     keys = list(keys)
-    a = _with_top(left, right, keys, right_index, block).withColumn("_lb", blocks_of(F.col(left_index), block))
-    b = _with_top(right, left, keys, left_index, block).withColumn("_rb", blocks_of(F.col(right_index), block))
+    a = _with_top(left, right, keys, right_index, block).withColumn("_lb", blocks_of(F.greatest(F.col(left_index), F.lit(0)), block))
+    b = _with_top(right, left, keys, left_index, block).withColumn("_rb", blocks_of(F.greatest(F.col(right_index), F.lit(0)), block))
     return (
         a.withColumn("_rb", F.explode(F.sequence(F.lit(0), "_top"))).drop("_top"),
         b.withColumn("_lb", F.explode(F.sequence(F.lit(0), "_top"))).drop("_top"),
@@ -91,6 +92,7 @@ def block_scores(
     dense products whose result is much smaller than the pairs."""
     a, b = spread(left, right, keys, left_index, right_index, block)
     on = [*keys, "_lb", "_rb"]
+    b = b.toDF(*b.columns)  # fresh columns, so that a table may meet itself
 
     def apply(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         return fn(l, r)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from corefold.operators import order
 from corefold.plans.clusters import connected_components
+from corefold.session import cut_lineage
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -216,6 +217,7 @@ def ceaf_e(labelled: DataFrame, keep_singletons: bool = False) -> DataFrame:
     names = edges.select(
         "doc", "gold", "pred", "phi", F.concat_ws("|", "doc", F.lit("g"), "gold").alias("src"), F.concat_ws("|", "doc", F.lit("p"), "pred").alias("dst")
     )
+    names = cut_lineage(names)
     parts = connected_components(names.select("src", "dst"))
     placed = names.join(parts.select(F.col("node").alias("src"), "component"), "src")
     shape = placed.groupBy("component").agg(F.countDistinct("gold").alias("_g"), F.countDistinct("pred").alias("_p"), F.max("phi").alias("total"))
@@ -239,6 +241,7 @@ def ceaf_e(labelled: DataFrame, keep_singletons: bool = False) -> DataFrame:
 
 
 def conll_average(labelled: DataFrame) -> DataFrame:
+    labelled = cut_lineage(labelled)
     scores = muc(labelled).unionByName(b_cubed(labelled)).unionByName(ceaf_e(labelled))
     return average_scores(scores)
 
