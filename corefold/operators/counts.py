@@ -16,7 +16,7 @@ def build_vocab(words: DataFrame, specials: Sequence[str] = (X.NULL_TEXT,)) -> D
     special words, which take the first ids with count 0."""
     seen = words.groupBy("word").agg(F.count("*").alias("n"), F.min(F.struct("doc", "idx")).alias("_first"))
     numbered = order.number_rows(
-        seen, [], ["_first.doc", "_first.idx", "word"], order.blocks_of(F.col("_first.doc"), 16), "id", start=len(specials)
+        seen, [], ["_first.doc", "_first.idx", "word"], order.document_blocks(seen, "_first.doc"), "id", start=len(specials)
     ).select("word", "n", "id")
     spark = words.sparkSession
     head = spark.createDataFrame([(w, 0, i) for i, w in enumerate(specials)], "word string, n long, id long")
@@ -49,7 +49,7 @@ def build_feature_vocab(mentions: DataFrame, features: Sequence[str]) -> DataFra
     seen = melted.groupBy("feature", "value").agg(F.min(F.struct("doc", "idx")).alias("_first"))
     numeric = F.col("value").rlike("^[0-9]+$")
     words = order.number_rows(
-        seen.filter(~numeric), ["feature"], ["_first.doc", "_first.idx", "value"], order.blocks_of(F.col("_first.doc"), 16), "id", start=1
+        seen.filter(~numeric), ["feature"], ["_first.doc", "_first.idx", "value"], order.document_blocks(seen, "_first.doc"), "id", start=1
     ).select("feature", "value", "id")
     return words.unionByName(seen.filter(numeric).select("feature", "value", F.col("value").cast("long").alias("id")))
 
@@ -67,7 +67,7 @@ def assign_cluster_ids(mentions: DataFrame, singles_get_ids: bool = True) -> Dat
     )
     wanted = keyed if singles_get_ids else keyed.filter(in_cluster)
     heads = wanted.groupBy("doc", "_key").agg(F.min("idx").alias("_first"))
-    numbered = order.number_rows(heads, [], ["doc", "_first"], order.blocks_of(F.col("doc"), 16), "cluster_id", start=1)
+    numbered = order.number_rows(heads, [], ["doc", "_first"], order.document_blocks(heads), "cluster_id", start=1)
     return (
         keyed.join(numbered.drop("_first"), ["doc", "_key"], "left")
         .withColumn("cluster_id", F.coalesce("cluster_id", F.lit(0))).drop("_key")

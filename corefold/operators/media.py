@@ -161,7 +161,7 @@ def pool_segments(members: DataFrame, how: str, k: int = 4) -> DataFrame:
     if how == "mean":
         return vector_mean(members, ["doc", "seg"])
     if how == "concat":
-        return order.number_rows(members, ["doc"], ["seg", "pos"], F.col("seg"), "row")
+        return order.number_rows(members, ["doc"], ["seg", "pos"], order.blocks_of(F.col("seg"), 1024), "row")
     sizes = members.groupBy("doc", "seg").agg(F.count("*").alias("_n"), F.max("pos").alias("_last"))
     sized = members.join(sizes, ["doc", "seg"])
     fill = (

@@ -89,3 +89,15 @@ def running_max(
 
 def blocks_of(column: Column, width: int) -> Column:
     return F.floor(column / F.lit(width))
+
+
+DOCUMENT_BLOCK = 4096  # documents per numbering block
+PREFIX_BLOCK = 3  # leading characters of a text key that form its block
+
+
+def document_blocks(df: DataFrame, column: str = "doc") -> Column:
+    """Blocks of a key in its order: ranges of a number, prefixes of a text."""
+    kind = df.select(column).dtypes[0][1]
+    if kind == "string":
+        return F.substring(F.col(column), 1, PREFIX_BLOCK)
+    return blocks_of(F.col(column), DOCUMENT_BLOCK)

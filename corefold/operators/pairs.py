@@ -89,7 +89,9 @@ def block_scores(
     block: int = BLOCK,
 ) -> DataFrame:
     """``fn(left block, right block) -> rows`` in pandas per pair of blocks, for
-    dense products whose result is much smaller than the pairs."""
+    dense products whose result is much smaller than the pairs. ``doc long`` in the
+    schema stands for the type that the document key has."""
+    schema = schema.replace("doc long", f"doc {left.select('doc').dtypes[0][1]}")
     a, b = spread(left, right, keys, left_index, right_index, block)
     on = [*keys, "_lb", "_rb"]
     b = b.toDF(*b.columns)  # fresh columns, so that a table may meet itself

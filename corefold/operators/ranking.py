@@ -62,7 +62,8 @@ def retrieve_topk(queries: DataFrame, gallery: DataFrame, k: int, block: int = R
             }
         )
 
-    parts = left.groupBy("_qb", "_gb").cogroup(right.groupBy("_qb", "_gb")).applyInPandas(best, "q long, g long, score double")
+    schema = f"q {queries.select('q').dtypes[0][1]}, g {gallery.select('g').dtypes[0][1]}, score double"
+    parts = left.groupBy("_qb", "_gb").cogroup(right.groupBy("_qb", "_gb")).applyInPandas(best, schema)
     return top_per_key(parts, ["q"], [F.desc("score"), "g"], k)
 
 

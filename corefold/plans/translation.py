@@ -176,11 +176,9 @@ def e_step(candidates: DataFrame, translation: DataFrame, position: DataFrame |
         joined = joined.join(position.withColumnRenamed("p", "_q"), ["mode", "dist"], "left")
         w = w * F.coalesce("_q", F.lit(0.0))
     weighted = joined.withColumn("w", F.when(F.col("open"), w).otherwise(0.0)).drop("_p", "_q")
-    totals = weighted.groupBy("doc", "j").agg(F.sum(F.col("n") * F.col("w")).alias("_t"))
-    return (
-        weighted.join(totals, ["doc", "j"])
-        .withColumn("post", F.col("n") * F.col("w") / F.greatest("_t", F.lit(EPS))).drop("_t")
-    )
+    # the candidates of one mention: at most its document's distinct words
+    total = F.sum(F.col("n") * F.col("w")).over(Window.partitionBy("doc", "j"))
+    return weighted.withColumn("post", F.col("n") * F.col("w") / F.greatest(total, F.lit(EPS)))
 
 
 def m_step(posterior: DataFrame) -> DataFrame:

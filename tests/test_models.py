@@ -167,3 +167,27 @@ def test_nested_mentions_and_duplicates(spark):
     rows = [(0, 0, 1, 0, 5), (0, 1, 1, 2, 4), (0, 2, 1, 6, 8), (0, 3, 1, 6, 8), (0, 4, 2, 2, 4), (0, 5, 1, 0, 3)]
     df = spark.createDataFrame(rows, "doc long, idx long, cluster long, m_start long, m_end long")
     assert sorted(r["idx"] for r in S.remove_nested_mentions(df).collect()) == [0, 4]
+
+
+@pytest.mark.parametrize("width", [1, 3, 1000])
+def test_numbers_and_totals_do_not_depend_on_the_block(spark, width):
+    from corefold.operators import order
+
+    rng = random.Random(width)
+    rows = [(d, x, rng.randint(0, 9)) for d in range(3) for x in range(0, 60, 2)]
+    df = spark.createDataFrame(rows, "doc long, x long, v long")
+    block = order.blocks_of(F.col("x"), width)
+    n = {(r["doc"], r["x"]): r["n"] for r in order.number_rows(df, ["doc"], ["x"], block, "n").collect()}
+    s = {(r["doc"], r["x"]): r["s"] for r in order.running_total(df, ["doc"], ["x"], block, F.col("v"), "s").collect()}
+    m = {(r["doc"], r["x"]): r["m"] for r in order.running_max(df, ["doc"], ["x"], block, F.col("v"), "m").collect()}
+    for d, x, _ in rows:
+        before = [v for e, y, v in rows if e == d and y < x]
+        assert n[d, x] == len(before) and s[d, x] == sum(before) and m[d, x] == max(before, default=None)
+
+
+def test_text_document_keys(spark):
+    from corefold.plans import clusters as K
+
+    links = spark.createDataFrame([("b_1", 0, -1), ("b_1", 1, 0), ("a_2", 0, -1), ("a_2", 1, -1)], "doc string, idx long, antecedent long")
+    got = {(r["doc"], r["idx"]): r["cluster_id"] for r in K.antecedents_to_clusters(links).collect()}
+    assert got == {("a_2", 0): 1, ("a_2", 1): 2, ("b_1", 0): 3, ("b_1", 1): 3}
