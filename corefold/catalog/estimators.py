@@ -201,7 +201,7 @@ VISUAL_ONLY = """vm AS (SELECT * FROM mentions WHERE type < 2), mass AS (SELECT
 
 @query(
     "em10_predict_visual_antecedents",
-    f"WITH {VISUAL_ONLY} SELECT doc, j AS idx, i AS antecedent, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc, j ORDER BY score DESC, i) AS r FROM vs) WHERE r = 1",
+    f"WITH {VISUAL_ONLY} SELECT doc, j AS idx, i AS antecedent, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc, j ORDER BY round(score, 12) DESC, i) AS r FROM vs) WHERE r = 1",
 )
 def _(t):
     seen = t.mentions().filter("type < 2")

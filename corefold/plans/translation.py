@@ -251,7 +251,8 @@ def visual_antecedents(
     normalised distributions over the frames and the null event.
 
     Frames enter through the K x K products of their posteriors per document and
-    mentions through their words, so words meet words, not mentions."""
+    mentions through their words, so words meet words, not mentions. Scores that
+    agree to twelve digits tie."""
     table = translation.filter(F.col("mode") == "visual")
     emit = table.filter(F.col("src").startswith("k:")).select(
         F.substring("src", 3, 10).cast("int").alias("k"), F.col("tgt").alias("word"), F.col("p").alias("e")
@@ -279,7 +280,8 @@ def visual_antecedents(
     pairs = candidate_words(mentions, antecedents, keys, mode="visual").select("doc", "j", "tgt", "src", F.col("first").alias("i"))
     real = pairs.join(scored, ["doc", "tgt", "src"]).select("doc", "j", "i", "score")
     own = mentions.select("doc", F.col("idx").alias("j"), F.col("lemma").alias("word")).join(norm, ["doc", "word"])
-    return rank_antecedents(real.unionByName(own.select("doc", "j", F.lit(-1).cast("long").alias("i"), (F.col("e0") / F.col("total")).alias("score"))))
+    every = real.unionByName(own.select("doc", "j", F.lit(-1).cast("long").alias("i"), (F.col("e0") / F.col("total")).alias("score")))
+    return rank_antecedents(every.withColumn("score", F.round("score", 12)))
 
 
 def similarity_candidates(mentions: DataFrame, keys: Sequence[str], block: int = 512) -> DataFrame:
