@@ -226,17 +226,17 @@ def _(t):
     return top.withColumn("score", six_digits("score"))
 
 
-@query("win03_top_pairs_per_doc", f"WITH {SCORED} SELECT doc, i, j, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score DESC, j, i) AS rank FROM cand WHERE i >= 0) WHERE rank <= 20")
+@query("win03_top_pairs_per_doc", f"WITH {SCORED} SELECT doc, i, j, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score DESC, j, i) AS rank FROM cand WHERE i >= 0) WHERE rank <= 100")
 def _(t):
     pairs = scored_candidates(t).filter("i >= 0")
-    return R.top_per_key(pairs, ["doc"], [F.desc("score"), "j", "i"], 20).select("doc", "i", "j", "rank")
+    return R.top_per_key(pairs, ["doc"], [F.desc("score"), "j", "i"], 100).select("doc", "i", "j", "rank")
 
 
 @query(
     "win04_top_translations",
     f"""WITH {SCORED}, tr AS (SELECT a.lemma AS src, b.tok AS tgt, sum(c.score) AS count FROM cand c JOIN mentions a ON a.doc = c.doc AND a.idx = c.i JOIN mentions b ON b.doc = c.doc AND b.idx = c.j GROUP BY ALL),
-        h AS (SELECT src FROM tr GROUP BY src ORDER BY round(sum(count), 6) DESC, src LIMIT 50), p AS (SELECT tr.*, count / sum(count) OVER (PARTITION BY src) AS p FROM tr)
-        SELECT src, tgt, round(p, 6) AS p, rank FROM (SELECT p.*, row_number() OVER (PARTITION BY src ORDER BY round(p, 6) DESC, tgt) AS rank FROM p WHERE src IN (SELECT src FROM h)) WHERE rank <= 5""",
+        h AS (SELECT src FROM tr GROUP BY src ORDER BY round(sum(count), 6) DESC, src LIMIT 200), p AS (SELECT tr.*, count / sum(count) OVER (PARTITION BY src) AS p FROM tr)
+        SELECT src, tgt, round(p, 6) AS p, rank FROM (SELECT p.*, row_number() OVER (PARTITION BY src ORDER BY round(p, 6) DESC, tgt) AS rank FROM p WHERE src IN (SELECT src FROM h)) WHERE rank <= 100""",
 )
 def _(t):
     m = t.mentions()
@@ -248,7 +248,7 @@ def _(t):
     counts = named.groupBy("src", "tgt").agg(F.sum("score").alias("count"))
     totals = counts.groupBy("src").agg(F.sum("count").alias("_t"))
     table = counts.join(totals, "src").withColumn("p", F.when(F.col("_t") != 0, F.col("count") / F.col("_t"))).drop("_t")
-    return R.top_translations(table, 50, 5).select("src", "tgt", six_digits("p").alias("p"), "rank")
+    return R.top_translations(table).select("src", "tgt", six_digits("p").alias("p"), "rank")
 
 
 @query("win05_top_tables", "SELECT lemma AS \"table\", count(*) AS n FROM mentions GROUP BY lemma ORDER BY n DESC, lemma LIMIT 10")

@@ -316,11 +316,11 @@ def _(t):
         ta AS (SELECT b.doc, b.k, ln(greatest(b.p, nul.p)) AS v FROM (SELECT dw.doc, g.k, max(g.p) AS p FROM dw JOIN g2 g ON dw.word = g.word GROUP BY ALL) b JOIN nul ON b.k = nul.k),
         tb AS (SELECT doc, k, count(*) AS v FROM (SELECT doc, fidx, k, row_number() OVER (PARTITION BY doc, fidx ORDER BY p DESC, k) AS r FROM posteriors) WHERE r = 1 GROUP BY ALL),
         sc AS (SELECT ta.doc AS q, tb.doc AS g, sum(ta.v * tb.v) AS score FROM ta JOIN tb ON ta.k = tb.k GROUP BY ALL)
-        SELECT q, g, round(score, 5) AS score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, g) AS r FROM sc) WHERE r <= 5""",
+        SELECT q, g, round(score, 5) AS score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, g) AS r FROM sc) WHERE r <= 10""",
 )
 def _(t):
     text, video = MX.doc_pair_vectors(*mixture(t))
-    top = R.retrieve_topk(text.withColumnRenamed("doc", "q"), video.withColumnRenamed("doc", "g"), 5, block=64)
+    top = R.retrieve_topk(text.withColumnRenamed("doc", "q"), video.withColumnRenamed("doc", "g"), 10, block=64)
     return top.select("q", "g", F.round("score", 5).alias("score"), "rank")
 
 

@@ -253,13 +253,13 @@ def _(t):
 @query(
     "jon17_argument_vectors",
     f"""WITH a AS (SELECT a.doc, a.e_idx, a.a_start, v.emb, row_number() OVER (PARTITION BY a.doc, a.e_idx ORDER BY a.a_start) AS n FROM arguments a JOIN vectors v ON a.doc = v.doc AND a.a_idx = v.idx),
-        f AS (SELECT doc, e_idx, flatten(list(emb ORDER BY n)) AS emb FROM a WHERE n <= 3 GROUP BY ALL)
-        SELECT doc, idx, {SHAPE} FROM (SELECT m.doc, m.idx, (coalesce(f.emb, []::DOUBLE[]) || list_transform(range(192), lambda i: 0::DOUBLE))[1:192] AS emb
+        f AS (SELECT doc, e_idx, flatten(list(emb ORDER BY n)) AS emb FROM a WHERE n <= 10 GROUP BY ALL)
+        SELECT doc, idx, {SHAPE} FROM (SELECT m.doc, m.idx, (coalesce(f.emb, []::DOUBLE[]) || list_transform(range(640), lambda i: 0::DOUBLE))[1:640] AS emb
         FROM mentions m LEFT JOIN f ON m.doc = f.doc AND m.idx = f.e_idx WHERE m.kind = 'event')""",
 )
 def _(t):
     events = t.mentions().filter("kind = 'event'").select("doc", "idx")
-    return M.argument_vectors(events, t.arguments(), t.vectors(), DIM, slots=3).select("doc", "idx", *shape())
+    return M.argument_vectors(events, t.arguments(), t.vectors(), DIM).select("doc", "idx", *shape())
 
 
 @query(

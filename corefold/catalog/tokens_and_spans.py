@@ -336,7 +336,7 @@ def _(t):
     return t.read("documents").select("doc_id", topic.alias("topic"), subtopic.alias("subtopic"))
 
 
-SEGMENT_WIDTH = 400
+SEGMENT_WIDTH = 510
 
 
 @query(

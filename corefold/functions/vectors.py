@@ -46,25 +46,25 @@ def symmetric_kl(p: Column, q: Column, eps: float = EPS) -> Column:
     return kl(p, q, eps) + kl(q, p, eps)
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once, not once per lambda call."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def logsumexp(a: Column) -> Column:
-    return _let(
+    return let(
         F.array_max(a),
         lambda peak: peak + F.ln(F.aggregate(a, F.lit(0.0), lambda s, x: s + F.exp(x - peak))),
     )
 
 
 def softmax(a: Column) -> Column:
-    return _let(logsumexp(a), lambda total: F.transform(a, lambda x: F.exp(x - total)))
+    return let(logsumexp(a), lambda total: F.transform(a, lambda x: F.exp(x - total)))
 
 
 def unit(a: Column) -> Column:
     """Vector of length one (zeros stay), so that a cosine is one product."""
-    return _let(F.greatest(F.lit(EPS), norm(a)), lambda n: F.transform(a, lambda x: x / n))
+    return let(F.greatest(F.lit(EPS), norm(a)), lambda n: F.transform(a, lambda x: x / n))
 
 
 def pair_vector(a: Column, b: Column) -> Column:

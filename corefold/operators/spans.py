@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corefold.functions import text as X
-from corefold.functions.vectors import pad_or_truncate
+from corefold.functions.vectors import let, pad_or_truncate
 from corefold.operators import order
 from corefold.session import cut_lineage
 
@@ -384,28 +384,30 @@ ANCHOR_WORDS = 8
 def phrase_positions(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     """First word position at which each phrase occurs in each text.
 
-    (doc, words), (phrase_id, phrase). The first words of a phrase (up to eight)
-    are its anchor; texts give one n-gram per position and anchor length, and
-    only the positions whose anchor is wanted meet the whole phrase."""
+    (doc, words), (phrase_id, phrase). The hash of the first words of a phrase (up
+    to eight) is its anchor; texts give one hash per position and anchor length,
+    and only the positions whose anchor is wanted meet the whole phrase."""
     words = F.split("phrase", " ")
-    anchor_size = F.least(F.lit(ANCHOR_WORDS), F.size(words))
+    size = F.least(F.lit(ANCHOR_WORDS), F.size(words))
     wanted = phrases.select(
-        "phrase_id", words.alias("_p"), anchor_size.alias("_a"),
-        F.array_join(F.slice(words, F.lit(1), anchor_size), " ").alias("anchor"),
+        "phrase_id", words.alias("_p"), size.alias("_a"),
+        F.xxhash64(F.slice(F.transform(words, lambda w: F.xxhash64(w)), F.lit(1), size)).alias("anchor"),
     )
 
-    def grams(n: int) -> Column:
-        last = F.size("words") - n
+    def grams(hashes: Column, n: int) -> Column:
+        last = F.size(hashes) - n
         return F.when(
             last >= 0,
             F.transform(
                 F.sequence(F.lit(0), last),
-                lambda i: F.struct(i.alias("pos"), F.array_join(F.slice("words", i + 1, n), " ").alias("anchor")),
+                lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(hashes, i + 1, n)).alias("anchor")),
             ),
-        ).otherwise(F.array().cast("array<struct<pos:int,anchor:string>>"))
+        ).otherwise(F.array().cast("array<struct<pos:int,anchor:bigint>>"))
 
     sizes = [r["_a"] for r in wanted.select("_a").distinct().limit(ANCHOR_WORDS).collect()]
-    every = F.concat(*[grams(n) for n in sizes or [1]])
+    every = let(
+        F.transform("words", lambda w: F.xxhash64(w)), lambda h: F.concat(*[grams(h, n) for n in sizes or [1]])
+    )
     hits = (
         texts.select("doc", F.explode(every).alias("_g")).select("doc", "_g.*")
         .join(wanted, "anchor").select("doc", "phrase_id", "pos", "_p")

@@ -20,7 +20,7 @@ from corefold.functions import vectors as V
 from corefold.operators.order import blocks_of
 from corefold.operators.pairs import block_scores
 from corefold.operators.ranking import rank_antecedents
-from corefold.session import cut_lineage
+from corefold.session import broadcast_if_small, cut_lineage
 
 EPS = 1e-100
 COLUMNS = ("mode", "doc", "j", "tgt", "src", "dist", "n", "first", "open")
@@ -168,12 +168,14 @@ def init_position(candidates: DataFrame) -> DataFrame:
 
 
 def e_step(candidates: DataFrame, translation: DataFrame, position: DataFrame | None = None) -> DataFrame:
-    """Adds w, the probability of one candidate, and post, the posterior of all n."""
-    table = translation.withColumnRenamed("p", "_p")
+    """Adds w, the probability of one candidate, and post, the posterior of all n.
+    Give written tables: they are counted, and broadcast while they are small, so
+    that the candidates are shuffled once, by mention."""
+    table = broadcast_if_small(translation.withColumnRenamed("p", "_p"))
     joined = candidates.join(table, ["mode", "src", "tgt"], "left")
     w = F.coalesce("_p", F.lit(0.0))
     if position is not None:
-        joined = joined.join(position.withColumnRenamed("p", "_q"), ["mode", "dist"], "left")
+        joined = joined.join(broadcast_if_small(position.withColumnRenamed("p", "_q")), ["mode", "dist"], "left")
         w = w * F.coalesce("_q", F.lit(0.0))
     weighted = joined.withColumn("w", F.when(F.col("open"), w).otherwise(0.0)).drop("_p", "_q")
     # the candidates of one mention: at most its document's distinct words
@@ -219,7 +221,7 @@ def fit(
     """Rounds of E and M. The candidate table is fixed and written once; each round
     is two joins and three grouped sums, and its small tables are checkpointed."""
     candidates = cut_lineage(candidates)
-    translation = init_translation(candidates, sizes)
+    translation = cut_lineage(init_translation(candidates, sizes))
     position = cut_lineage(init_position(candidates)) if positions else None
     likelihoods: list[float] = []
     for _ in range(rounds):
@@ -328,7 +330,7 @@ def similarity_candidates(mentions: DataFrame, keys: Sequence[str], block: int =
 def fit_exact_or_similar(candidates: DataFrame, vocab: int, rounds: int) -> DataFrame:
     """EM of the similar mode; exact mentions split evenly over their candidates."""
     candidates = cut_lineage(candidates)
-    table = init_translation(candidates, {"exact": 1, "similar": vocab})
+    table = cut_lineage(init_translation(candidates, {"exact": 1, "similar": vocab}))
     even = table.filter("mode = 'exact'").select("mode", "src", "tgt", F.lit(1.0).alias("p"))
     for _ in range(rounds):
         weights = even.unionByName(table.filter("mode = 'similar'").select("mode", "src", "tgt", "p"))

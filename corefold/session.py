@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", app: str = "corefold") -> SparkSession:
@@ -47,3 +48,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of one loop round or of a table used many times."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+BROADCAST_ROWS = 500_000
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint for a written (checkpointed) table whose counted rows are
+    within the limit; a larger one is left to the shuffle join."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
