@@ -235,7 +235,7 @@ def _(t):
 @query(
     "win04_top_translations",
     f"""WITH {SCORED}, tr AS (SELECT a.lemma AS src, b.tok AS tgt, sum(c.score) AS count FROM cand c JOIN mentions a ON a.doc = c.doc AND a.idx = c.i JOIN mentions b ON b.doc = c.doc AND b.idx = c.j GROUP BY ALL),
-        h AS (SELECT src FROM tr GROUP BY src ORDER BY round(sum(count), 6) DESC, src LIMIT 200), p AS (SELECT tr.*, count / sum(count) OVER (PARTITION BY src) AS p FROM tr)
+        h AS (SELECT src FROM tr GROUP BY src ORDER BY round(sum(count), 6) DESC, src LIMIT 200), p AS (SELECT tr.*, count / nullif(sum(count) OVER (PARTITION BY src), 0) AS p FROM tr)
         SELECT src, tgt, round(p, 6) AS p, rank FROM (SELECT p.*, row_number() OVER (PARTITION BY src ORDER BY round(p, 6) DESC, tgt) AS rank FROM p WHERE src IN (SELECT src FROM h)) WHERE rank <= 100""",
 )
 def _(t):
