@@ -154,7 +154,27 @@ def _(t):
     return G.link_sweep(mentions.drop("emb"), G.score_pairs(model, pairs), FEATURES, feature_sizes(t), 0.5, 0.2, 0, 1234)
 
 
-@query("em33_alignment_sweep")
+def _uniform(*parts: str) -> str:
+    text = " || '|' || ".join(parts)
+    return f"(('0x' || substr(md5({text}), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296"
+
+
+def _label_draw(sweep: int, counts: str) -> str:
+    """The label each word draws in a sweep, given the counts of the one before."""
+    u = _uniform("w.doc", "w.idx", "pl.label", f"'label|{sweep}|1234'")
+    joined = f"LEFT JOIN n{sweep - 1} n ON n.word = w.lemma AND n.label = pl.label LEFT JOIN u{sweep - 1} t ON t.word = w.lemma" if counts else ""
+    n, total = ("coalesce(n.n, 0)", "coalesce(t.t, 0)") if counts else ("0", "0")
+    return f"""b{sweep} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc, idx ORDER BY s DESC) AS r FROM (SELECT w.doc, w.idx, w.lemma AS word, pl.label, pl.m,
+        ln(pl.m * ({n} + 0.2::DOUBLE) / ({total} + 1.0::DOUBLE)) - ln(-ln({u})) AS s FROM mentions w JOIN pl ON w.doc = pl.doc {joined})) WHERE r = 1),
+        n{sweep} AS (SELECT word, label, count(*) AS n FROM b{sweep} GROUP BY ALL), u{sweep} AS (SELECT word, sum(n) AS t FROM n{sweep} GROUP BY word)"""
+
+
+@query(
+    "em33_alignment_sweep",
+    f"""WITH pl AS (SELECT doc, label, count(*) AS m FROM segments GROUP BY ALL), {_label_draw(0, '')}, {_label_draw(1, 'n0')},
+        sn AS (SELECT doc, label, seg, row_number() OVER (PARTITION BY doc, label ORDER BY seg) - 1 AS place FROM segments)
+        SELECT b.doc, b.idx, b.label, sn.seg FROM b1 b JOIN sn ON sn.doc = b.doc AND sn.label = b.label AND sn.place = floor({_uniform('b.doc', 'b.idx', "'place|1|1234'")} * b.m)""",
+)
 def _(t):
     words = t.mentions().select("doc", "idx", F.col("lemma").alias("word"))
     return G.alignment_sweeps(words, t.segments().select("doc", "seg", "label"), 5, 1.0, 2, 1234).select("doc", "idx", "label", "seg")
