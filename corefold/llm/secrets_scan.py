@@ -1,0 +1,136 @@
+"""Secrets by pattern and by sliding-window entropy, with SQL functions only.
+
+Three fixed patterns give the base spans. Besides, strings of at least WINDOW
+characters of letters, digits and + / _ = - that hold a letter and a digit are
+candidates, each of one character class (hexadecimal, alphanumeric, with marks).
+The entropy of every window of WINDOW characters is kept by incremental counts: a
+character that enters a window of n equal ones changes the sum of n log n by
+(n + 1) log (n + 1) - n log n, one that leaves by the reverse; counts and running
+sums are window functions over the candidate. A candidate whose best window reaches
+the threshold of its class is a span, unless the allow list knows it or a base span
+covers it.
+
+Null and empty texts have no spans. Repeated rows are answered one by one. Offsets
+are code points, ends exclusive.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from corefold.llm import common
+
+WINDOW = 20
+#: Bits per character from which a window counts, by class of candidate.
+THRESHOLDS = {"hex": 3.0, "alnum": 3.6, "marks": 3.6}
+#: Candidates that are no secrets: UUIDs, lower-case words joined by marks, sample values.
+ALLOWED = (
+    r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"^[A-Za-z]*([/_=+-]+[A-Za-z]+)*[/_=+-]*[0-9]*$", r"(?i)(example|sample|placeholder|changeme|dummy|lorem|x{6})",
+)
+KINDS = ("assign", "access", "hex")
+_KEYWORD = "(?i:password|passwd|secret|token|api_?key)"
+ASSIGN = _KEYWORD + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS = r"AKIA[A-Z0-9]+"
+# Leftmost matches of a run are whole runs, so shorter ones need not be listed first.
+HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+_SPANS = "array<struct<start:int,end:int,value:string>>"
+
+
+def _spans(text: Column, pattern: str, group: int) -> Column:
+    """Matches with their offsets: what lies between them and their own lengths,
+    added up from the left. ``value`` is the group."""
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    whole = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    steps = F.arrays_zip(gaps.alias("gap"), whole.alias("size"), values.alias("value"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
+
+    def add(a: Column, x: Column) -> Column:
+        begin = a["at"] + F.coalesce(x["gap"], F.lit(0))
+        end = begin + F.coalesce(x["size"], F.lit(0))
+        one = F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value")))
+        return F.struct(end.alias("at"), F.when(x["size"].isNull(), a["spans"]).otherwise(F.concat(a["spans"], one)).alias("spans"))
+
+    steps = F.transform(steps, lambda x: F.struct(x["gap"].alias("gap"), x["size"].alias("size"), x["value"].alias("value")))
+    return F.aggregate(steps, start, add, lambda a: a["spans"])
+
+
+def _none() -> Column:
+    return F.array().cast(_SPANS)
+
+
+def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Adds assign, access and hex: arrays of (start, end, value). Rows without a
+    keyword, key prefix or long run never reach the slower expressions."""
+    low = F.lower(text)
+    keyword = low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("api_key") | low.contains("apikey")
+    column = F.col(text)
+    assign = F.filter(_spans(column, ASSIGN, 1), lambda s: F.length(s["value"]) >= 6)
+    access = F.filter(_spans(column, ACCESS, 0), lambda s: F.length(s["value"]) >= 20)
+    return docs.withColumns({
+        "assign": F.when(F.coalesce(keyword, F.lit(False)) & column.rlike(ASSIGN), assign).otherwise(_none()),
+        "access": F.when(F.coalesce(column.contains("AKIA"), F.lit(False)), access).otherwise(_none()),
+        "hex": F.when(F.coalesce(column.rlike(HEX), F.lit(False)), _spans(column, HEX, 0)).otherwise(_none()),
+    })
+
+
+def _log_term(n: Column) -> Column:
+    return F.when(n > 0, n * F.log2(F.greatest(n, F.lit(1)))).otherwise(0.0)
+
+
+def best_windows(candidates: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """keys, value and ``bits``: the highest entropy of WINDOW characters."""
+    chars = candidates.select(*keys, value, F.posexplode(F.expr(f"filter(split({value}, ''), c -> c <> '')")).alias("i", "c"))
+    own = W.partitionBy(*keys, "c").orderBy("i")
+    entering = F.count("*").over(own.rangeBetween(-(WINDOW - 1), -1))
+    leaving = F.count("*").over(own.rangeBetween(0, WINDOW - 1))
+    steps = chars.withColumn("n", entering).withColumn("m", leaving)
+    steps = steps.withColumn("plus", _log_term(F.col("n") + 1) - _log_term(F.col("n"))).withColumn("minus", _log_term(F.col("m") - 1) - _log_term(F.col("m")))
+    along = W.partitionBy(*keys).orderBy("i")
+    total = F.sum("plus").over(along.rowsBetween(W.unboundedPreceding, 0)) + F.coalesce(F.sum("minus").over(along.rowsBetween(W.unboundedPreceding, -WINDOW)), F.lit(0.0))
+    bits = F.log2(F.lit(float(WINDOW))) - total / WINDOW
+    return steps.withColumn("bits", bits).filter(F.col("i") >= WINDOW - 1).groupBy(*keys).agg(F.max("bits").alias("bits"), F.first(value).alias(value))
+
+
+def entropy_spans(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """keys, start, end, value, bits of the candidates over their threshold."""
+    column = F.col(text)
+    found = docs.filter(column.rlike(CANDIDATE)).select(*keys, F.explode(F.filter(_spans(column, CANDIDATE, 0), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))).alias("s"))
+    found = found.select(*keys, "s.*").distinct()
+    for pattern in ALLOWED:
+        found = found.filter(~F.col("value").rlike(pattern))
+    scored = best_windows(found, [*keys, "start", "end"])
+    kind = F.when(F.col("value").rlike("^[0-9a-fA-F]+$"), "hex").when(F.col("value").rlike("^[A-Za-z0-9]+$"), "alnum").otherwise("marks")
+    least = F.element_at(F.create_map(*[F.lit(x) for pair in THRESHOLDS.items() for x in pair]), kind)
+    return scored.filter(F.col("bits") >= least)
+
+
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, assign, access, hex and entropy spans; one row per input row."""
+    rows = docs.select(*common.row_key(key, text), F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    base = base_spans(rows).drop("text")
+    extra = entropy_spans(rows, ["k1", "k2"]).groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("start", "end", "value"))).alias("entropy"))
+    both = base.join(extra, ["k1", "k2"], "left").withColumn("entropy", F.coalesce("entropy", _none()))
+    known = F.concat("assign", "access", "hex")
+    fresh = F.filter("entropy", lambda s: ~F.exists(known, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
+    return both.select("doc_id", "assign", "access", "hex", fresh.alias("entropy"))
+
+
+def digest(found: DataFrame) -> DataFrame:
+    """Counts, hash of the base spans, list of all spans."""
+
+    def tagged(*kinds: str) -> Column:
+        rank = {k: i for i, k in enumerate((*KINDS, "entropy"))}
+
+        def part(kind: str) -> Column:
+            return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), F.lit(rank[kind]).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+
+        parts = [part(k) for k in kinds]
+        return F.concat_ws(",", F.transform(F.array_sort(F.concat(*parts)), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+
+    return found.select(
+        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(tagged(*KINDS), 256).alias("base_sha256"), tagged(*KINDS, "entropy").alias("spans"),
+    )
