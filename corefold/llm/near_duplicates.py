@@ -8,10 +8,11 @@ similarity 0.8 share none of the BANDS bands with a chance under 1e-6. Every pai
 that the bands propose is confirmed on the full sets before it counts.
 
 Equal sets are one class and compared once. In a bucket every class is compared
-with the smallest one; where that leaves several components in a bucket, each
-class outside the bucket's largest component is compared with all others of other
-components. So no proposed link is lost, and a bucket of n copies costs n
-comparisons, not n squared. Sets of less than four shingles can reach 0.8 with an
+with the smallest one, then, where the bucket is still in several components, with
+its best linked one. What then lies outside a bucket's largest component is compared
+with all of other components, but for pairs that a bound rules out: shingles that no
+other open class has cannot be common to two. So no proposed link is lost, and a
+bucket of n copies costs about n comparisons, not n squared. Sets of less than four shingles can reach 0.8 with an
 equal set only and enter no bucket.
 
 ``doc_id`` is the key of a document. Equal rows are answered alike; a null key never
@@ -167,6 +168,26 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return common.scan(both, run, "src bigint, dst bigint")
 
 
+def _open_buckets(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """bucket, node, n, component of the buckets that hold several components."""
+    placed = members.join(joined, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
+    apart = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("bucket")
+    return cut_lineage(placed.join(apart, "bucket"))
+
+
+def _shared_counts(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, shared: how many of its shingles any other of the nodes has. No
+    intersection within the nodes is larger, which rules out most pairs unseen."""
+
+    def spread(b: dict[str, list]) -> dict[str, list]:
+        return {"node": b["node"], "grams": [np.frombuffer(g, np.int64) for g in b["grams"]]}
+
+    each = common.scan(sets.join(nodes, "node", "left_semi"), spread, "node bigint, grams array<bigint>").select("node", F.explode("grams").alias("gram"))
+    alone = each.groupBy("gram").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1").groupBy("node").agg(F.count("*").alias("own"))
+    sizes = sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.max(F.octet_length("grams") / 8).cast("long").alias("size"))
+    return sizes.join(alone, "node", "left").select("node", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared"))
+
+
 def components(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest linked doc_id), kept; one row per
     input row."""
@@ -183,17 +204,25 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "d
     links = cut_lineage(_confirm(star, sets, percent))
     joined = connected_components(links)
 
-    placed = members.join(joined, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("bucket")
-    placed = cut_lineage(placed.join(open_, "bucket"))
+    # Once more against the best linked member of each bucket that is still in parts.
+    placed = _open_buckets(members, joined)
+    degree = links.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    hubs = placed.join(degree, "node", "left").groupBy("bucket").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("d"), "component", "node")).alias("hub"))
+    hubs = hubs.select("bucket", F.col("hub.node").alias("dst"), F.col("hub.component").alias("c"))
+    again = placed.join(hubs, "bucket").filter("component <> c").select(F.col("node").alias("src"), "dst").distinct()
+    links = cut_lineage(links.unionByName(_confirm(again, sets, percent)))
+    joined = connected_components(links)
+
+    placed = _open_buckets(members, joined)
     main = placed.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "component"))["component"].alias("main"))
-    placed = cut_lineage(placed.join(main, "bucket"))
-    outside = placed.filter("component <> main").select("bucket", F.col("node").alias("src"), F.col("n").alias("n_src"), F.col("component").alias("c_src"))
-    others = placed.select("bucket", F.col("node").alias("dst"), F.col("n").alias("n_dst"), F.col("component").alias("c_dst"), "main")
-    near = F.least("n_src", "n_dst") * 100 >= F.greatest("n_src", "n_dst") * percent
+    shared = _shared_counts(sets, placed.select("node").distinct())
+    placed = cut_lineage(placed.join(main, "bucket").join(shared, "node"))
+    outside = placed.filter("component <> main").select("bucket", F.col("node").alias("src"), F.col("n").alias("n_src"), F.col("shared").alias("s_src"), F.col("component").alias("c_src"))
+    others = placed.select("bucket", F.col("node").alias("dst"), F.col("n").alias("n_dst"), F.col("shared").alias("s_dst"), F.col("component").alias("c_dst"), "main")
+    most = F.least("s_src", "s_dst")  # the intersection is no larger
+    near = most * 100 >= (F.col("n_src") + F.col("n_dst") - most) * percent
     rest = outside.join(others, "bucket").filter(near & (F.col("c_src") != F.col("c_dst")) & ((F.col("c_dst") == F.col("main")) | (F.col("src") < F.col("dst"))))
-    rest = rest.select("src", "dst").distinct()
-    more = cut_lineage(_confirm(rest, sets, percent))
+    more = cut_lineage(_confirm(rest.select("src", "dst").distinct(), sets, percent))
     if not more.isEmpty():
         joined = connected_components(links.unionByName(more))
 

@@ -1,0 +1,415 @@
+"""Operators on small tables against brute force, with nulls, ties, repeated rows,
+empty tables and columns of clashing names."""
+
+import collections
+import math
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from corefold.llm import decontamination, language, line_dedup, media, near_duplicates, private, secrets_scan, templates, token_files
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def table(spark, texts, **more):
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS).coalesce(2)
+
+
+def odd_table(spark):
+    """Nulls in every column, empty and long texts, repeated rows, clashing names."""
+    rows = [
+        (1, "plain words here for the first text", "en", "s", 5), (1, "plain words here for the first text", "en", "s", 5), (None, "no key here at all", None, None, None),
+        (3, None, "fr", None, 1), (4, "", None, "s", 0), (5, "12 34 -- !!", "de", "s", 0), (6, "long " * 30000, "en", "s", 1), (7, "\n\n \n", "en", "s", 1),
+    ]
+    df = spark.createDataFrame(rows, DOCS)
+    for name in ("k1", "value", "n", "bands", "term", "host", "rank", "key", "ids"):
+        df = df.withColumn(name, F.lit("x"))
+    return df
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+# ---- media
+
+def test_media_of_odd_rows(spark):
+    read = media.load_media(media.store_media(odd_table(spark))).collect()
+    assert len(read) == 8
+    for r in read:
+        assert len(r["payload"]) % 192 == 0 and len(r["rgb"]) == 3 * r["height"] * r["width"]
+    assert {bytes(r["payload"]) for r in read if r["n_bytes"] == 0} == {b" " * 192}
+    assert media.load_media(media.store_media(odd_table(spark).limit(0))).count() == 0
+
+
+# ---- language
+
+def test_language_learns_and_marks_the_unknown(spark):
+    draw = random.Random(2)
+    words = {"en": "the and with that from".split(), "fr": "les des une dans être".split()}
+    rows = [(i, " ".join(draw.choice(words[x]) for _ in range(12)), x, "s", 0) for i in range(200) for x in (draw.choice(["en", "fr"]),)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("held", language.held_out())
+    model = language.train(docs.filter("not held"))
+    held = language.predict(docs.filter("held"), model)
+    assert held.filter("lang_pred <> lang").count() == 0 and held.count() > 10
+    odd = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predict(odd_table(spark), model).collect()}
+    assert odd[3] == odd[4] == odd[5] == odd[7] == ("und", 0.0) and odd[6][0] in ("en", "fr")
+    empty = language.train(docs.limit(0))
+    assert {r["lang_pred"] for r in language.predict(odd_table(spark), empty).collect()} == {"und"}
+    assert language.predict(docs.limit(0), model).count() == 0
+
+
+def test_language_counts_equal_a_plain_count(spark):
+    texts = ["Ab, cd!", "é1x"]
+    grams, starts = language.hashed_ngrams(texts)
+    alone = [language.hashed_ngrams([t])[0] for t in texts]
+    assert (grams[:, : starts[1]] == alone[0]).all() and (grams[:, starts[1] :] == alone[1]).all()
+    # " ab  cd  " holds 4 letters and 3 blanks before or between letters; the doubled blank counts once.
+    assert (alone[0][0] < language.BUCKETS).sum() == 6
+
+
+def test_language_on_the_given_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("held", language.held_out())
+    got = language.predict(docs.filter("held"), language.train(docs.filter("not held")))
+    right = got.filter("lang_pred = lang").count()
+    assert right >= 0.95 * got.filter("lang is not null").count()
+
+
+# ---- private
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_private(text):
+    out = []
+    for rank, (kind, pattern) in enumerate(PLAIN.items()):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == "card" and not (12 <= len(digits) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(digits[::-1])) % 10 == 0):
+                continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            out.append((m.start(), rank, m.end(), kind))
+    return [(k, a, b) for a, _, b, k in sorted(out)]
+
+
+def test_private_patterns_equal_plain_search():
+    draw = random.Random(4)
+    parts = ["a.b@c.de", "@", "x@y", "x@y.z@q.r", "1.2.3.4", "300.1.1.1", "0001.2.3.255", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1112", "+49 (30) 123-4567", "+1 ", "+",
+             "12", " ", ".", "-", "é", "word", "%_@a-b.c-", "123456789012345678901234567890", "(", "\n"]
+    for _ in range(3000):
+        text = "".join(draw.choice(parts) for _ in range(draw.randrange(12)))
+        assert [(k, a, b) for a, b, k, _ in private.base_spans(text)] == plain_private(text), text
+
+
+def test_terms_that_disclose_are_found(spark):
+    draw = random.Random(6)
+    filler = [f"filler{chr(97 + i)}" for i in range(20)]
+    texts = [f"{' '.join(draw.choice(filler) for _ in range(6))} number {i}" for i in range(300)]
+    for i in range(0, 20):
+        texts[i] = f"{draw.choice(filler)} write quixotic to bob@mail.org or {draw.choice(filler)} number {i}"
+    docs = table(spark, texts)
+    got = private.sanitise(docs).collect()
+    assert len(got) == 300
+    for r in got:
+        terms = {texts[r["doc_id"]][t["start"] : t["end"]] for t in r["terms"]}
+        if r["doc_id"] < 20:
+            assert "quixotic" in terms and not terms & set(filler)
+            assert "quixotic" not in r["text"] and "bob@" not in r["text"] and "<email>" in r["text"]
+        else:
+            assert not terms and r["text"] == texts[r["doc_id"]]
+
+
+def test_private_odd_rows(spark):
+    got = private.digest(private.sanitise(odd_table(spark), with_text=False)).collect()
+    assert len(got) == 8 and all(r["spans"] == "" for r in got)
+    assert private.sanitise(odd_table(spark).limit(0)).count() == 0
+
+
+# ---- near duplicates
+
+def plain_sets(texts, words):
+    out = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+        out.append({tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set())
+    return out
+
+
+def plain_components(texts, words, percent=80):
+    sets, parent = plain_sets(texts, words), list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                x, y = sorted((root(i), root(j)))
+                parent[y] = x
+    return [root(i) for i in range(len(texts))], sets
+
+
+@pytest.mark.parametrize("words", [2, 5])
+def test_components_equal_all_pairs(spark, words):
+    draw = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(25):
+        base = [draw.choice(vocabulary) for _ in range(draw.randrange(1, 80))]
+        for _ in range(draw.randrange(1, 9)):
+            copy = list(base)
+            for _ in range(draw.randrange(4)):
+                copy[draw.randrange(len(copy))] = draw.choice(vocabulary)
+            texts.append(" ".join(copy).upper() if draw.random() < 0.2 else " ".join(copy))
+    texts += ["", None, " \t\n", "one", "ONE", "hot pair", "hot pair x", "hot pair y", "a b c d e f", "a b c d e f g"]
+    want, sets = plain_components(texts, words)
+    got = {r["doc_id"]: r for r in near_duplicates.components(table(spark, texts), words=words).collect()}
+    assert [got[i]["component_id"] for i in range(len(texts))] == want
+    assert [got[i]["n_shingles"] for i in range(len(texts))] == [len(s) for s in sets]
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got.values())
+
+
+def test_components_of_odd_rows(spark):
+    got = near_duplicates.components(odd_table(spark)).collect()
+    assert len(got) == 8
+    assert [r["component_id"] for r in got if r["doc_id"] == 1] == [1, 1]
+    assert [(r["component_id"], r["kept"]) for r in got if r["doc_id"] is None] == [(None, False)]
+    assert near_duplicates.components(odd_table(spark).limit(0)).count() == 0
+
+
+# ---- lines
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def some_lines(seed, n):
+    draw = random.Random(seed)
+    bases = ["".join(draw.choice("abcd é") for _ in range(draw.randrange(14, 34))) for _ in range(n // 6)]
+    out = []
+    for _ in range(n):
+        s = draw.choice(bases)
+        for _ in range(draw.randrange(4)):
+            i = draw.randrange(len(s) + 1)
+            s = s[:i] + draw.choice(["", "x", "yz"]) + s[i + draw.randrange(2) :]
+        out.append(s)
+    return out
+
+
+@pytest.mark.parametrize("limit", [1, 2])
+def test_line_links_equal_all_pairs(spark, limit):
+    lines = some_lines(limit, 240)
+    docs = table(spark, ["\n".join(lines[i : i + 4]) for i in range(0, 240, 4)])
+    norm = sorted({s.strip(" \t\r").lower() for s in lines})
+    norm = [s for s in norm if len(s) >= line_dedup.MIN_CHARS]
+    want = {(a, b) for i, a in enumerate(norm) for b in norm[i + 1 :] if edits(a, b) <= limit}
+    found = line_dedup.lines_of(docs)
+    names = {(r["h1"], r["h2"]): r["line"] for r in found.collect()}
+    got = [tuple(sorted((names[r["h1"], r["h2"]], names[r["g1"], r["g2"]]))) for r in line_dedup.links(found, limit).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_line_dedup_equals_plain(spark):
+    lines = some_lines(9, 160) + ["short", "short", "", ""]
+    texts = ["\n".join(lines[i : i + 5]) for i in range(0, len(lines), 5)]
+    seen, first = [], {}
+    for d, t in enumerate(texts):
+        for p, s in enumerate(t.split("\n")):
+            s = s.strip(" \t\r").lower()
+            if len(s) >= line_dedup.MIN_CHARS and s not in first:
+                first[s] = (d, p)
+                seen.append(s)
+    want = []
+    for d, t in enumerate(texts):
+        kept = []
+        for p, raw in enumerate(t.split("\n")):
+            s = raw.strip(" \t\r").lower()
+            if len(s) < line_dedup.MIN_CHARS or first[s] == (d, p) and not any(first[o] < (d, p) and edits(o, s) <= line_dedup.EDITS for o in seen if o != s):
+                kept.append(raw)
+        want.append("\n".join(kept))
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_lines_of_odd_rows(spark):
+    docs = odd_table(spark)
+    got = line_dedup.dedup(docs)
+    assert got.columns == docs.columns and got.count() == 8
+    assert {r["doc_id"]: r["text"] for r in got.collect()}[3] is None
+    assert line_dedup.dedup(docs.limit(0)).count() == 0 and line_dedup.occurrences(docs.limit(0)).count() == 0
+
+
+# ---- decontamination
+
+def plain_hits(text, items, size=13):
+    def words(s):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(s))
+
+    w, hit, own = words(text), set(), set()
+    for item, s in items:
+        v = words(s)
+        k = min(size, len(v))
+        windows = {tuple(v[j : j + k]) for j in range(len(v) - k + 1)} if v else set()
+        for j in range(len(w) - k + 1):
+            if v and tuple(w[j : j + k]) in windows:
+                hit.update(range(j, j + k))
+                own.add(item)
+    return len(w), len(hit), sorted(own)
+
+
+def test_decontamination_equals_plain(spark, monkeypatch):
+    draw = random.Random(3)
+    vocabulary = ["a", "b", "é", "x1", "ünder", "THE"]
+    items = [(str(i), " ".join(draw.choice(vocabulary) for _ in range(draw.randrange(18)))) for i in range(25)] + [("none", None), ("mark", "...")]
+    texts = [draw.choice([" ", ", "]).join(draw.choice(vocabulary) for _ in range(draw.randrange(60))) for _ in range(60)] + [None, "", "a" * 1000]
+    texts += [f"zz {items[2][1].upper()} zz", items[3][1]]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    for block in (1 << 20, 800):
+        monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
+        got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontamination.find(table(spark, texts), bench).collect()}
+        for i, t in enumerate(texts):
+            assert got[i] == plain_hits(t, items), t
+    assert decontamination.find(odd_table(spark), bench.limit(0)).count() == 8
+    assert decontamination.find(odd_table(spark).limit(0), bench).count() == 0
+
+
+def test_spans_lead_back_to_the_text():
+    own = decontamination.Matcher([("i", "é x")], 13)
+    text = "Zz É-é, X  q "
+    _, ranges, _ = own.scan(text)
+    assert [text[s["start"] : s["end"]] for s in decontamination.original_spans(text, ranges)] == ["é, X"]
+
+
+# ---- token files
+
+def test_token_files_hold_all_in_order(spark):
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    draw = random.Random(1)
+    texts = [" ".join(draw.choice(["The", "cat", "naïve", "x,y.", "12"]) for _ in range(draw.randrange(30))) for _ in range(90)] + ["", None]
+    docs = table(spark, texts).repartition(5)
+    got = sorted(token_files.read_files(spark, token_files.write_files(docs, path, 2)).collect(), key=lambda r: r["doc_id"])
+    start = 0
+    for r, t in zip(got, texts):
+        ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        assert (r["start"], r["n_tokens"], zlib.crc32(r["ids"])) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert token_files.read_files(spark, token_files.write_files(odd_table(spark), path, 2)).count() == 8
+    assert token_files.read_files(spark, token_files.write_files(odd_table(spark).limit(0), path, 2)).count() == 0
+
+
+# ---- secrets
+
+def plain_secrets(text):
+    patterns = [
+        ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6),
+        ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 24),
+    ]
+    out = []
+    for rank, (kind, pattern, holds) in enumerate(patterns):
+        out += [(m.start(), rank, m.end(), kind) for m in re.finditer(pattern, text) if holds(m)]
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(out))
+
+
+def test_secrets_equal_plain_search(spark):
+    draw = random.Random(5)
+    parts = ["password", "PassWd", "secret", "token", "api_key", "ApiKey", "=", ":", " ", '"', "'", "abcdef12", "ab", "AKIA", "ABCDEFGH12345678", "AKIAX", "0123456789abcdef", "deadbeef", "é", "\n", "zz", "secret=token:abcdefgh"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randrange(14))) for _ in range(400)]
+    got = secrets_scan.scan(table(spark, texts))
+    tagged = {r["doc_id"]: r for r in secrets_scan.digest(got).collect()}
+    import hashlib
+
+    for i, t in enumerate(texts):
+        assert tagged[i]["base_sha256"] == hashlib.sha256(plain_secrets(t).encode()).hexdigest(), t
+
+
+def test_windows_equal_plain_entropy(spark):
+    draw = random.Random(2)
+    values = ["".join(draw.choice("abcdef0123") for _ in range(draw.randrange(20, 60))) for _ in range(40)]
+    got = {r["k"]: r["bits"] for r in secrets_scan.best_windows(spark.createDataFrame(list(enumerate(values)), "k int, value string"), ["k"]).collect()}
+    for i, v in enumerate(values):
+        best = max(-sum(n / 20 * math.log2(n / 20) for n in collections.Counter(v[j : j + 20]).values()) for j in range(len(v) - 19))
+        assert abs(got[i] - best) < 1e-9
+
+
+def test_entropy_finds_keys_and_allows_the_known(spark):
+    texts = ["key Zx9Kq3LmP0vTr7YbNc2Wd8Jf here", "id 123e4567-e89b-12d3-a456-426614174000", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa1", "some-long-path/of-plain/words-12", "x Zx9Kq3example0vTr7YbNc2Wd8Jf"]
+    got = {r["doc_id"]: r["spans"] for r in secrets_scan.digest(secrets_scan.scan(table(spark, texts))).collect()}
+    assert got == {0: "entropy:4:28", 1: "", 2: "", 3: "", 4: ""}
+    assert secrets_scan.scan(odd_table(spark)).count() == 8 and secrets_scan.scan(odd_table(spark).limit(0)).count() == 0
+
+
+# ---- pages
+
+PAGE = (
+    "<!DOCTYPE html><html><head><title>T</title><script>var t='</p>';</script></head><body><nav><ul><li>Menu</ul></nav><!-- x --><div class=\"ad\">Buy</div>"
+    "<article><h1>Head &amp; {0}</h1><p><b>One  {0}<br><p>Two&nbsp;x</p><aside>side</aside><form>f</form><div id='comments'><p>nice</div><p>Same on all</p></article>"
+    "<footer>&copy; y</footer></body></html>"
+)
+
+
+def test_pages_give_their_article(spark):
+    rows = [(i, f"http://h.example/{i}", PAGE.format(i)) for i in range(5)] + [(9, "http://one.example/", PAGE.format("z")), (10, None, None), (11, "x", ""), (11, "x", "")]
+    got = [(r["page_id"], r["text"]) for r in templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    text = {i: f"Head & {i} One {i} Two x Same on all" for i in [*range(5), "z"]}
+    assert sorted(got) == sorted([(i, text[i]) for i in range(5)] + [(9, text["z"]), (10, ""), (11, ""), (11, "")])
+
+
+def test_frame_text_of_a_host_without_article_is_template(spark):
+    page = "<html><body><div class='top'>Our site</div><div class='text'><p>Text {0} of page</p></div><div class='end'>All of it reserved</div>"
+    rows = [(i, f"http://plain.example/{i}", page.format(i)) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Text {i} of page" for i in range(6)}
+
+
+@pytest.mark.parametrize("html", ["<", "<<p>", "<p", "</", "<!--", "<a href='x", "<script>", "<p class=\"a>b\">c", "a < b", "</p></p>", "<svg/><p>x", "&#xZZ; &amp"])
+def test_broken_markup_is_read(html):
+    assert isinstance(templates.main_text(html, None, frozenset()), str)
+
+
+# ---- pipeline
+
+def test_pipeline_on_a_small_folder(spark, tmp_path):
+    import corpus_pipeline
+
+    draw = random.Random(1)
+    words = "the and with that from there where them water house tree bird road stone".split()
+    base = [" ".join(draw.choice(words) + str(draw.randrange(60)) for _ in range(40)) for _ in range(30)]
+    item = " ".join(draw.choice(words) + "q" for _ in range(30))
+    texts = [*base, base[0], base[1] + " more", "12 ..", None, "", f"lead {item} tail", base[2] + "\n" + base[3]]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("b", item)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert set(range(30)) <= set(got) and not {32, 33, 34, 35} & set(got)
+    assert 31 not in got and all(r["round_trip"] for r in got.values())
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert {r["doc_id"] for r in docs.collect()} == set(got)
