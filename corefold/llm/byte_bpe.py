@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from corefold.llm import common
 
-CACHE = 1 << 20
+CACHE = 1 << 19
 CACHED_CHARS = 64
 
 

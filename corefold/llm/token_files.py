@@ -26,7 +26,7 @@ from tokenizers import Tokenizer
 from corefold.llm import common
 from corefold.session import fresh_path
 
-CACHE = 1 << 20
+CACHE = 1 << 19
 CACHED_CHARS = 64
 DOCUMENTS_PER_PART = 5_000
 
