@@ -26,7 +26,7 @@ from tokenizers import Tokenizer
 from corefold.llm import common
 from corefold.session import fresh_path
 
-CACHE = 1 << 19
+CACHE = 1 << 20
 CACHED_CHARS = 64
 DOCUMENTS_PER_PART = 5_000
 
@@ -212,15 +212,18 @@ def write_files(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", te
     table[ranked] = np.arange(len(ranked), dtype=np.uint32)
     shared = spark.sparkContext.broadcast(table)
 
+    kind = dict(tokens.dtypes)["doc_id"]
+
     def encode(b: dict[str, list]) -> dict[str, list]:
         ids = [shared.value[np.frombuffer(x, width)] for x in b["ids"]]
         packed = pack(ids)
         return {"doc_id": b["doc_id"], "n_tokens": [len(x) for x in ids], "control": [c for c, _ in packed], "data": [d for _, d in packed]}
 
-    kind = dict(tokens.dtypes)["doc_id"]
-    coded = common.scan(tokens, encode, f"doc_id {kind}, n_tokens bigint, control binary, data binary")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens.count() // DOCUMENTS_PER_PART)
-    ordered = coded.repartitionByRange(parts, "doc_id", F.xxhash64("control", "data")).sortWithinPartitions("doc_id", F.xxhash64("control", "data"))
+    # Ordered before they are packed: finding the ranges reads the table once more.
+    order = ("doc_id", F.xxhash64("ids"))
+    ordered = tokens.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    coded = common.scan(ordered, encode, f"doc_id {kind}, n_tokens bigint, control binary, data binary")
 
     def place(batches):
         start = 0
@@ -230,8 +233,7 @@ def write_files(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends - sizes)], names=[*batch.schema.names, "place"])
             start = int(ends[-1]) if len(ends) else start
 
-    ordered = ordered.withColumn("part", F.spark_partition_id())
-    placed = ordered.mapInArrow(place, f"doc_id {kind}, n_tokens bigint, control binary, data binary, part int, place bigint")
+    placed = coded.withColumn("part", F.spark_partition_id()).mapInArrow(place, f"doc_id {kind}, n_tokens bigint, control binary, data binary, part int, place bigint")
     placed.write.option("compression", "zstd").parquet(files.parts)
     sizes = spark.read.parquet(files.parts).groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
     starts = np.cumsum([0] + [r["n"] for r in sizes]).tolist()
