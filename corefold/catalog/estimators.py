@@ -61,12 +61,16 @@ def _(t):
 
 
 MODES = """mm AS (SELECT *, type < 2 AS visual FROM mentions),
+    mv AS MATERIALIZED (SELECT doc, idx, type, number, type < 2 AS visual, lemma, sent, list_transform(emb, lambda x: x / greatest(1e-100, sqrt(list_dot_product(emb, emb)))) AS u FROM mention_vectors),
+    sem AS MATERIALIZED (SELECT b.doc, b.idx AS j, a.idx AS i, b.lemma AS tgt, a.lemma AS src, b.sent - a.sent AS dist FROM mv a JOIN mv b
+      ON a.doc = b.doc AND a.type = b.type AND a.number = b.number AND a.visual = b.visual AND a.idx < b.idx WHERE abs(list_dot_product(a.u, b.u)) > 0.5),
     moded AS (SELECT *, CASE WHEN s IS NOT NULL AND (d IS NULL OR s <= d) THEN 'semantic' WHEN d IS NOT NULL THEN 'discourse' WHEN visual THEN 'visual' ELSE 'semantic' END AS mode FROM (
-      SELECT m.*, CASE WHEN s0 < idx THEN s0 END AS s, CASE WHEN mtype = 'pronoun' AND d0 < idx THEN d0 END AS d FROM (
-        SELECT *, min(idx) OVER (PARTITION BY doc, type, number, visual) AS s0, min(idx) FILTER (mtype = 'nominal') OVER (PARTITION BY doc, type) AS d0 FROM mm) m)),
+      SELECT m.*, s0 AS s, CASE WHEN mtype = 'pronoun' AND d0 < idx THEN d0 END AS d FROM (
+        SELECT *, min(idx) FILTER (mtype = 'nominal') OVER (PARTITION BY doc, type) AS d0 FROM mm) m
+      LEFT JOIN (SELECT doc, j, min(i) AS s0 FROM sem GROUP BY ALL) s ON s.doc = m.doc AND s.j = m.idx)),
     mass AS (SELECT doc, k, sum(p) AS mass FROM posteriors GROUP BY ALL),
-    mcand AS (SELECT 'semantic' AS mode, b.doc, b.idx AS j, b.lemma AS tgt, a.lemma AS src, b.sent - a.sent AS dist, count(*)::DOUBLE AS n, min(a.idx) AS first, true AS open
-        FROM moded b JOIN mm a ON a.doc = b.doc AND a.type = b.type AND a.number = b.number AND a.visual = b.visual AND a.idx < b.idx WHERE b.mode = 'semantic' GROUP BY ALL
+    mcand AS (SELECT 'semantic' AS mode, s.doc, s.j, s.tgt, s.src, s.dist, count(*)::DOUBLE AS n, min(s.i) AS first, true AS open
+        FROM sem s JOIN moded b ON s.doc = b.doc AND s.j = b.idx WHERE b.mode = 'semantic' GROUP BY ALL
       UNION ALL SELECT mode, doc, idx, lemma, '###NEW###', sent, 1, -1, tag <> 'PRP' FROM moded WHERE mode = 'semantic'
       UNION ALL SELECT 'discourse', b.doc, b.idx, b.mtype || '__' || b.number, a.mtype || '__' || a.number, b.sent - a.sent, count(*), min(a.idx), true
         FROM moded b JOIN mm a ON a.doc = b.doc AND a.type = b.type AND a.idx < b.idx AND a.mtype = 'nominal' WHERE b.mode = 'discourse' AND b.mtype = 'pronoun' GROUP BY ALL
@@ -93,12 +97,17 @@ def mode_rounds(rounds: int) -> str:
     return ", ".join(views)
 
 
-def moded(t):
-    return T.assign_mode(t.mentions().withColumn("visual", F.col("type") < 2))
+def semantic_words(t):
+    return cut_lineage(T.semantic_matches(t.mention_vectors().withColumn("visual", F.col("type") < 2), block=BLOCK))
+
+
+def moded(t, semantic=None):
+    return T.assign_mode(t.mentions().withColumn("visual", F.col("type") < 2), semantic_words(t) if semantic is None else semantic)
 
 
 def mode_candidates(t):
-    return T.mode_candidates(cut_lineage(moded(t)), T.cluster_mass(t.posteriors()), block=BLOCK)
+    semantic = semantic_words(t)
+    return T.mode_candidates(cut_lineage(moded(t, semantic)), semantic, T.cluster_mass(t.posteriors()), block=BLOCK)
 
 
 def fitted_modes(t, rounds):

@@ -15,15 +15,13 @@ from corefold.operators import spans as S
 
 
 def shape(vector: str = "emb"):
-    """A vector as four comparable columns."""
+    """A whole vector as comparable columns: its size and all values in millionths."""
     v = F.col(vector)
-    return [
-        F.size(v).alias("n"), six_digits(F.element_at(v, 1)).alias("first"),
-        six_digits(F.element_at(v, -1)).alias("last"), six_digits(V.vsum(v)).alias("total"),
-    ]
+    parts = F.transform(v, lambda x: F.floor(x * 1e6 + 0.5 + 1e-4).cast("long").cast("string"))
+    return [F.size(v).alias("n"), F.array_join(parts, ",").alias("millionths")]
 
 
-SHAPE = "len(emb)::BIGINT AS n, round(emb[1], 6) AS first, round(emb[-1], 6) AS last, round(list_sum(emb), 6) AS total"
+SHAPE = "len(emb)::BIGINT AS n, array_to_string(list_transform(emb, lambda x: floor(x * 1e6 + 0.5 + 1e-4)::BIGINT), ',') AS millionths"
 
 
 def mean_sql(keys: str, rows: str) -> str:
@@ -377,7 +375,7 @@ def _(t):
 ENTITY_MATCH = STRING_MATCH.format(t="tok", l="lemma", x=0.2, y=0.4)
 RIGHT_MATCH = STRING_MATCH.format(t="right_tok", l="right_lemma", x=0.2, y=0.4)
 NUMBER_ENTITY = "CASE WHEN a.number <> b.number THEN (a.number = 'plural' AND b.number = 'numeric') OR (a.number = 'numeric' AND b.number = 'plural') ELSE a.number <> 'numeric' OR a.lemma = b.lemma END"
-STOP = "('a', 'an', 'the', 'of', 'and', 'in', 'on', 'for', 'to', 'at', 'by', 'with', 'from')"
+STOP = "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in X.stop_words()) + ")"
 ENTITY_ROWS = """ent AS (SELECT *, CASE WHEN tag = 'CD' THEN 'numeric' ELSE num0 END AS number, lead(tok) OVER w AS right_tok, lead(lemma) OVER w AS right_lemma, lead(m_start) OVER w AS right_start
     FROM (SELECT * EXCLUDE (number), number AS num0 FROM mentions) WINDOW w AS (PARTITION BY doc ORDER BY idx))"""
 

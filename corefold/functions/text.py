@@ -16,11 +16,24 @@ PLURAL_TAGS = ["NNS", "NNPS"]
 PLURAL_PRONOUNS = ["they", "them", "their", "we", "us", "our", "these", "those"]
 ONE_WORDS = ["one", "1"]
 WORD_CLASSES = ["NOUN", "VERB", "ADJ"]
-STOPWORDS = ["a", "an", "the", "of", "and", "in", "on", "for", "to", "at", "by", "with", "from"]
 NULL_TEXT = "###NULL###"
 NEW_TEXT = "###NEW###"
 
 
+# The usual English stop words, apostrophes and their leftovers included.
+_STOP = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs
+themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or
+because as until while of at by for with about against between into through during before after above below to from up down in out on off over under
+again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can
+will just don should now
+"""
+
+
+def stop_words() -> list[str]:
+    return _STOP.split()
+
+
 def mention_type(tag: Column) -> Column:
     return (
         F.when(tag.isin(PRONOUN_TAGS), "pronoun")
@@ -93,7 +106,7 @@ def string_match(
 
 
 def acronym_of(text: Column) -> Column:
-    words = F.filter(F.split(text, " "), lambda w: ~w.isin(STOPWORDS) & (w != ""))
+    words = F.filter(F.split(text, " "), lambda w: ~w.isin(stop_words()) & (w != ""))
     return F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
 
 

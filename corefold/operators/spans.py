@@ -299,16 +299,16 @@ def split_into_segments(sentences: DataFrame, width: int, fold_up_to: int = FOLD
 def _segments_by_fold(rows: DataFrame, width: int) -> DataFrame:
     lists = rows.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("sent", "n"))).alias("_s"))
     start = F.struct(
-        F.lit(0).cast("long").alias("seg"), F.lit(0).cast("long").alias("used"),
+        F.lit(0).cast("long").alias("seg"), F.lit(0).cast("long").alias("used"), F.lit(True).alias("fresh"),
         F.array().cast("array<struct<sent:bigint,seg:bigint,oversize:boolean>>").alias("out"),
     )
 
     def step(acc: Column, s: Column) -> Column:
-        fits = (acc["used"] + s["n"] <= width) | (acc["used"] == 0)
+        fits = (acc["used"] + s["n"] <= width) | acc["fresh"]  # an empty sentence opens a segment as well
         seg = F.when(fits, acc["seg"]).otherwise(acc["seg"] + 1)
         used = F.when(fits, acc["used"] + s["n"]).otherwise(s["n"])
         row = F.struct(s["sent"].alias("sent"), seg.alias("seg"), (s["n"] > width).alias("oversize"))
-        return F.struct(seg.alias("seg"), used.alias("used"), F.array_append(acc["out"], row).alias("out"))
+        return F.struct(seg.alias("seg"), used.alias("used"), F.lit(False).alias("fresh"), F.array_append(acc["out"], row).alias("out"))
 
     return lists.select("doc", F.explode(F.aggregate("_s", start, step)["out"]).alias("_r")).select("doc", "_r.*")
 

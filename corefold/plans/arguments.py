@@ -43,7 +43,7 @@ def imputation_candidates(slots: DataFrame) -> DataFrame:
 
 
 def fit_imputer(slots: DataFrame, rounds: int) -> T.Fitted:
-    roles = [r["role"] for r in slots.select("role").distinct().orderBy("role").limit(10_000).collect()]
+    roles = [r["role"] for r in slots.select("role").distinct().orderBy("role").collect()]  # one row per role of the ontology
     vocab = slots.select(F.countDistinct(F.coalesce("value", F.lit(X.NULL_TEXT)))).first()[0]
     return T.fit(imputation_candidates(slots), {r: vocab for r in roles}, rounds)
 

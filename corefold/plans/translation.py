@@ -90,22 +90,53 @@ def cluster_mass(posteriors: DataFrame) -> DataFrame:
     return posteriors.groupBy("doc", "k").agg(F.sum("p").alias("mass"))
 
 
-def assign_mode(mentions: DataFrame) -> DataFrame:
-    """Mode of each mention: the first earlier mention that matches semantically
-    (type, number, visual flag) or as the nominal of a pronoun decides; without
-    one it is visual if the mention is, else semantic.
+def semantic_matches(mentions: DataFrame, similarity: float = 0.5, block: int = 512) -> DataFrame:
+    """doc, j, tgt, src, dist, n, first: the earlier mentions of equal type, number
+    and visual flag whose vector's |cosine| exceeds ``similarity``, counted per lemma
+    and sentence distance. Blocks of mentions meet as matrix products; only the
+    counts leave a block pair."""
+    import numpy as np
+    import pandas as pd
 
-    The rules are equalities, so the first match is a minimum per key."""
-    same = mentions.groupBy("doc", "type", "number", "visual").agg(F.min("idx").alias("_s"))
+    units = mentions.select("doc", "type", "number", "visual", "idx", "lemma", F.col("sent").cast("long").alias("sent"), V.unit(F.col("emb")).alias("_u"))
+
+    def match(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if l.empty or r.empty:
+            return pd.DataFrame()
+        codes = l.groupby(["lemma", "sent"], sort=False).ngroup().to_numpy()
+        order = np.argsort(codes, kind="stable")
+        l, codes = l.iloc[order], codes[order]
+        starts = np.flatnonzero(np.diff(codes, prepend=-1))
+        at = l["idx"].to_numpy()
+        hit = np.abs(np.stack(r["_u"].to_numpy()) @ np.stack(l["_u"].to_numpy()).T) > similarity
+        hit &= at[None, :] < r["idx"].to_numpy()[:, None]
+        n = np.add.reduceat(hit, starts, axis=1, dtype=np.int64)
+        first = np.minimum.reduceat(np.where(hit, at[None, :], np.iinfo(np.int64).max), starts, axis=1)
+        row, col = np.nonzero(n)
+        sent = l["sent"].to_numpy()[starts]
+        return pd.DataFrame({
+            "doc": r["doc"].iloc[0], "j": r["idx"].to_numpy()[row], "tgt": r["lemma"].to_numpy()[row], "src": l["lemma"].to_numpy()[starts][col],
+            "dist": r["sent"].to_numpy()[row] - sent[col], "n": n[row, col].astype(float), "first": first[row, col],
+        })
+
+    keys = ["doc", "type", "number", "visual"]
+    parts = block_scores(units, units, keys, "idx", "idx", match, "doc long, j long, tgt string, src string, dist long, n double, first long", block)
+    return parts.groupBy("doc", "j", "tgt", "src", "dist").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+
+
+def assign_mode(mentions: DataFrame, semantic: DataFrame) -> DataFrame:
+    """Mode of each mention: the first earlier mention that matches semantically
+    (see ``semantic_matches``) or as the nominal of a pronoun decides; without one it
+    is visual if the mention is, else semantic."""
+    same = semantic.groupBy("doc", F.col("j").alias("idx")).agg(F.min("first").alias("_s"))
     nominal = mentions.filter("mtype = 'nominal'").groupBy("doc", "type").agg(F.min("idx").alias("_n"))
-    placed = mentions.join(same, ["doc", "type", "number", "visual"]).join(nominal, ["doc", "type"], "left")
-    semantic = F.when(F.col("_s") < F.col("idx"), F.col("_s"))
+    placed = mentions.join(same, ["doc", "idx"], "left").join(nominal, ["doc", "type"], "left")
     discourse = F.when((F.col("mtype") == "pronoun") & (F.col("_n") < F.col("idx")), F.col("_n"))
     late = F.lit(2**62)
-    first_s, first_d = F.coalesce(semantic, late), F.coalesce(discourse, late)
+    first_s, first_d = F.coalesce("_s", late), F.coalesce(discourse, late)
     return placed.withColumn(
         "mode",
-        F.when(semantic.isNotNull() & (first_s <= first_d), "semantic").when(discourse.isNotNull(), "discourse")
+        F.when(F.col("_s").isNotNull() & (first_s <= first_d), "semantic").when(discourse.isNotNull(), "discourse")
         .when(F.col("visual"), "visual").otherwise("semantic"),
     ).drop("_s", "_n")
 
@@ -120,14 +151,15 @@ def assign_mode_from_matches(candidates: DataFrame, default: Column) -> DataFram
     ).withColumnRenamed("j", "idx")
 
 
-def mode_candidates(mentions: DataFrame, mass: DataFrame | None, block: int = 256) -> DataFrame:
-    """Candidates of mentions with a ``mode``: semantic ones among those of equal
-    type, number and visual flag by lemma, discourse ones among the nominals of
+def mode_candidates(mentions: DataFrame, semantic_words: DataFrame, mass: DataFrame | None, block: int = 256) -> DataFrame:
+    """Candidates of mentions with a ``mode``: semantic ones are the words of
+    ``semantic_matches``, discourse ones among the nominals of
     their type by mention type and number, visual ones among the clusters."""
     accepts = ~F.col("tag").isin(X.PRONOUN_TAGS)
     named = mentions.withColumn("_d", X.mode_feature(F.lit("discourse"), F.col("lemma"), F.col("mtype"), F.col("number")))
     semantic, discourse, visual = (named.filter(F.col("mode") == m) for m in ("semantic", "discourse", "visual"))
-    out = candidate_words(semantic, named, ["doc", "type", "number", "visual"], "lemma", True, "semantic", block)
+    met = semantic_words.join(semantic.select("doc", F.col("idx").alias("j")), ["doc", "j"], "left_semi")
+    out = met.select(F.lit("semantic").alias("mode"), "doc", "j", "tgt", "src", "dist", "n", "first", F.lit(True).alias("open"))
     out = out.unionByName(null_candidates(semantic, "lemma", True, "semantic", accepts))
     pronouns = discourse.filter("mtype = 'pronoun'")
     out = out.unionByName(candidate_words(pronouns, named.filter("mtype = 'nominal'"), ["doc", "type"], "_d", True, "discourse", block))

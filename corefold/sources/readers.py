@@ -127,14 +127,14 @@ def read_standoff(spark: SparkSession, path: str, tagged: bool = False) -> dict[
     kind = F.substring(word(0), 1, 1)
     mentions = words.filter(kind == "T").select(
         "doc", word(0).alias("m_id"), word(1).alias("type"), word(2).cast("long").alias("c_from"), (word(3).cast("long") - 1).alias("c_to"),
-        F.array_join(F.slice("w", 5, 1_000_000), " ").alias("text"),
+        F.array_join(F.slice("w", F.lit(5), F.size("w")), " ").alias("text"),
     )
-    event = words.filter(kind == "E").select("doc", word(0).alias("e_id"), F.split(word(1), ":").alias("_t"), F.slice("w", 3, 1_000_000).alias("_r"))
+    event = words.filter(kind == "E").select("doc", word(0).alias("e_id"), F.split(word(1), ":").alias("_t"), F.slice("w", F.lit(3), F.size("w")).alias("_r"))
     events = event.select("doc", "e_id", F.get("_t", F.lit(0)).alias("type"), F.get("_t", F.lit(1)).alias("trigger"))
     roles = event.select("doc", "e_id", F.explode("_r").alias("_r")).select(
         "doc", "e_id", F.substring_index("_r", ":", 1).alias("role"), F.substring_index("_r", ":", -1).alias("m_id")
     )
-    sets = words.filter(kind == "*").select("doc", word(1).alias("kind"), F.slice("w", 3, 1_000_000).alias("_m"))
+    sets = words.filter(kind == "*").select("doc", word(1).alias("kind"), F.slice("w", F.lit(3), F.size("w")).alias("_m"))
     coreference = sets.select("doc", "kind", F.array_join("_m", " ").alias("set"), F.explode("_m").alias("m_id"))
     return {"mentions": mentions, "events": events, "roles": roles, "coreference": coreference}
 
@@ -148,7 +148,7 @@ def non_empty_files(spark: SparkSession, path: str) -> DataFrame:
 def read_captions(spark: SparkSession, path: str) -> DataFrame:
     """``doc caption words``."""
     words = F.split("value", " ")
-    return spark.read.text(path).select(F.get(words, F.lit(0)).alias("doc"), F.slice(words, 2, 1_000_000).alias("words"))
+    return spark.read.text(path).select(F.get(words, F.lit(0)).alias("doc"), F.slice(words, F.lit(2), F.size(words)).alias("words"))
 
 
 def read_phrases(spark: SparkSession, path: str) -> DataFrame:
