@@ -24,6 +24,8 @@ from corefold.llm import common
 
 EDITS = 2
 MIN_CHARS = 16
+#: Classes that share a key are sent to all executors up to this number, joined beyond.
+BROADCAST_ROWS = 1_000_000
 #: Frequent letters whose counts sift; any characters give right results.
 COUNTED = ("e", "t", "n", "a", "o", "r")
 _CLASS = ["h1", "h2"]
@@ -36,25 +38,25 @@ def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """First place (from 1) and size of segment i of a line of that length."""
-    first = F.floor(length * i / (edits + 1))
-    return (first + 1).cast("int"), (F.floor(length * (i + 1) / (edits + 1)) - first).cast("int")
+def one_byte(line: str = "line") -> Column:
+    """The line with one byte per character, so that places are offsets: Latin-1,
+    anything else a question mark. Equal parts stay equal; edits do not grow."""
+    return F.encode(F.regexp_replace(line, "[^\\x00-\\xFF]", "?"), "ISO-8859-1")
 
 
-def segment_keys(line: str = "line", edits: int = EDITS) -> Column:
-    """Array of (key, indexed): the segments of the line, which are also what it
-    looks for in lines of its own length, and the substrings it looks for besides,
-    in lines of its length and of up to ``edits`` less."""
-    text, size = F.col(line), F.length(line)
-    keys = []
+def segment_keys(size: str = "size", raw: str = "raw", edits: int = EDITS) -> tuple[Column, Column]:
+    """Two arrays of keys: the segments of the line, which are also what it looks for
+    in lines of its own length, and the substrings it looks for besides, in lines of
+    its length and of up to ``edits`` less."""
+    own, other = [], []
     for less in range(edits + 1):
         for i in range(edits + 1):
-            first, width = _segment(size - less, i, edits)
+            first = F.expr(f"cast(({size} - {less}) * {i} div {edits + 1} AS int)")
+            width = F.expr(f"cast(({size} - {less}) * {i + 1} div {edits + 1} AS int)") - first
             for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
-                part = text.substr(first + F.lit(shift), width)
-                keys.append(F.struct(F.xxhash64(F.lit(i), size - less, part).alias("key"), F.lit(int(not less and not shift)).alias("indexed")))
-    return F.array(*keys)
+                key = F.xxhash64(F.lit(i), F.col(size) - less, F.substring(F.col(raw), first + 1 + shift, width))
+                (other if less or shift else own).append(key)
+    return F.array(*own), F.array(*other)
 
 
 def letter_counts(line: str = "line") -> Column:
@@ -112,19 +114,27 @@ def within(a: str, b: str, edits: int = EDITS) -> Column:
 def links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """Pairs of classes within reach: h1, h2, g1, g2 with their first occurrences
     (first, other_first)."""
-    unique = lines.groupBy(*_CLASS).agg(F.min(F.struct("doc_id", "row", "place")).alias("first"), F.first("line").alias("line"))
-    keyed = unique.select(*_CLASS, F.length("line").alias("size"), letter_counts().alias("counts"), F.explode(segment_keys(edits=edits)).alias("k")).select(*_CLASS, "size", "counts", "k.key", "k.indexed")
-    a, b = keyed.alias("a"), keyed.alias("b")
     c = F.col
-    # Both sides read one exchange: the first condition reads the left side only, but names both.
-    meets = (
-        (F.least(c("a.indexed"), c("b.indexed") + 1) == 1) & (c("b.size") - c("a.size")).between(0, edits)
-        & ((c("b.size") > c("a.size")) | (c("b.h1") > c("a.h1")) | ((c("b.h1") == c("a.h1")) & (c("b.h2") > c("a.h2"))))
-        & _counts_near(c("a.counts"), c("b.counts"), edits)
-    )
-    met = a.join(b, (c("a.key") == c("b.key")) & meets).select(c("a.h1").alias("h1"), c("a.h2").alias("h2"), c("b.h1").alias("g1"), c("b.h2").alias("g2")).distinct()
-    other = unique.select(c("h1").alias("g1"), c("h2").alias("g2"), c("first").alias("other_first"), c("line").alias("other"))
-    both = met.join(unique, _CLASS).join(other, ["g1", "g2"]).filter(within("line", "other", edits))
+    own, other = segment_keys(edits=edits)
+    shaped = lines.select(*_CLASS, F.struct("doc_id", "row", "place").alias("at"), F.length("line").alias("size"), one_byte().alias("raw"))
+    shaped = shaped.select(*_CLASS, "at", "size", own.alias("own"), other.alias("other"))
+    unique = shaped.groupBy(*_CLASS).agg(F.min("at").alias("first"), F.first("size").alias("size"), F.first("own").alias("own"), F.first("other").alias("other"))
+    # One narrow row per key; both sides of the join read the same exchange. The sign
+    # of ``mark`` tells segments from substrings, its value is the line's length.
+    keyed = unique.select("h1", "size", F.explode(F.concat(F.transform("own", lambda k: F.struct(k.alias("key"), F.lit(1).alias("sign"))), F.transform("other", lambda k: F.struct(k.alias("key"), F.lit(-1).alias("sign"))))).alias("k"))
+    keyed = keyed.select("h1", c("k.key").alias("key"), (c("size") * c("k.sign")).alias("mark"))
+    a, b = keyed.alias("a"), keyed.alias("b")
+    longer = F.abs(c("b.mark")) - c("a.mark")  # out of range where a is no segment
+    meets = longer.between(0, edits) & ((longer > 0) | (c("b.h1") > c("a.h1")))
+    met = a.join(b, (c("a.key") == c("b.key")) & meets).select(c("a.h1").alias("h1"), c("b.h1").alias("g1")).distinct()
+    met = common.written(met, "line-meetings")
+    wanted = common.written(met.select(F.explode(F.array("h1", "g1")).alias("h1")).distinct(), "line-candidates")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    texts = lines.join(wanted, "h1", "left_semi").groupBy(*_CLASS).agg(F.min(F.struct("doc_id", "row", "place")).alias("first"), F.first("line").alias("line"))
+    texts = common.written(texts.withColumn("counts", letter_counts()), "line-texts")
+    partner = texts.select(c("h1").alias("g1"), c("h2").alias("g2"), c("first").alias("other_first"), c("line").alias("other"), c("counts").alias("other_counts"))
+    both = met.join(texts, "h1").join(partner, "g1").filter(_counts_near(c("counts"), c("other_counts"), edits)).filter(within("line", "other", edits))
     return common.written(both.select("h1", "h2", "g1", "g2", "first", "other_first"), "line-links")
 
 
