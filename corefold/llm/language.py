@@ -129,8 +129,7 @@ def score(model: Model, texts: list[str]) -> np.ndarray:
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` but the text's content is sent to Python only once:
-    adds lang_pred and score."""
+    """All columns of ``docs`` plus lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").rlike(r"\p{L}").alias("__letters"))

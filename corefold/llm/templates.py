@@ -221,7 +221,8 @@ def host_templates(pages: DataFrame, url: str = "url", html: str = "html") -> Da
     tokens = common.scan(rows, run, "host string, page bigint, path string, rank int, mark bigint, n int")
     sizes = rows.groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= SUPPORT)
     vectors = tokens.groupBy("host", "path", "rank", "mark").agg(F.count("*").alias("on"), F.sum(F.xxhash64("page", "n").cast("decimal(20,0)")).alias("vector"))
-    valid = vectors.filter(F.col("on") >= SUPPORT).join(sizes, "host").filter(F.col("on") * 2 >= F.col("pages"))
+    # Written: the steps below read it several times, the pages are parsed once.
+    valid = common.written(vectors.filter(F.col("on") >= SUPPORT).join(sizes, "host").filter(F.col("on") * 2 >= F.col("pages")), "page-classes")
     classes = valid.groupBy("host", "vector", "on").agg(F.count("*").alias("size"))
     # A class of its own counts only where its token's parent is in the template.
     parents = valid.filter("mark = -1").select("host", F.col("path").alias("parent")).distinct()
