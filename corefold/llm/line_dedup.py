@@ -24,7 +24,7 @@ from corefold.llm import common
 
 EDITS = 2
 MIN_CHARS = 16
-#: Classes that share a key are sent to all executors up to this number, joined beyond.
+#: Shared keys and their classes are sent to all executors up to this number, joined beyond.
 BROADCAST_ROWS = 1_000_000
 #: Frequent letters whose counts sift; any characters give right results.
 COUNTED = ("e", "t", "n", "a", "o", "r")
@@ -111,6 +111,11 @@ def within(a: str, b: str, edits: int = EDITS) -> Column:
     return (F.abs(F.length(a) - F.length(b)) <= edits) & F.element_at(F.transform(both, run), 1)
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """Broadcast hint for a written table of at most BROADCAST_ROWS rows of one long."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """Pairs of classes within reach: h1, h2, g1, g2 with their first occurrences
     (first, other_first)."""
@@ -119,22 +124,23 @@ def links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     shaped = lines.select(*_CLASS, F.struct("doc_id", "row", "place").alias("at"), F.length("line").alias("size"), one_byte().alias("raw"))
     shaped = shaped.select(*_CLASS, "at", "size", own.alias("own"), other.alias("other"))
     unique = shaped.groupBy(*_CLASS).agg(F.min("at").alias("first"), F.first("size").alias("size"), F.first("own").alias("own"), F.first("other").alias("other"))
-    # One narrow row per key; both sides of the join read the same exchange. The sign
-    # of ``mark`` tells segments from substrings, its value is the line's length.
+    # One narrow row per key. The sign of ``mark`` tells segments from substrings, its value is the line's length.
     keyed = unique.select("h1", "size", F.explode(F.concat(F.transform("own", lambda k: F.struct(k.alias("key"), F.lit(1).alias("sign"))), F.transform("other", lambda k: F.struct(k.alias("key"), F.lit(-1).alias("sign"))))).alias("k"))
     keyed = keyed.select("h1", c("k.key").alias("key"), (c("size") * c("k.sign")).alias("mark"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    longer = F.abs(c("b.mark")) - c("a.mark")  # out of range where a is no segment
-    meets = longer.between(0, edits) & ((longer > 0) | (c("b.h1") > c("a.h1")))
-    met = a.join(b, (c("a.key") == c("b.key")) & meets).select(c("a.h1").alias("h1"), c("b.h1").alias("g1")).distinct()
-    met = common.written(met, "line-meetings")
-    wanted = common.written(met.select(F.explode(F.array("h1", "g1")).alias("h1")).distinct(), "line-candidates")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+    # Keys of several classes, then their rows only: few lines share a segment.
+    shared = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("mark").alias("top")).filter("low < high AND top > 0").select("key")
+    shared = _small(common.written(shared, "line-keys"))
+    met = common.written(keyed.join(shared, "key").distinct(), "line-meetings")
+    wanted = _small(common.written(met.select("h1").distinct(), "line-candidates"))
     texts = lines.join(wanted, "h1", "left_semi").groupBy(*_CLASS).agg(F.min(F.struct("doc_id", "row", "place")).alias("first"), F.first("line").alias("line"))
     texts = common.written(texts.withColumn("counts", letter_counts()), "line-texts")
-    partner = texts.select(c("h1").alias("g1"), c("h2").alias("g2"), c("first").alias("other_first"), c("line").alias("other"), c("counts").alias("other_counts"))
-    both = met.join(texts, "h1").join(partner, "g1").filter(_counts_near(c("counts"), c("other_counts"), edits)).filter(within("line", "other", edits))
+    sifted = met.join(texts.select("h1", "counts"), "h1")
+    a, b = sifted.alias("a"), sifted.alias("b")
+    longer = F.abs(c("b.mark")) - c("a.mark")  # out of range where a is no segment
+    meets = longer.between(0, edits) & ((longer > 0) | (c("b.h1") > c("a.h1"))) & _counts_near(c("a.counts"), c("b.counts"), edits)
+    met = a.join(b, (c("a.key") == c("b.key")) & meets).select(c("a.h1").alias("h1"), c("b.h1").alias("g1")).distinct()
+    partner = texts.select(c("h1").alias("g1"), c("h2").alias("g2"), c("first").alias("other_first"), c("line").alias("other"))
+    both = met.join(texts, "h1").join(partner, "g1").filter(within("line", "other", edits))
     return common.written(both.select("h1", "h2", "g1", "g2", "first", "other_first"), "line-links")
 
 
