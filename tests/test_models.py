@@ -86,7 +86,7 @@ def test_pairs_are_complete_for_any_block(spark, block):
 @pytest.mark.parametrize("width", [1, 5, 9])
 def test_segments_fold_equals_doubling(spark, width):
     rng = random.Random(width)
-    rows = [(d, s, rng.randint(1, 7)) for d in range(4) for s in range(40)]
+    rows = [(d, s, rng.randint(0, 12)) for d in range(4) for s in range(40)] + [(9, s, n) for s, n in enumerate((0, 12, 3))]
     df = spark.createDataFrame(rows, "doc long, sent long, n long")
     fold = sorted(map(tuple, S.split_into_segments(df, width).select("doc", "sent", "seg", "oversize").collect()))
     jump = sorted(map(tuple, S.split_into_segments(df, width, fold_up_to=0).select("doc", "sent", "seg", "oversize").collect()))
