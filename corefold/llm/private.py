@@ -77,7 +77,7 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
             digits = _NO_DIGIT.sub("", m[0])
             if 9 <= len(digits) <= 15:
                 out.append((m.start(), m.end(), 3, digits))
-    out.sort()
+    out.sort(key=lambda s: (s[0], s[2]))
     return [(a, b, KINDS[k], v) for a, b, k, v in out]
 
 
