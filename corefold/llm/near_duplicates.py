@@ -9,11 +9,11 @@ that the bands propose is confirmed on the full sets before it counts.
 
 Equal sets are one class and compared once. In a bucket every class is compared
 with the smallest one, then, where the bucket is still in several components, with
-its best linked one. What then lies outside a bucket's largest component is compared
-with all of other components, but for pairs that a bound rules out: shingles that no
-other open class has cannot be common to two. So no proposed link is lost, and a
-bucket of n copies costs about n comparisons, not n squared. Sets of less than four shingles can reach 0.8 with an
-equal set only and enter no bucket.
+its best linked one. What then lies outside a bucket's largest component meets all of
+other components, but leaves only pairs that their bitmaps allow: every bit that one
+set alone has stands for a shingle that the other lacks, so the bound is never below
+the true intersection and no proposed link is lost. Sets of less than four shingles
+can reach 0.8 with an equal set only and enter no bucket.
 
 ``doc_id`` is the key of a document. Equal rows are answered alike; a null key never
 names a component, and a component of null keys only is null and not kept.
@@ -21,6 +21,8 @@ names a component, and a component of null keys only is null and not kept.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,8 @@ from corefold.session import cut_lineage
 
 PERMUTATIONS = 64
 BANDS = PERMUTATIONS // 2
+#: Longs of a set's bitmap; a larger one rules out more pairs of large sets.
+LONGS = 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _draw = np.random.default_rng(20240229)
@@ -105,6 +109,13 @@ def min_max_bands(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def bitmap(grams: np.ndarray) -> np.ndarray:
+    """64 * LONGS flags, one set for each shingle."""
+    out = np.zeros(64 * LONGS, bool)
+    out[(grams >> np.uint64(7)).astype(np.int64) % len(out)] = True
+    return out
+
+
 def signatures(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """row, doc_id, n, f1, f2 (fingerprint of the set), bands; written."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -133,8 +144,9 @@ def _node() -> F.Column:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, words: int, key: str, text: str) -> DataFrame:
-    """node, grams (the whole set, 8 bytes a shingle) of the given nodes; texts of
-    other documents are dropped by a hashed filter before anything is shuffled."""
+    """node, grams (the whole set, 8 bytes a shingle), bits (its bitmap) and over
+    (shingles beyond the bits set) of the given nodes; texts of other documents are
+    dropped by a hashed filter before anything is shuffled."""
     shared = common.HashFilter(nodes.select((F.xxhash64("node").bitwiseAND(F.lit(0x7FFFFFFF))).alias("h"))).shared
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("long")).bitwiseAND(F.lit(0x7FFFFFFF)).alias("h"))
 
@@ -142,9 +154,12 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int, key: str, text: str) ->
         keep = np.flatnonzero(common.HashFilter.test(shared.value, np.array(b["h"], np.int64)) | np.array([d is None for d in b["doc_id"]], bool)).tolist()
         sets = shingle_sets([b["text"][i] for i in keep], words)
         marks = [(int(np.add.reduce(_mix(s)).view(np.int64)), int(np.add.reduce(_mix(s + np.uint64(77))).view(np.int64))) if len(s) else (0, 0) for s in sets]
-        return {"doc_id": [b["doc_id"][i] for i in keep], "f1": [m[0] for m in marks], "f2": [m[1] for m in marks], "grams": [s.tobytes() for s in sets]}
+        maps = [bitmap(s) for s in sets]
+        over = [len(s) - int(m.sum()) for s, m in zip(sets, maps)]
+        bits = [np.packbits(m, bitorder="little").view(np.int64).tolist() for m in maps]
+        return {"doc_id": [b["doc_id"][i] for i in keep], "f1": [m[0] for m in marks], "f2": [m[1] for m in marks], "grams": [s.tobytes() for s in sets], "bits": bits, "over": over}
 
-    got = common.scan(rows, run, "doc_id bigint, f1 bigint, f2 bigint, grams binary").select(_node().alias("node"), "grams")
+    got = common.scan(rows, run, "doc_id bigint, f1 bigint, f2 bigint, grams binary, bits array<bigint>, over bigint").select(_node().alias("node"), "grams", "bits", "over")
     return common.written(got.join(nodes, "node", "left_semi").dropDuplicates(), "sets")
 
 
@@ -175,17 +190,11 @@ def _open_buckets(members: DataFrame, joined: DataFrame) -> DataFrame:
     return cut_lineage(placed.join(apart, "bucket"))
 
 
-def _shared_counts(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, shared: how many of its shingles any other of the nodes has. No
-    intersection within the nodes is larger, which rules out most pairs unseen."""
-
-    def spread(b: dict[str, list]) -> dict[str, list]:
-        return {"node": b["node"], "grams": [np.frombuffer(g, np.int64) for g in b["grams"]]}
-
-    each = common.scan(sets.join(nodes, "node", "left_semi"), spread, "node bigint, grams array<bigint>").select("node", F.explode("grams").alias("gram"))
-    alone = each.groupBy("gram").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1").groupBy("node").agg(F.count("*").alias("own"))
-    sizes = sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.max(F.octet_length("grams") / 8).cast("long").alias("size"))
-    return sizes.join(alone, "node", "left").select("node", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared"))
+def _may_link(percent: int) -> F.Column:
+    """Whether the bitmaps of src and dst leave room for the similarity."""
+    both = reduce(lambda x, y: x + y, [F.bit_count(F.get("b_src", F.lit(i)).bitwiseAND(F.get("b_dst", F.lit(i)))) for i in range(LONGS)])
+    most = both + F.least("over_src", "over_dst")
+    return most * (100 + percent) >= (F.col("n_src") + F.col("n_dst")) * percent
 
 
 def components(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -215,13 +224,15 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "d
 
     placed = _open_buckets(members, joined)
     main = placed.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "component"))["component"].alias("main"))
-    shared = _shared_counts(sets, placed.select("node").distinct())
-    placed = cut_lineage(placed.join(main, "bucket").join(shared, "node"))
-    outside = placed.filter("component <> main").select("bucket", F.col("node").alias("src"), F.col("n").alias("n_src"), F.col("shared").alias("s_src"), F.col("component").alias("c_src"))
-    others = placed.select("bucket", F.col("node").alias("dst"), F.col("n").alias("n_dst"), F.col("shared").alias("s_dst"), F.col("component").alias("c_dst"), "main")
-    most = F.least("s_src", "s_dst")  # the intersection is no larger
-    near = most * 100 >= (F.col("n_src") + F.col("n_dst") - most) * percent
-    rest = outside.join(others, "bucket").filter(near & (F.col("c_src") != F.col("c_dst")) & ((F.col("c_dst") == F.col("main")) | (F.col("src") < F.col("dst"))))
+    placed = cut_lineage(placed.join(main, "bucket").join(sets.select("node", "bits", "over"), "node"))
+
+    def side(name: str) -> list[F.Column]:
+        return ["bucket", F.col("node").alias(name), *[F.col(x).alias(f"{y}_{name}") for x, y in (("n", "n"), ("bits", "b"), ("over", "over"), ("component", "c"))]]
+
+    outside, others = placed.filter("component <> main").select(*side("src")), placed.select(*side("dst"), "main")
+    once = (F.col("c_src") != F.col("c_dst")) & ((F.col("c_dst") == F.col("main")) | (F.col("src") < F.col("dst")))
+    sizes = F.least("n_src", "n_dst") * 100 >= F.greatest("n_src", "n_dst") * percent
+    rest = outside.join(others, "bucket").filter(once & sizes & _may_link(percent))
     more = cut_lineage(_confirm(rest.select("src", "dst").distinct(), sets, percent))
     if not more.isEmpty():
         joined = connected_components(links.unionByName(more))
