@@ -27,7 +27,7 @@ MIN_CHARS = 16
 #: Shared keys and their classes are sent to all executors up to this number, joined beyond.
 BROADCAST_ROWS = 1_000_000
 #: Frequent letters whose counts sift; any characters give right results.
-COUNTED = ("e", "t", "n", "a", "o", "r")
+COUNTED = ("etnaor", "ishdlu")
 _CLASS = ["h1", "h2"]
 
 
@@ -60,15 +60,23 @@ def segment_keys(size: str = "size", raw: str = "raw", edits: int = EDITS) -> tu
 
 
 def letter_counts(line: str = "line") -> Column:
-    """Counts of six letters, ten bits each."""
+    """One long per group of six letters, ten bits a count."""
     size = F.octet_length(line)
-    counts = [(size - F.octet_length(F.replace(F.col(line), F.lit(c), F.lit("")))) % 1024 for c in COUNTED]
-    return reduce(lambda a, b: a + b, [F.shiftleft(c.cast("long"), 10 * i) for i, c in enumerate(counts)])
+
+    def packed(letters: str) -> Column:
+        counts = [(size - F.octet_length(F.replace(F.col(line), F.lit(c), F.lit("")))) % 1024 for c in letters]
+        return reduce(lambda a, b: a + b, [F.shiftleft(c.cast("long"), 10 * i) for i, c in enumerate(counts)])
+
+    return F.array(*[packed(letters) for letters in COUNTED])
 
 
 def _counts_near(a: Column, b: Column, edits: int) -> Column:
     """At most ``edits`` letters more on either side; never false for lines within reach."""
-    diffs = [F.pmod(F.shiftright(a, 10 * i).bitwiseAND(F.lit(1023)) - F.shiftright(b, 10 * i).bitwiseAND(F.lit(1023)) + 512, F.lit(1024)) - 512 for i in range(len(COUNTED))]
+
+    def count(packed: Column, i: int) -> Column:
+        return F.shiftright(packed, 10 * i).bitwiseAND(F.lit(1023))
+
+    diffs = [F.pmod(count(F.get(a, F.lit(g)), i) - count(F.get(b, F.lit(g)), i) + 512, F.lit(1024)) - 512 for g, letters in enumerate(COUNTED) for i in range(len(letters))]
     more = reduce(lambda x, y: x + y, [F.greatest(d, F.lit(0)) for d in diffs])
     less = reduce(lambda x, y: x + y, [F.greatest(-d, F.lit(0)) for d in diffs])
     return (more <= edits) & (less <= edits)
