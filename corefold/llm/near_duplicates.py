@@ -192,11 +192,22 @@ def _open_buckets(members: DataFrame, joined: DataFrame) -> DataFrame:
 
 def _may_link(percent: int) -> F.Column:
     """Whether the bitmaps of src and dst leave room for the similarity."""
-    both = reduce(lambda x, y: x + y, [F.bit_count(F.get("b_src", F.lit(i)).bitwiseAND(F.get("b_dst", F.lit(i)))) for i in range(LONGS)])
+    both = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"b{i}_src").bitwiseAND(F.col(f"b{i}_dst"))) for i in range(LONGS)])
     most = both + F.least("over_src", "over_dst")
     return most * (100 + percent) >= (F.col("n_src") + F.col("n_dst")) * percent
 
 
+def _grow(joined: DataFrame, found: DataFrame) -> DataFrame:
+    """node, component once the found links hold as well: only the components that
+    they touch are walked again, as single nodes."""
+    ends = found.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    known = cut_lineage(joined.unionByName(ends.join(joined, "node", "left_anti").select("node", F.col("node").alias("component"))))
+    left, right = (known.select(F.col("node").alias(n), F.col("component").alias(f"c_{n}")) for n in ("src", "dst"))
+    edges = found.join(left, "src").join(right, "dst").filter("c_src <> c_dst").select(F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).distinct()
+    top = connected_components(edges).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    return cut_lineage(known.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component")))
+
+
 def components(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest linked doc_id), kept; one row per
     input row."""
@@ -219,15 +230,16 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "d
     hubs = placed.join(degree, "node", "left").groupBy("bucket").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("d"), "component", "node")).alias("hub"))
     hubs = hubs.select("bucket", F.col("hub.node").alias("dst"), F.col("hub.component").alias("c"))
     again = placed.join(hubs, "bucket").filter("component <> c").select(F.col("node").alias("src"), "dst").distinct()
-    links = cut_lineage(links.unionByName(_confirm(again, sets, percent)))
-    joined = connected_components(links)
+    joined = _grow(joined, cut_lineage(_confirm(again, sets, percent)))
 
     placed = _open_buckets(members, joined)
     main = placed.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "component"))["component"].alias("main"))
-    placed = cut_lineage(placed.join(main, "bucket").join(sets.select("node", "bits", "over"), "node"))
+    # A column per long, none null: the test of a pair stays small enough to be compiled.
+    longs = [F.coalesce(F.get("bits", F.lit(i)), F.lit(0)).alias(f"b{i}") for i in range(LONGS)]
+    placed = cut_lineage(placed.join(main, "bucket").join(sets.select("node", "over", *longs), "node"))
 
     def side(name: str) -> list[F.Column]:
-        return ["bucket", F.col("node").alias(name), *[F.col(x).alias(f"{y}_{name}") for x, y in (("n", "n"), ("bits", "b"), ("over", "over"), ("component", "c"))]]
+        return ["bucket", F.col("node").alias(name), F.col("component").alias(f"c_{name}"), *[F.col(x).alias(f"{x}_{name}") for x in ("n", "over", *[f"b{i}" for i in range(LONGS)])]]
 
     outside, others = placed.filter("component <> main").select(*side("src")), placed.select(*side("dst"), "main")
     once = (F.col("c_src") != F.col("c_dst")) & ((F.col("c_dst") == F.col("main")) | (F.col("src") < F.col("dst")))
@@ -235,7 +247,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "d
     rest = outside.join(others, "bucket").filter(once & sizes & _may_link(percent))
     more = cut_lineage(_confirm(rest.select("src", "dst").distinct(), sets, percent))
     if not more.isEmpty():
-        joined = connected_components(links.unionByName(more))
+        joined = _grow(joined, more)
 
     whole = signed.withColumn("node", _node()).join(classes, ["f1", "f2"], "left").join(joined.withColumnRenamed("node", "class"), "class", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "class")).otherwise(F.col("doc_id"))
