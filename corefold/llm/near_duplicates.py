@@ -234,12 +234,14 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "d
 
     placed = _open_buckets(members, joined)
     main = placed.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "component"))["component"].alias("main"))
-    # A column per long, none null: the test of a pair stays small enough to be compiled.
-    longs = [F.coalesce(F.get("bits", F.lit(i)), F.lit(0)).alias(f"b{i}") for i in range(LONGS)]
-    placed = cut_lineage(placed.join(main, "bucket").join(sets.select("node", "over", *longs), "node"))
+    # Written as Parquet: a set's longs repeat in each of its buckets and take little room.
+    longs = [F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(LONGS)]
+    placed = common.written(placed.join(main, "bucket").join(sets.select("node", "over", *longs), "node"), "open-members")
 
     def side(name: str) -> list[F.Column]:
-        return ["bucket", F.col("node").alias(name), F.col("component").alias(f"c_{name}"), *[F.col(x).alias(f"{x}_{name}") for x in ("n", "over", *[f"b{i}" for i in range(LONGS)])]]
+        # A column per long, none null: the test of a pair stays small enough to be compiled.
+        compiled = [F.coalesce(f"b{i}", F.lit(0)).alias(f"b{i}_{name}") for i in range(LONGS)]
+        return ["bucket", F.col("node").alias(name), F.col("component").alias(f"c_{name}"), *[F.col(x).alias(f"{x}_{name}") for x in ("n", "over")], *compiled]
 
     outside, others = placed.filter("component <> main").select(*side("src")), placed.select(*side("dst"), "main")
     once = (F.col("c_src") != F.col("c_dst")) & ((F.col("c_dst") == F.col("main")) | (F.col("src") < F.col("dst")))
