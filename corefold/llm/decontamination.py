@@ -127,13 +127,13 @@ def _scan(rows: DataFrame, items: list[tuple[str, str]], size: int, names: list[
     return common.scan(rows, run, f"{kinds}, {_HITS}")
 
 
-def find(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", with_key: bool = False) -> DataFrame:
     """doc_id, n_words, ranges (words that are hit, merged), items, n_hit; one row
-    per input row."""
+    per input row. ``with_key`` adds k1, k2, the row key of key and text."""
     rows = docs.select(*common.row_key(key, text), F.col(key).alias("doc_id"), F.col(text).alias("__text"))
     blocks = _blocks(benchmark, item, item_text)
     if len(blocks) == 1:
-        got = _scan(rows.drop("k1", "k2"), blocks[0], size, ["doc_id"])
+        got = _scan(rows, blocks[0], size, ["k1", "k2", "doc_id"]) if with_key else _scan(rows.drop("k1", "k2"), blocks[0], size, ["doc_id"])
     else:
         base = common.written(_scan(rows, blocks[0], size, ["k1", "k2", "doc_id"]), "hits")
         once = rows.dropDuplicates(["k1", "k2"])
@@ -142,7 +142,7 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, key: str = "do
             merged = base.join(more, ["k1", "k2"], "left")
             merged = merged.withColumn("ranges", F.coalesce(F.concat("ranges", "r"), "ranges")).withColumn("items", F.coalesce(F.array_sort(F.array_union("items", "i")), "items"))
             base = common.written(merged.select("k1", "k2", "doc_id", "n_words", "ranges", "items"), "hits")
-        got = base.drop("k1", "k2")
+        got = base if with_key else base.drop("k1", "k2")
     # Ranges of one block are apart; of several they may overlap: take what each adds.
     hit = F.expr(
         "aggregate(array_sort(ranges), struct(0 AS n, 0 AS seen), (a, r) -> struct("

@@ -29,17 +29,25 @@ def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, that with the smallest key, stays. Five words a
+    """One document of each group stays: that with the smallest doc_id, one without
+    doc_id only where no other has one. A document is its doc_id and text, so rows that
+    share a doc_id, or have none, stand and fall by their own text. Five words a
     shingle, similarity 0.8."""
-    gone = near_duplicates.components(docs).filter(F.col("doc_id").isNotNull() & ~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    # 63 bits, as components() keeps the numbers above for rows without a key.
+    rows = docs.withColumn("__row", F.shiftright(F.xxhash64("doc_id", "text"), 1))
+    groups = near_duplicates.components(rows, key="__row").select(F.col("doc_id").alias("__row"), "component_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row"))["__row"]
+    stay = rows.select("__row", "doc_id").distinct().join(groups, "__row").groupBy("component_id").agg(first.alias("__row")).select("__row")
+    return rows.join(stay, "__row", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which a benchmark covers a twentieth or more."""
-    found = decontamination.find(docs, common.table(spark, sf_dir, "benchmark"))
-    bad = found.filter(decontamination.contaminated()).select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti").select(*docs.columns)
+    """Drops documents of which a benchmark covers a twentieth or more, each by its
+    own text: others with the same doc_id, or with none, stay."""
+    found = decontamination.find(docs, common.table(spark, sf_dir, "benchmark"), with_key=True)
+    bad = found.filter(decontamination.contaminated()).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
+    k1, k2 = common.row_key("doc_id", "text")
+    return docs.withColumns({"__k1": k1, "__k2": k2}).join(bad, ["__k1", "__k2"], "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

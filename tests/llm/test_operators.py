@@ -413,3 +413,25 @@ def test_pipeline_on_a_small_folder(spark, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert {r["doc_id"] for r in docs.collect()} == set(got)
+
+
+def test_pipeline_tells_rows_without_or_with_a_repeated_key_apart(spark, tmp_path):
+    import corpus_pipeline
+
+    draw = random.Random(3)
+    words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(20)]
+    a, b, c, d, e, item = (" ".join(draw.choice(words) for _ in range(60)) for _ in range(6))
+    near = lambda t: f"{t} more"
+    rows = [
+        (None, a), (None, near(a)), (None, b), (None, near(b)), (7, near(b) + " yet"), (4, c), (5, c), (5, d), (8, e), (8, near(e)), (None, ""), (3, ""), (None, None), (3, None), (None, a),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS).coalesce(2)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.remove_near_duplicates(spark, docs, str(tmp_path)).collect()]
+    assert sorted(map(repr, (x for x in got if x[1] not in (a, near(a), e, near(e))))) == sorted(map(repr, [(7, near(b) + " yet"), (4, c), (5, d), (None, ""), (3, ""), (None, None), (3, None)]))
+    assert sum(x[1] in (a, near(a)) for x in got) == 1 and sum(x[1] in (e, near(e)) for x in got) == 1
+
+    spark.createDataFrame([("b", item)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"{a} {item}"), (None, b), (None, c), (5, f"{item} {d}"), (5, d), (6, e), (None, None), (6, item), (6, item)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS).coalesce(2)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, [(None, b), (None, c), (5, d), (6, e), (None, None)]))
