@@ -1,17 +1,19 @@
 """Personal data: fixed patterns, and terms that give a protected value away.
 
 Protected values are the e-mail addresses, IP addresses, card and phone numbers
-found by pattern. Their context is the WINDOW words on each side within the line.
-Over the whole corpus, with documents as the unit, n(e) counts those with value e,
-n(e, t) those with term t in a context of e, n(t) those with t anywhere. The share
-of the information of e that t discloses is
+found by pattern. Terms are the words of three letters or digits and more, in lower
+case, outside the protected spans. A value's context is the whole document that
+holds it. Over the corpus, with documents as the unit, n(e) counts those with value
+e, n(e, t) those with value e and term t, n(t) those with the word t anywhere. The
+share of the information of e that t discloses is
 
     log(n(e, t) * N / (n(e) * n(t))) / log(N / n(e)),
 
 pointwise mutual information over self-information; it reaches 1 where every
-document with t has e beside it. In a context of e, terms from REMOVE up are
-removed, terms from GENERALISE up are generalised to their kind of word; both need
-SUPPORT documents. Exact copies are one document, so copying a text reveals nothing.
+document with t holds e. Wherever a term stands, in documents without the value as
+well, it is removed from REMOVE up and generalised to its kind of word from
+GENERALISE up, by the largest share of any value; both need SUPPORT documents. Exact
+copies are one document, so copying a text reveals nothing.
 
 Null text counts as empty: no spans, empty output. Repeated rows are answered one
 by one. Offsets are code points, ends exclusive.
@@ -28,7 +30,6 @@ from pyspark.sql import functions as F
 
 from corefold.llm import common
 
-WINDOW = 8
 SUPPORT = 3
 GENERALISE, REMOVE = 0.85, 0.95
 KINDS = ("email", "ip", "card", "phone")
@@ -81,19 +82,15 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     return [(a, b, KINDS[k], v) for a, b, k, v in out]
 
 
-def contexts(text: str, spans: list[tuple[int, int, str, str]]) -> list[tuple[str, str, int, int]]:
-    """(value, term, start, end) for the words around each span, in its line,
-    outside every span. The work is bounded by the windows, not by the line."""
-    out = []
-    inside = sorted((a, b) for a, b, _, _ in spans)
-    for a, b, kind, value in spans:
-        left = max(text.rfind("\n", 0, a) + 1, a - 64 * WINDOW)
-        right = text.find("\n", b, b + 64 * WINDOW)
-        right = min(len(text), b + 64 * WINDOW) if right < 0 else right
-        words = list(_WORD.finditer(text, left, a))[-WINDOW:] + list(_WORD.finditer(text, b, right))[:WINDOW]
-        for w in words:
-            if w.end() - w.start() <= 64 and not any(x < w.end() and w.start() < y for x, y in inside if x < w.end()):
-                out.append((f"{kind}:{value}", w[0].lower(), w.start(), w.end()))
+def words_outside(text: str, spans: list[tuple[int, int, str, str]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of the words that touch none of the spans."""
+    out, edges, at, reach = [], sorted((a, b) for a, b, _, _ in spans), 0, 0
+    for w in _WORD.finditer(text):
+        while at < len(edges) and edges[at][0] < w.end():
+            reach = max(reach, edges[at][1])
+            at += 1
+        if w.start() >= reach:
+            out.append((w[0].lower(), w.start(), w.end()))
     return out
 
 
@@ -103,41 +100,48 @@ def shape(term: str) -> str:
 
 
 _SPAN = "struct<start:int,end:int,kind:string,value:string>"
-_PAIR = "struct<value:string,term:string,start:int,end:int>"
 
 
 def found(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """k1, k2, doc_id, spans, pairs of each row; written, without the text."""
+    """k1, k2, copy, doc_id, spans of each row; written, without the text."""
     rows = docs.select(*common.row_key(key, text), F.xxhash64(text).alias("copy"), F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(b: dict[str, list]) -> dict[str, list]:
         spans = [base_spans(t) for t in b["text"]]
-        pairs = [contexts(t, s) if s else [] for t, s in zip(b["text"], spans)]
         return {
             **{c: b[c] for c in ("k1", "k2", "copy", "doc_id")},
             "spans": [[dict(zip(("start", "end", "kind", "value"), s)) for s in own] for own in spans],
-            "pairs": [[dict(zip(("value", "term", "start", "end"), p)) for p in own] for own in pairs],
         }
 
     kind = dict(rows.dtypes)["doc_id"]
-    return common.written(common.scan(rows, run, f"k1 bigint, k2 bigint, copy bigint, doc_id {kind}, spans array<{_SPAN}>, pairs array<{_PAIR}>"), "private")
+    return common.written(common.scan(rows, run, f"k1 bigint, k2 bigint, copy bigint, doc_id {kind}, spans array<{_SPAN}>"), "private")
+
+
+def _filter(terms: DataFrame) -> common.HashFilter:
+    return common.HashFilter(terms.select(F.crc32(F.col("term").cast("binary")).alias("h")))
+
+
+def _passing(words: list[str], bits: np.ndarray) -> list[int]:
+    hashes = np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) for w in words), np.int64, len(words))
+    return np.flatnonzero(common.HashFilter.test(bits, hashes)).tolist()
+
+
+def _low(column: str) -> F.Column:
+    return F.col(column).bitwiseAND(F.lit(0x7FFFFFFF))
 
 
 def term_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """term, n: documents (copies once) with each of the given terms. A hashed
+    """term, n_term: documents (copies once) with each of the given terms. A hashed
     filter of fixed size drops other words before the shuffle."""
-    wanted = common.HashFilter(terms.select(F.crc32(F.col("term").cast("binary")).alias("h")))
-    shared = wanted.shared
+    shared = _filter(terms).shared
 
     def run(b: dict[str, list]) -> dict[str, list]:
         bits, copies, words = shared.value, [], []
         for copy, t in zip(b["copy"], b["text"]):
-            own = list({w for w in _WORD.findall(t.lower()) if len(w) <= 64})
-            if own:
-                hashes = np.fromiter((zlib.crc32(w.encode()) for w in own), np.int64, len(own))
-                for i in np.flatnonzero(common.HashFilter.test(bits, hashes)).tolist():
-                    copies.append(copy)
-                    words.append(own[i])
+            own = list({w.lower() for w in set(_WORD.findall(t))})
+            kept = _passing(own, bits) if own else ()
+            copies += [copy] * len(kept)
+            words += [own[i] for i in kept]
         return {"copy": copies, "term": words}
 
     rows = docs.filter(F.col(text).isNotNull()).select(F.xxhash64(text).alias("copy"), F.col(text).alias("text"))
@@ -145,30 +149,74 @@ def term_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFr
     return got.distinct().groupBy("term").agg(F.count("*").alias("n_term"))
 
 
+def _terms_beside(docs: DataFrame, copies: common.HashFilter, terms: common.HashFilter | None = None, text: str = "text") -> DataFrame:
+    """copy, term of the documents that pass the first filter, with the terms that
+    pass the second."""
+    held, wanted = copies.shared, terms and terms.shared
+
+    def run(b: dict[str, list]) -> dict[str, list]:
+        copies, words = [], []
+        for i in np.flatnonzero(common.HashFilter.test(held.value, np.array(b["low"], np.int64))).tolist():
+            t = b["text"][i]
+            own = list({w for w, _, _ in words_outside(t, base_spans(t))})
+            if wanted is not None and own:
+                own = [own[j] for j in _passing(own, wanted.value)]
+            copies += [b["copy"][i]] * len(own)
+            words += own
+        return {"copy": copies, "term": words}
+
+    rows = docs.filter(F.col(text).isNotNull()).select(F.xxhash64(text).alias("copy"), F.col(text).alias("text")).withColumn("low", _low("copy"))
+    return common.scan(rows, run, "copy bigint, term string")
+
+
 def disclosing(docs: DataFrame, seen: DataFrame, text: str = "text") -> DataFrame:
     """value, term, ratio of all pairs from GENERALISE up."""
-    once = seen.filter(F.size("spans") > 0)
-    n_value = once.select("copy", F.explode(F.expr("array_distinct(transform(spans, s -> concat(s.kind, ':', s.value)))")).alias("value")).distinct().groupBy("value").agg(F.count("*").alias("n_value"))
-    both = once.select("copy", F.explode(F.expr("array_distinct(transform(pairs, p -> struct(p.value, p.term)))")).alias("p")).select("copy", "p.*").distinct()
-    both = common.written(both.groupBy("value", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= SUPPORT), "pairs")
-    total = docs.filter(F.col(text).isNotNull()).select(F.xxhash64(text).alias("copy")).agg(F.countDistinct("copy")).first()[0]
-    n_term = term_counts(docs, both.select("term").distinct(), text)
-    known = F.log(F.lit(float(max(total, 1))) / F.col("n_value"))
-    shared = F.log(F.col("n_both") * F.lit(float(max(total, 1))) / (F.col("n_value") * F.col("n_term")))
-    return (
-        both.join(n_value, "value").join(n_term, "term")
-        .select("value", "term", F.when(known > 0, shared / known).otherwise(0.0).alias("ratio")).filter(F.col("ratio") >= GENERALISE)
-    )
+    total = float(max(docs.filter(F.col(text).isNotNull()).select(F.xxhash64(text).alias("copy")).agg(F.countDistinct("copy")).first()[0], 1))
+    values = seen.filter(F.size("spans") > 0).select("copy", F.explode(F.expr("array_distinct(transform(spans, s -> concat(s.kind, ':', s.value)))")).alias("value")).distinct()
+    n_value = values.groupBy("value").agg(F.count("*").alias("n_value")).filter(F.col("n_value") >= SUPPORT)
+    values = common.written(values.join(n_value, "value"), "values")
+    copies = common.HashFilter(values.select(_low("copy").alias("h")).distinct())
+    # n(e, t) is at most n(e), so a share of GENERALISE needs an n(t) up to this bound.
+    most = F.pow(F.col("n_value"), F.lit(GENERALISE)) * total ** (1 - GENERALISE) * (1 + 1e-9)
+    several = _terms_beside(docs, copies, text=text).groupBy("term").agg(F.count("*").alias("n")).filter(F.col("n") >= SUPPORT).select("term")
+    several = common.written(several, "terms-beside")
+    n_term = term_counts(docs, several, text).crossJoin(F.broadcast(values.agg(F.max(most).alias("most")))).filter(F.col("n_term") <= F.col("most")).drop("most")
+    n_term = common.written(n_term, "term-counts")
+    beside = _terms_beside(docs, copies, _filter(n_term), text).join(n_term, "term").distinct()
+    both = values.join(beside, "copy").filter(F.col("n_term") <= most)
+    both = both.groupBy("value", "term").agg(F.count("*").alias("n_both"), F.first("n_value").alias("n_value"), F.first("n_term").alias("n_term")).filter(F.col("n_both") >= SUPPORT)
+    known = F.log(F.lit(total) / F.col("n_value"))
+    shared = F.log(F.col("n_both") * F.lit(total) / (F.col("n_value") * F.col("n_term")))
+    return both.select("value", "term", F.when(known > 0, shared / known).otherwise(0.0).alias("ratio")).filter(F.col("ratio") >= GENERALISE)
+
+
+def occurrences(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """k1, k2, terms (start, end, ratio of every occurrence, in order) of the rows
+    that hold one of the given terms outside a span. ``terms``: term, ratio."""
+    wanted = _filter(terms).shared
+
+    def run(b: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {c: [] for c in ("k1", "k2", "term", "start", "end")}
+        for k1, k2, t in zip(b["k1"], b["k2"], b["text"]):
+            own = list({w.lower() for w in set(_WORD.findall(t))})
+            kept = {own[i] for i in _passing(own, wanted.value)} if own else ()
+            for term, a, z in words_outside(t, base_spans(t)) if kept else ():
+                if term in kept:
+                    for c, v in zip(out, (k1, k2, term, a, z)):
+                        out[c].append(v)
+        return out
+
+    rows = docs.filter(F.col(text).isNotNull()).select(*common.row_key(key, text), F.col(text).alias("text"))
+    got = common.scan(rows, run, "k1 bigint, k2 bigint, term string, start int, end int").join(terms, "term")
+    return got.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("start", "end", "ratio"))).alias("terms"))
 
 
 def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
     """doc_id, base (spans by pattern), terms (start, end, ratio of disclosing
     terms) and, unless ``with_text`` is false, the sanitised text."""
     seen = found(docs, key, text)
-    pairs = seen.filter(F.size("pairs") > 0).select("k1", "k2", F.explode("pairs").alias("p")).select("k1", "k2", "p.*").distinct()
-    bad = pairs.join(disclosing(docs, seen, text), ["value", "term"])
-    bad = bad.groupBy("k1", "k2", "start", "end").agg(F.max("ratio").alias("ratio"))
-    bad = bad.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("start", "end", "ratio"))).alias("terms"))
+    terms = common.written(disclosing(docs, seen, text).groupBy("term").agg(F.max("ratio").alias("ratio")), "disclosing")
+    bad = occurrences(docs, terms, key, text)
     both = seen.join(bad, ["k1", "k2"], "left").select("k1", "k2", "doc_id", F.col("spans").alias("base"), F.coalesce("terms", F.expr("array()")).alias("terms"))
     if not with_text:
         return both.drop("k1", "k2")

@@ -129,6 +129,33 @@ def test_terms_that_disclose_are_found(spark):
             assert not terms and r["text"] == texts[r["doc_id"]]
 
 
+def test_terms_disclose_anywhere_in_all_documents(spark):
+    """Against a plain count: terms on other lines, far from the value and in documents without it."""
+    draw = random.Random(8)
+    filler, long = [f"filler{chr(97 + i)}" for i in range(20)], "k" * 70
+    texts = [f"{' '.join(draw.choice(filler) for _ in range(6))} number {i}" for i in range(600)]
+    for i in range(20):
+        gap = " ".join(draw.choice(filler) for _ in range(30))
+        texts[i] = f"About Quixotic {i}\n\n{gap} bob@mail.org {gap} Zephyr\n{long} {gap} number {i}"
+    texts[20] = "quixotic filler without it, QUIXOTIC twice"
+    texts[21:23] = [texts[0], None]
+    distinct = {t for t in texts if t is not None}
+    n_value = sum("bob@mail.org" in t for t in distinct)
+    expected = {}
+    for term in {w.lower() for t in distinct for w in re.findall(r"[^\W_]{3,}", t)} - {"bob", "mail", "org"}:
+        own = [t for t in distinct if term in re.findall(r"[^\W_]{3,}", t.lower())]
+        both = sum("bob@mail.org" in t for t in own)
+        if both >= private.SUPPORT and math.log(both * len(distinct) / (n_value * len(own))) / math.log(len(distinct) / n_value) >= private.GENERALISE:
+            expected[term] = True
+    assert set(expected) == {"quixotic", "zephyr", long, "about"}
+    got = {}
+    for r in private.sanitise(table(spark, texts)).collect():
+        got[r["doc_id"]] = r["text"]
+        t = texts[r["doc_id"]] or ""
+        assert [(x["start"], x["end"]) for x in r["terms"]] == [m.span() for m in re.finditer(r"[^\W_]{3,}", t) if m[0].lower() in expected]
+    assert len(got) == 600 and not any(re.search("quixotic|zephyr|kkk", t, re.I) for t in got.values())
+
+
 def test_private_odd_rows(spark):
     got = private.digest(private.sanitise(odd_table(spark), with_text=False)).collect()
     assert len(got) == 8 and all(r["spans"] == "" for r in got)
