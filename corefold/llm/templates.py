@@ -4,13 +4,16 @@ Tokens are the elements of a page by their path (tag and first class of each
 ancestor) and its text runs by path and content. Two tokens of a host with the same
 occurrence vector, the number of occurrences on each of its pages, are in one class;
 the vector is compared as a sum of hashes of (page, count), so a host's tokens are
-aggregated, never gathered. Classes on at least SUPPORT pages and half of the
-host's pages are valid; they nest by their paths into the host's template. The
-template gives the container of the article and the text runs that belong to the
-host's frame. What remains in the container's slots, outside menus, forms, notices,
-adverts and comments, is the page's text. Text runs inside the container are never
-taken for frame, so an article that all pages of a host share is kept. Hosts with
-fewer pages use the page's own elements in place of a template.
+aggregated, never gathered. A class is valid with SIZE tokens, on SUPPORT pages and
+half of the host's. A text run of a valid class is template where it follows the
+same element of its class on all pages, so that it has one place in the nest of
+classes; inside the article's container what is left around it must also differ on
+SUPPORT pages. Where template text would be half of the container's text or more on
+half of a class's pages, the host shares an article and the class is none: its text
+is kept. Elements of valid classes below elements of the template give the
+container. The page's text is what stands in the container's slots, outside template
+text, menus, forms, notices, adverts and comments. Hosts with fewer pages use the
+page's own elements in place of a template.
 
 Null or empty html gives an empty text; a null url is a host of its own. Repeated
 rows are answered one by one.
@@ -29,6 +32,7 @@ from pyspark.sql import functions as F
 from corefold.llm import common
 
 SUPPORT = 3
+SIZE = 3
 BROADCAST_BYTES = 32 << 20
 
 #: Elements without content.
@@ -76,6 +80,7 @@ class Run:
 
     text: str | None
     inside: tuple[Element, ...]
+    before: int  # elements begun before it
 
 
 def parse(html: str | None) -> tuple[list[Element], list[Run]]:
@@ -91,7 +96,7 @@ def parse(html: str | None) -> tuple[list[Element], list[Run]]:
         if start < 0:
             start = size
         if start > at:
-            runs.append(Run(html[at:start], inside))
+            runs.append(Run(html[at:start], inside, len(elements)))
         if start == size:
             break
         if html.startswith("<!--", start):
@@ -104,7 +109,7 @@ def parse(html: str | None) -> tuple[list[Element], list[Run]]:
                 end = html.find(">", start)
                 at = size if end < 0 else end + 1
             else:
-                runs.append(Run("<", inside))
+                runs.append(Run("<", inside, len(elements)))
                 at = start + 1
             continue
         rest = _REST.match(html, name.end()) if quoted else None
@@ -116,7 +121,7 @@ def parse(html: str | None) -> tuple[list[Element], list[Run]]:
             end = rest.end()
         tag, at = name[1].lower(), end
         if tag in BLOCK:
-            runs.append(Run(None, inside))
+            runs.append(Run(None, inside, len(elements)))
         if html[start + 1] == "/":
             walls = WALLS.get(tag, ())
             for i in range(len(stack) - 1, -1, -1):
@@ -155,50 +160,90 @@ def parse(html: str | None) -> tuple[list[Element], list[Run]]:
     return elements, runs
 
 
+def _hash(text: str) -> int:
+    """63 bits, not negative."""
+    data = text.encode("utf-8", "replace")
+    return zlib.crc32(data) << 31 ^ zlib.adler32(data)
+
+
+def _inner(run: Run) -> bool:
+    return any(e.container for e in run.inside)
+
+
 def _run_mark(run: Run) -> int:
     """Hash of a text run and its place."""
-    return zlib.crc32(f"{run.inside[-1].path if run.inside else ''}\n{' '.join(run.text.split())}".encode("utf-8", "replace"))
+    return _hash(f"{run.inside[-1].path if run.inside else ''}\n{_inner(run)}\n{' '.join(run.text.split())}")
+
+
+def _own(elements: list[Element], container: str | None) -> set[str]:
+    """Paths of the page's containers: the template's and what is of its kind, or
+    else the page's own of the highest rank."""
+    ranks = [e.container for e in elements if e.container and e.path == container] or [e.container for e in elements]
+    rank = max(ranks, default=0)
+    return {e.path for e in elements if rank and e.container == rank}
+
+
+def _shown(inside: tuple[Element, ...], own: set[str]) -> bool:
+    """Whether tags and marks leave a run to the page's text."""
+    if not own:
+        return not any(e.frame for e in inside)
+    first = next((i for i, e in enumerate(inside) if e.container and e.path in own), None)
+    return not (first is None or any(e.frame for e in inside[:first] if e.tag in FRAME) or any(e.frame for e in inside[first:]))
 
 
 def tokens_of(html: str | None) -> dict[tuple[str, int, int], int]:
-    """(path, rank as container, text mark or -1) -> occurrences on the page."""
+    """(path, rank as container, text mark or -1) -> occurrences on the page. Text
+    inside a container has the rank -1."""
     elements, runs = parse(html)
     out: dict[tuple[str, int, int], int] = {}
     for e in elements:
         key = (e.path, e.container, -1)
         out[key] = out.get(key, 0) + 1
     for r in runs:
-        if r.text and r.text.strip() and not any(e.container for e in r.inside):
-            key = (r.inside[-1].path if r.inside else "", 0, _run_mark(r))
+        if r.text and not any(e.frame and e.tag in FRAME for e in r.inside) and r.text.strip():
+            key = (r.inside[-1].path if r.inside else "", -1 if _inner(r) else 0, _run_mark(r))
             out[key] = out.get(key, 0) + 1
     return out
 
 
+def places_of(html: str | None, container: str | None, texts: dict[int, str], paths: dict[str, str]) -> tuple[list[tuple[int, int, bool]], int, bool]:
+    """(mark, hash of the element of its class that it follows, inside a container)
+    of each given text at its first place, the hash of the other text of the page's
+    containers, and whether the given texts are half of theirs or more. ``texts`` and
+    ``paths`` lead to classes."""
+    elements, runs = parse(html)
+    own = _own(elements, container)
+    out: dict[int, tuple[int, int, bool]] = {}
+    last: dict[str, str] = {}
+    rest, taken, at = [], 0, 0
+    for r in runs:
+        text = " ".join(r.text.split()) if r.text else ""
+        if not text:
+            continue
+        for e in elements[at : r.before]:
+            if e.path in paths:
+                last[paths[e.path]] = e.path
+        at = max(at, r.before)
+        mark, shown = _run_mark(r), bool(own) and _shown(r.inside, own)
+        if mark in texts:
+            if mark not in out:
+                out[mark] = (mark, _hash(last.get(texts[mark], "")), _inner(r))
+            taken += len(text) * shown
+        elif shown:
+            rest.append(text)
+    return list(out.values()), _hash("\n".join(rest)), taken > 0 and taken >= sum(map(len, rest))
+
+
 def main_text(html: str | None, container: str | None, frame_marks: frozenset[int]) -> str:
     """What the slots of the container hold; without one, all of the page but its frame."""
     elements, runs = parse(html)
-    paths = {e.path for e in elements if e.container}
-    if container not in paths:
-        best = max((e.container for e in elements), default=0)
-        own = {e.path for e in elements if best and e.container == best}
-    else:
-        own = {container}
-    if own:  # the same kind of container elsewhere on the page is content as well
-        rank = max(e.container for e in elements if e.path in own)
-        own |= {e.path for e in elements if e.container == rank}
+    own = _own(elements, container)
     parts: list[str] = []
     for run in runs:
         if run.text is None:
             parts.append(" ")
-            continue
-        inside = run.inside
-        if own:
-            first = next((i for i, e in enumerate(inside) if e.container and e.path in own), None)
-            if first is None or any(e.frame for e in inside[:first] if e.tag in FRAME) or any(e.frame for e in inside[first:]):
-                continue
-        elif any(e.frame for e in inside) or (run.text.strip() and _run_mark(run) in frame_marks):
-            continue
-        parts.append(entities.unescape(run.text))
+        elif _shown(run.inside, own) and not (frame_marks and run.text.strip() and _run_mark(run) in frame_marks):
+            parts.append(entities.unescape(run.text))
     return " ".join("".join(parts).split())
 
 
@@ -207,7 +252,7 @@ def host_of(url: str) -> F.Column:
 
 
 def host_templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """host, container, marks: the valid classes of each host, nested by path."""
+    """host, container, marks: the valid classes of each host, nested by path and place."""
     rows = pages.select(host_of(url).alias("host"), F.xxhash64(*pages.columns).alias("page"), F.col(html).alias("html"))
 
     def run(b: dict[str, list]) -> dict[str, list]:
@@ -223,13 +268,44 @@ def host_templates(pages: DataFrame, url: str = "url", html: str = "html") -> Da
     vectors = tokens.groupBy("host", "path", "rank", "mark").agg(F.count("*").alias("on"), F.sum(F.xxhash64("page", "n").cast("decimal(20,0)")).alias("vector"))
     # Written: the steps below read it several times, the pages are parsed once.
     valid = common.written(vectors.filter(F.col("on") >= SUPPORT).join(sizes, "host").filter(F.col("on") * 2 >= F.col("pages")), "page-classes")
-    classes = valid.groupBy("host", "vector", "on").agg(F.count("*").alias("size"))
+    classes = valid.groupBy("host", "vector", "on").agg(F.count("*").alias("size")).filter(F.col("size") >= SIZE)
+    valid = valid.join(classes, ["host", "vector", "on"])
     # A class of its own counts only where its token's parent is in the template.
-    parents = valid.filter("mark = -1").select("host", F.col("path").alias("parent")).distinct()
-    nested = valid.join(classes, ["host", "vector", "on"]).withColumn("parent", F.when(F.col("mark") == -1, F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.col("path")))
+    elements = valid.filter("mark = -1")
+    parents = elements.select("host", F.col("path").alias("parent")).distinct()
+    nested = elements.withColumn("parent", F.regexp_replace("path", "/[^/]*$", ""))
     nested = nested.join(parents, ["host", "parent"], "left_semi").unionByName(nested.filter("parent = ''"))
     best = F.max(F.when(F.col("rank") > 0, F.struct("rank", (-F.length("path")).alias("near"), "on", "path")))
-    return nested.groupBy("host").agg(best["path"].alias("container"), F.collect_set(F.when(F.col("mark") >= 0, F.col("mark"))).alias("marks"))
+    containers = nested.groupBy("host").agg(best["path"].alias("container"))
+    return containers.join(_template_texts(rows, valid, containers), "host", "full").withColumn("marks", F.coalesce("marks", F.expr("cast(array() AS array<bigint>)")))
+
+
+def _template_texts(rows: DataFrame, valid: DataFrame, containers: DataFrame) -> DataFrame:
+    """host, marks: the text runs of valid classes that have one place in the host's
+    template. Only pages of hosts with such classes are read again."""
+    texts = valid.filter("mark >= 0").groupBy("host").agg(F.collect_list(F.struct("mark", "vector")).alias("texts"))
+    held = valid.filter("mark >= 0").select("host", "vector").distinct()
+    paths = valid.filter("mark = -1").join(held, ["host", "vector"], "left_semi").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("path", "vector"))).alias("paths"))
+    hosts = common.written(texts.join(paths, "host", "left").join(containers, "host", "left"), "page-texts")
+    bytes_ = hosts.agg(F.sum(F.length("host") + 32 * F.size("texts") + F.coalesce(F.expr("aggregate(paths, 0, (n, p) -> n + length(p.path) + 32)"), F.lit(0)))).first()[0] or 0
+    pages = rows.join(F.broadcast(hosts) if bytes_ <= BROADCAST_BYTES else hosts, "host")
+
+    def run(b: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {c: [] for c in ("host", "vector", "mark", "place", "inner", "others", "full")}
+        for host, html, container, own, above in zip(b["host"], b["html"], b["container"], b["texts"], b["paths"]):
+            classes = {x["mark"]: str(x["vector"]) for x in own}
+            got, others, full = places_of(html, container, classes, {x["path"]: str(x["vector"]) for x in above or ()})
+            for mark, place, inner in got:
+                for c, v in zip(out, (host, classes[mark], mark, place, inner, others, full)):
+                    out[c].append(v)
+        return out
+
+    seen = common.scan(pages, run, "host string, vector string, mark bigint, place bigint, inner boolean, others bigint, full boolean")
+    # First per text and content around it, then per text: a host's pages are counted on all tasks.
+    some = seen.groupBy("host", "vector", "mark", "others").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.max("inner").alias("inner"), F.count("*").alias("n"), F.sum(F.col("full").cast("long")).alias("full"))
+    each = some.groupBy("host", "vector", "mark").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("inner").alias("inner"), F.count("*").alias("differ"), F.sum("n").alias("n"), F.sum("full").alias("full"))
+    keep = (F.col("low") == F.col("high")) & (~F.col("inner") | (F.col("differ") >= SUPPORT) & (F.col("full") * 2 < F.col("n")))
+    return each.filter(keep).groupBy("host").agg(F.collect_set("mark").alias("marks"))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -414,6 +414,33 @@ def test_frame_text_of_a_host_without_article_is_template(spark):
     assert got == {i: f"Text {i} of page" for i in range(6)}
 
 
+def test_template_text_inside_the_container_goes_and_shared_articles_stay(spark):
+    draw = random.Random(5)
+    text = lambda n: " ".join("".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    page = "<html><body><article><h1>{}</h1><p>Our house line</p>{}<div class='end'><p>Written by the house team</p></div></article></body></html>"
+    rows, want = [], {}
+    for i in range(8):  # boilerplate between paragraphs that differ in number and text
+        head, body = text(4), [text(30) for _ in range(1 + i % 3)]
+        rows.append((i, f"http://a.example/{i}", page.format(head, "".join(f"<p>{b}</p>" for b in body))))
+        want[i] = " ".join([head, *body])
+    shared = [text(30) for _ in range(3)]
+    for i in range(20, 28):  # one article on all pages of a host, exact and with another heading
+        head = text(2) if i % 2 else "Same"
+        rows.append((i, f"http://b.example/{i}", f"<html><body><nav>x</nav><article><h1>{head}</h1>{''.join(f'<p>{s}</p>' for s in shared)}</article></body></html>"))
+        want[i] = " ".join([head, *shared])
+    for i in range(40, 48):  # the same sentence at changing places is no template
+        parts = [text(20), text(20), text(20)]
+        first, second = ("<h2>A</h2>", "<h3>B</h3>")
+        line = "<p>Moving line</p>"
+        own = [f"<p>{p}</p>" for p in parts]
+        own.insert(i % 3, line)
+        rows.append((i, f"http://c.example/{i}", f"<html><body><article>{own[0]}{first}{own[1]}{second}{own[2]}{own[3]}</article></body></html>"))
+        want[i] = " ".join(re.sub("<[^>]*>", " ", h) for h in (own[0], own[1], own[2], own[3]))
+    got = {r["page_id"]: r["text"] for r in templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: t for i, t in got.items() if i < 40} == {i: t for i, t in want.items() if i < 40}
+    assert all("Moving line" in got[i] for i in range(40, 48))
+
+
 @pytest.mark.parametrize("html", ["<", "<<p>", "<p", "</", "<!--", "<a href='x", "<script>", "<p class=\"a>b\">c", "a < b", "</p></p>", "<svg/><p>x", "&#xZZ; &amp"])
 def test_broken_markup_is_read(html):
     assert isinstance(templates.main_text(html, None, frozenset()), str)
