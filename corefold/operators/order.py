@@ -1,6 +1,7 @@
 """Numbering and running totals that do not put a hot key into one task.
 
-Both work in two levels: rows are numbered inside (key, block), and the totals
+Whole tables are numbered over range partitions (``number_by_range``). The others
+work in two levels: rows are numbered inside (key, block), and the totals
 of the earlier blocks, a far smaller table, are added. ``block`` must grow with
 the order, so that every row of an earlier block sorts before the later ones."""
 
@@ -11,6 +12,55 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corefold.session import written
+
+_ROW_BITS = 33  # monotonically_increasing_id: partition above, place in it below
+
+
+def _in_ranges(df: DataFrame, order: Sequence) -> DataFrame:
+    """The rows sorted into range partitions and written, with the number of the
+    partition and the place inside it. Writing fixes the ranges, whose bounds come
+    from a sample, for every later reader."""
+    place = F.monotonically_increasing_id()
+    return written(
+        df.repartitionByRange(*order).sortWithinPartitions(*order)
+        .withColumn("_order_part", F.shiftright(place, _ROW_BITS)).withColumn("_order_at", place.bitwiseAND((1 << _ROW_BITS) - 1)),
+        "ranges",
+    )
+
+
+def _with_bases(placed: DataFrame, amount: Column) -> DataFrame:
+    """Adds the total of ``amount`` over the earlier partitions. One row per
+    partition passes through the driver, however long the table is."""
+    base, rows = None, []
+    for part, total in sorted(tuple(r) for r in placed.groupBy("_order_part").agg(amount.alias("_total")).collect()):
+        rows.append((part, base if base is not None else total - total))
+        base = rows[-1][1] + total
+    kind = placed.select(amount.alias("_total")).schema["_total"].dataType.simpleString()
+    bases = placed.sparkSession.createDataFrame(rows, f"_order_part long, _order_base {kind}")
+    return placed.join(F.broadcast(bases), "_order_part")
+
+
+def number_by_range(df: DataFrame, order: Sequence, out: str, start: int = 0, keys: Sequence[str] = ()) -> DataFrame:
+    """Dense numbers in ``order`` over the whole table, or from ``start`` on in each
+    group of ``keys`` (nulls are a group), ``order`` then holding inside it.
+
+    A group may span any number of partitions: rows are numbered through and the
+    number of the group's first row is taken off. Rows equal in ``order`` get their
+    numbers in any order."""
+    keys = list(keys)
+    placed = _in_ranges(df, [*keys, *order])
+    numbered = _with_bases(placed, F.count(F.lit(1))).withColumn(out, F.col("_order_at") + F.col("_order_base") + start)
+    numbered = numbered.drop("_order_part", "_order_at", "_order_base")
+    if not keys:
+        return numbered
+    firsts = numbered.groupBy(*[F.col(k).alias(f"_order_{i}") for i, k in enumerate(keys)]).agg(F.min(out).alias("_order_first"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_order_{i}"))
+    joined = numbered.join(firsts, same).withColumn(out, F.col(out) - F.col("_order_first") + start)
+    return joined.drop("_order_first", *[f"_order_{i}" for i in range(len(keys))])
+
 
 def _earlier_blocks(df: DataFrame, keys: Sequence[str], amount: Column) -> DataFrame:
     window = (
