@@ -12,6 +12,7 @@ from corefold.functions import text as X
 from corefold.operators import pairs as P
 from corefold.operators import spans as S
 from corefold.plans import arguments as A
+from corefold.plans import restaurants as R
 from corefold.plans import sampling as G
 from corefold.plans import translation as T
 from corefold.session import cut_lineage
@@ -145,6 +146,70 @@ def _(t):
     return drawn.select("doc", "idx", "table")
 
 
+# Events of equal trigger and most common argument share a table; every signature (trigger, arguments) against every table.
+SEATS = """ev AS (SELECT m.doc, m.idx, m.lemma AS trigger, coalesce(a.args, []) AS args FROM mentions m LEFT JOIN (SELECT doc, e_idx, list(a_lemma ORDER BY a_lemma) AS args FROM arguments GROUP BY ALL) a
+      ON m.doc = a.doc AND m.idx = a.e_idx WHERE m.kind = 'event'),
+    sg AS (SELECT *, row_number() OVER () AS s FROM (SELECT DISTINCT trigger, args FROM ev)), sv AS (SELECT s, value, count(*) AS mu FROM (SELECT s, unnest(args) AS value FROM sg) GROUP BY ALL),
+    hd AS (SELECT s, arg_max(value, {'n': n, 'v': value}) AS head FROM (SELECT s, value, sum(mu) OVER (PARTITION BY value) AS n FROM sv) GROUP BY s),
+    sh AS (SELECT sg.s, sg.trigger, len(args) AS m, coalesce(head, '') AS head, k FROM sg LEFT JOIN hd USING (s) JOIN (SELECT trigger, args, count(*) AS k FROM ev GROUP BY ALL) USING (trigger, args)),
+    tb AS (SELECT trigger, head, sum(k)::DOUBLE AS n, sum(k * m)::DOUBLE AS na FROM sh GROUP BY ALL),
+    tv AS (SELECT sh.trigger, sh.head, sv.value, sum(k * mu)::DOUBLE AS n FROM sh JOIN sv USING (s) GROUP BY ALL),
+    pq AS (SELECT 1 / (SELECT count(DISTINCT trigger) FROM sg)::DOUBLE AS p, 1 / (SELECT count(DISTINCT value) FROM sv)::DOUBLE AS q)"""
+
+
+def seated_events(t):
+    events = t.mentions().filter("kind = 'event'").select("doc", "idx", F.col("lemma").alias("trigger"))
+    listed = t.arguments().groupBy("doc", F.col("e_idx").alias("idx")).agg(F.array_sort(F.collect_list("a_lemma")).alias("args"))
+    return events.join(listed, ["doc", "idx"], "left")
+
+
+@query(
+    "em31_unbounded_start",
+    f"""WITH {SEATS} SELECT (SELECT count(*) FROM tb)::BIGINT AS tables, round(lgamma(1) - lgamma(1 + sum(n)) + sum(lgamma(n)) + (SELECT sum(
+          lgamma(c * (k + 1)) - lgamma(c * (k + 1) + t) + v) FROM (
+            SELECT p AS c, 1 AS k, n AS t, lgamma(n + p) - lgamma(p) + ln(p) AS v FROM tb, pq
+            UNION ALL SELECT any_value(q), count(*), sum(n), sum(lgamma(n + q) - lgamma(q) + ln(q)) FROM tv, pq GROUP BY trigger, head)), 3) AS log_likelihood FROM tb""",
+)
+def _(t):
+    named = R.signed(seated_events(t))
+    model = R.seating(named, 1.0)
+    found = R.log_likelihood(R.counts_of(R.start(named, model), model), model)
+    return found.select("tables", F.round("log_likelihood", 3).alias("log_likelihood"))
+
+
+@query(
+    "em31_unbounded_conditionals",
+    f"""WITH {SEATS}, ov AS (SELECT sv.s, tv.trigger, tv.head, sum(mu * ln(1 + n / q)) AS g FROM sv JOIN tv USING (value), pq GROUP BY ALL),
+        w AS (SELECT sh.s, ln(tb.n) - ln(1 + tb.n) - m * ln(1 + tb.na) + CASE WHEN sh.trigger = tb.trigger THEN ln(1 + tb.n / p) ELSE 0 END + coalesce(ov.g, 0) AS w
+          FROM sh, pq, tb LEFT JOIN ov ON ov.s = sh.s AND ov.trigger = tb.trigger AND ov.head = tb.head),
+        b AS (SELECT s, max(w) + ln(sum(exp(w - x))) AS total, max(w) AS best FROM (SELECT *, max(w) OVER (PARTITION BY s) AS x FROM w) GROUP BY s)
+        SELECT ev.doc, ev.idx, round(b.total, 6) AS log_mass, round(exp(best - total), 6) AS share FROM ev JOIN sg USING (trigger, args) JOIN b USING (s)""",
+)
+def _(t):
+    events = seated_events(t)
+    named = R.signed(events)
+    model = R.seating(named, 1.0)
+    counts = R.counts_of(R.start(named, model), model)
+    base = R.base_weights(counts, model)
+    masses = R.parts(model, base, R.trigger_gains(counts, model, base), R.argument_gains(counts, model, base))
+    mass = F.ln(F.col("base") + F.col("by_trigger") + F.col("by_argument")) + F.col("scale")
+    best = R.best_tables(events, counts, model)
+    return _rounded(named.select("doc", "idx", "sig").join(masses.select("sig", mass.alias("log_mass")), "sig").join(best.drop("table"), ["doc", "idx"]).drop("sig"))
+
+
+UNBOUNDED_SWEEPS = 10  # the usual number is 35; a sweep is about 6 s on a small box
+
+
+@query("em31_unbounded_sweeps")
+def _(t):
+    """Tables with their sizes and commonest trigger after the sweeps, and the number
+    of tables and the likelihood of each sweep."""
+    found = R.sample(seated_events(t), sweeps=UNBOUNDED_SWEEPS)
+    top = found.counts.values.filter("kind = 't'").groupBy("table").agg(F.max(F.struct("n", "value"))["value"].alias("trigger"))
+    tables = found.counts.tables.join(top, "table").select(F.lit("table").alias("row"), F.col("table").alias("number"), "n", "trigger", F.lit(None).cast("double").alias("log_likelihood"))
+    trace = t.spark.createDataFrame([("sweep", s, n, None, round(ll, 3)) for s, n, ll in found.trace], tables.schema)
+    return tables.unionByName(trace)
+
 
 @query("em32_link_sweep")
 def _(t):

@@ -120,7 +120,18 @@ def _(t):
     return C.type_confusion(_datasets(t), "even", "odd").withColumn("share", six_digits("share"))
 
 
-@query("agg11_confusion_order")
+def _greedy(cells: str) -> str:
+    """The pass itself, a row per step: each takes the best column not yet used."""
+    return f"""rw AS (SELECT type1, row_number() OVER (ORDER BY max(share) DESC, type1) - 1 AS place FROM {cells} GROUP BY type1), cl AS (SELECT DISTINCT type2 FROM {cells}),
+        pass(k, used) AS (SELECT 0::BIGINT, []::VARCHAR[] UNION ALL
+          SELECT k + 1, list_append(used, b.c) FROM (SELECT g.k, g.used, max({{'n': coalesce(x.n, 0), 'c': cl.type2}}) AS b FROM pass g JOIN rw ON rw.place = g.k CROSS JOIN cl
+            LEFT JOIN {cells} x ON x.type1 = rw.type1 AND x.type2 = cl.type2 WHERE NOT list_contains(g.used, cl.type2) GROUP BY g.k, g.used)),
+        whole AS (SELECT used FROM pass ORDER BY k DESC LIMIT 1), taken AS (SELECT unnest(used) AS name, unnest(range(len(used))) AS place FROM whole)
+        SELECT 'row' AS axis, type1 AS name, place FROM rw UNION ALL SELECT 'column', name, place FROM taken
+        UNION ALL SELECT 'column', type2, (SELECT count(*) FROM rw) + row_number() OVER (ORDER BY type2) - 1 FROM cl WHERE type2 NOT IN (SELECT name FROM taken)"""
+
+
+@query("agg11_confusion_order", f"WITH RECURSIVE {CONFUSION}, cs AS (SELECT *, n / sum(n) OVER (PARTITION BY type1) AS share FROM cf), {_greedy('cs')}")
 def _(t):
     return C.confusion_order(C.type_confusion(_datasets(t), "even", "odd"))
 
@@ -375,12 +386,35 @@ def _(t):
     return _rounded(S.ceaf_overlaps(labelled(t)))
 
 
-@query("met07_ceaf_e")
+# A gold cluster has one word and a predicted one all words of a lemma, so every gold cluster
+# meets a single predicted one: the best choice is the best gold cluster of each of those.
+CEAF = f"""{CELLS}, sz AS (SELECT c.doc, c.gold, c.pred, 2.0::DOUBLE * c.n / (g.n + p.n) AS phi FROM cells c JOIN (SELECT doc, gold, sum(n) AS n FROM cells GROUP BY ALL) g ON c.doc = g.doc AND c.gold = g.gold
+        JOIN (SELECT doc, pred, sum(n) AS n FROM cells GROUP BY ALL) p ON c.doc = p.doc AND c.pred = p.pred WHERE c.gold > 0 AND c.pred > 0),
+    ceaf AS (SELECT 'ceaf_e' AS metric, t / (SELECT count(*) FROM (SELECT DISTINCT doc, pred FROM cells WHERE pred > 0)) AS p, t / (SELECT count(*) FROM (SELECT DISTINCT doc, gold FROM cells WHERE gold > 0)) AS r
+      FROM (SELECT sum(phi) AS t FROM (SELECT max(phi) AS phi FROM sz GROUP BY doc, pred)))"""
+
+
+@query("met07_ceaf_e", f"WITH {CEAF} SELECT {SCORES} FROM ceaf")
 def _(t):
     return _rounded(S.ceaf_e(labelled(t)))
 
 
-@query("met08_conll_average")
+@query("met07_ceaf_crossing")
+def _(t):
+    """Clusters that cross: equal words against stretches of two sentences. The best
+    choice, the bound that proves it, and how it was reached."""
+    rows = t.mentions().select("doc", "idx", F.col("cluster").alias("gold"), (F.floor(F.col("sent") / 2) + 1).cast("long").alias("pred"))
+    found = S.ceaf_matching(rows, tolerance=1e-3)
+    return found.pairs.agg(F.count("*").alias("pairs"), six_digits(F.sum("value")).alias("total")).select(
+        "pairs", "total", F.lit(round(found.bound, 6)).alias("bound"), F.lit(found.forced).cast("long").alias("forced"), F.lit(found.rounds).cast("long").alias("rounds")
+    )
+
+
+@query(
+    "met08_conll_average",
+    f"""WITH {CEAF}, s AS (SELECT {_muc_side('pred', 'gold')} AS p, {_muc_side('gold', 'pred')} AS r UNION ALL SELECT {_b3_side('pred', 'gold')}, {_b3_side('gold', 'pred')} UNION ALL SELECT p, r FROM ceaf)
+        SELECT round(avg(p), 6) AS precision, round(avg(r), 6) AS recall, round(avg(2 * p * r / (p + r)), 6) AS f1 FROM s""",
+)
 def _(t):
     return _rounded(S.conll_average(labelled(t)))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corefold.functions import text as X
 from corefold.operators import order
+from corefold.operators.matching import choose_in_order
 
 
 def build_vocab(words: DataFrame, specials: Sequence[str] = (X.NULL_TEXT,)) -> DataFrame:
@@ -102,31 +103,20 @@ def type_confusion(rows: DataFrame, first: str, second: str) -> DataFrame:
     return table.join(totals, "type1").withColumn("share", F.col("n") / F.col("_t")).drop("_t")
 
 
-def confusion_order(table: DataFrame, max_types: int = 4096) -> DataFrame:
+def confusion_order(table: DataFrame) -> DataFrame:
     """Row places by largest share, then each row in turn takes its best column
-    that is still free; columns left over follow by name. (axis, name, place).
-
-    The greedy pass runs over the type x type table, not over data rows; its size
-    is checked."""
-    rows = table.select("type1", "type2", "n", "share").limit(max_types * 16 + 1).collect()
-    if len(rows) > max_types * 16:
-        raise ValueError("type table too large for the greedy order")
-    best: dict[str, float] = {}
-    counts: dict[tuple[str, str], int] = {}
-    for r in rows:
-        best[r["type1"]] = max(best.get(r["type1"], 0.0), r["share"])
-        counts[r["type1"], r["type2"]] = r["n"]
-    names1 = sorted(best, key=lambda t: (-best[t], t))
-    names2 = sorted({r["type2"] for r in rows})
-    free, chosen = list(names2), []
-    for t in names1:
-        if not free:
-            break
-        pick = max(free, key=lambda u: (counts.get((t, u), 0), u))
-        free.remove(pick)
-        chosen.append(pick)
-    places = [("row", t, i) for i, t in enumerate(names1)] + [("column", u, i) for i, u in enumerate(chosen + free)]
-    return table.sparkSession.createDataFrame(places, "axis string, name string, place long")
+    that is still free; columns left over follow by name. (axis, name, place)."""
+    best = table.groupBy("type1").agg(F.max("share").alias("_best"))
+    rows = order.number_by_range(best, [F.desc("_best"), "type1"], "place").drop("_best")
+    worth = table.join(rows, "type1").filter("n > 0").select("place", F.col("type2").alias("column"), "n")
+    columns = table.select(F.col("type2").alias("column")).distinct()
+    chosen = choose_in_order(rows, columns, worth)
+    left = columns.join(chosen, "column", "left_anti")
+    last = order.number_by_range(left, ["column"], "place", start=rows.count())
+    named = chosen.select("column", "place").unionByName(last.select("column", "place"))
+    return rows.select(F.lit("row").alias("axis"), F.col("type1").alias("name"), "place").unionByName(
+        named.select(F.lit("column").alias("axis"), F.col("column").alias("name"), "place")
+    )
 
 
 def alignment_confusion(aligned: DataFrame) -> DataFrame:

@@ -7,13 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corefold.operators import order
-from corefold.plans.clusters import connected_components
+from corefold.operators.matching import Matching, best_matching
 from corefold.session import cut_lineage
 
 
@@ -175,67 +173,22 @@ def ceaf_overlaps(labelled: DataFrame, keep_singletons: bool = False) -> DataFra
     )
 
 
-def assignment_total(weights: np.ndarray) -> float:
-    """Largest total of a one-to-one choice (shortest augmenting paths)."""
-    cost = -weights if weights.shape[0] <= weights.shape[1] else -weights.T
-    n, m = cost.shape
-    u, v, match, total = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, dtype=int), 0.0
-    for row in range(1, n + 1):
-        match[0], col = row, 0
-        slack, back, done = np.full(m + 1, np.inf), np.zeros(m + 1, dtype=int), np.zeros(m + 1, dtype=bool)
-        while True:
-            done[col] = True
-            here = match[col]
-            open_ = np.flatnonzero(~done[1:]) + 1
-            gap = cost[here - 1, open_ - 1] - u[here] - v[open_]
-            better = gap < slack[open_]
-            slack[open_[better]], back[open_[better]] = gap[better], col
-            nxt = open_[np.argmin(slack[open_])]
-            step = slack[nxt]
-            u[match[done]] += step
-            v[done] -= step
-            slack[~done] -= step
-            col = nxt
-            if match[col] == 0:
-                break
-        while col:
-            match[col] = match[back[col]]
-            col = back[col]
-    for col in range(1, m + 1):
-        if match[col]:
-            total -= cost[match[col] - 1, col - 1]
-    return float(total)
-
-
-def ceaf_e(labelled: DataFrame, keep_singletons: bool = False) -> DataFrame:
-    """Best one-to-one matching of the clusters by phi.
-
-    The matching falls apart into the connected components of the overlap graph.
-    Components with one gold or one predicted cluster are settled by a maximum;
-    only the rest reaches the grouped-map solver, one component at a time."""
+def ceaf_matching(labelled: DataFrame, keep_singletons: bool = False, tolerance: float = 1e-7) -> Matching:
+    """The best one-to-one choice of the overlapping clusters by phi, from rounds over
+    all documents at once; ``left`` and ``right`` of its pairs are doc|gold and doc|pred."""
     edges = ceaf_overlaps(labelled, keep_singletons)
-    names = edges.select(
-        "doc", "gold", "pred", "phi", F.concat_ws("|", "doc", F.lit("g"), "gold").alias("src"), F.concat_ws("|", "doc", F.lit("p"), "pred").alias("dst")
-    )
-    names = cut_lineage(names)
-    parts = connected_components(names.select("src", "dst"))
-    placed = names.join(parts.select(F.col("node").alias("src"), "component"), "src")
-    shape = placed.groupBy("component").agg(F.countDistinct("gold").alias("_g"), F.countDistinct("pred").alias("_p"), F.max("phi").alias("total"))
-    simple = shape.filter("_g = 1 OR _p = 1").select("total")
-    hard = placed.join(shape.filter("_g > 1 AND _p > 1").select("component"), "component", "left_semi")
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        table = rows.pivot(index="gold", columns="pred", values="phi").fillna(0.0)
-        return pd.DataFrame({"total": [assignment_total(table.to_numpy())]})
-
-    solved = hard.groupBy("component").applyInPandas(solve, "total double")
-    best = simple.unionByName(solved).agg(F.coalesce(F.sum("total"), F.lit(0.0)).alias("num"))
+    return best_matching(edges.select(F.concat_ws("|", "doc", "gold").alias("left"), F.concat_ws("|", "doc", "pred").alias("right"), F.col("phi").alias("value")), tolerance)
+
+
+def ceaf_e(labelled: DataFrame, keep_singletons: bool = False, tolerance: float = 1e-7) -> DataFrame:
+    """Total phi of the best one-to-one choice over the number of clusters of either
+    side; a larger choice than that plus ``tolerance`` per cluster does not exist."""
+    total = ceaf_matching(labelled, keep_singletons, tolerance).total
     rows = labelled if keep_singletons else _drop_single_predictions(labelled)
 
     def side(cluster: str) -> DataFrame:
-        count = rows.filter(F.col(cluster) > 0).select("doc", cluster).distinct().agg(F.count("*").cast("double").alias("v"))
-        both = best.select(F.lit(0).alias("_s"), F.col("num").alias("v")).unionByName(count.select(F.lit(1).alias("_s"), "v"))
-        return both.groupBy().agg(F.sum(F.when(F.col("_s") == 0, F.col("v"))).alias("num"), F.sum(F.when(F.col("_s") == 1, F.col("v"))).alias("den"))
+        count = rows.filter(F.col(cluster) > 0).select("doc", cluster).distinct().agg(F.count("*").cast("double").alias("den"))
+        return count.select(F.lit(total).alias("num"), "den")
 
     return _prf_of(side("pred"), side("gold"), "ceaf_e")
 
