@@ -386,15 +386,19 @@ def _(t):
     return _rounded(S.ceaf_overlaps(labelled(t)))
 
 
-# A gold cluster has one word and a predicted one all words of a lemma, so every gold cluster
-# meets a single predicted one: the best choice is the best gold cluster of each of those.
+# Every one-to-one choice of each document's clusters, gold ones in turn: few overlap here.
 CEAF = f"""{CELLS}, sz AS (SELECT c.doc, c.gold, c.pred, 2.0::DOUBLE * c.n / (g.n + p.n) AS phi FROM cells c JOIN (SELECT doc, gold, sum(n) AS n FROM cells GROUP BY ALL) g ON c.doc = g.doc AND c.gold = g.gold
         JOIN (SELECT doc, pred, sum(n) AS n FROM cells GROUP BY ALL) p ON c.doc = p.doc AND c.pred = p.pred WHERE c.gold > 0 AND c.pred > 0),
+    gl AS (SELECT doc, gold, row_number() OVER (PARTITION BY doc ORDER BY gold) AS k FROM (SELECT DISTINCT doc, gold FROM sz)),
+    op AS (SELECT doc, gold, pred, phi FROM sz UNION ALL SELECT DISTINCT doc, gold, NULL, 0 FROM sz),
+    mt(doc, k, used, t) AS (SELECT DISTINCT doc, 0::BIGINT, []::BIGINT[], 0::DOUBLE FROM sz UNION ALL
+      SELECT mt.doc, mt.k + 1, CASE WHEN op.pred IS NULL THEN used ELSE list_append(used, op.pred) END, t + op.phi FROM mt JOIN gl ON gl.doc = mt.doc AND gl.k = mt.k + 1
+        JOIN op ON op.doc = mt.doc AND op.gold = gl.gold WHERE op.pred IS NULL OR NOT list_contains(used, op.pred)),
     ceaf AS (SELECT 'ceaf_e' AS metric, t / (SELECT count(*) FROM (SELECT DISTINCT doc, pred FROM cells WHERE pred > 0)) AS p, t / (SELECT count(*) FROM (SELECT DISTINCT doc, gold FROM cells WHERE gold > 0)) AS r
-      FROM (SELECT sum(phi) AS t FROM (SELECT max(phi) AS phi FROM sz GROUP BY doc, pred)))"""
+      FROM (SELECT sum(t) AS t FROM (SELECT max(t) AS t FROM mt GROUP BY doc)))"""
 
 
-@query("met07_ceaf_e", f"WITH {CEAF} SELECT {SCORES} FROM ceaf")
+@query("met07_ceaf_e", f"WITH RECURSIVE {CEAF} SELECT {SCORES} FROM ceaf")
 def _(t):
     return _rounded(S.ceaf_e(labelled(t)))
 
@@ -412,7 +416,7 @@ def _(t):
 
 @query(
     "met08_conll_average",
-    f"""WITH {CEAF}, s AS (SELECT {_muc_side('pred', 'gold')} AS p, {_muc_side('gold', 'pred')} AS r UNION ALL SELECT {_b3_side('pred', 'gold')}, {_b3_side('gold', 'pred')} UNION ALL SELECT p, r FROM ceaf)
+    f"""WITH RECURSIVE {CEAF}, s AS (SELECT {_muc_side('pred', 'gold')} AS p, {_muc_side('gold', 'pred')} AS r UNION ALL SELECT {_b3_side('pred', 'gold')}, {_b3_side('gold', 'pred')} UNION ALL SELECT p, r FROM ceaf)
         SELECT round(avg(p), 6) AS precision, round(avg(r), 6) AS recall, round(avg(2 * p * r / (p + r)), 6) AS f1 FROM s""",
 )
 def _(t):
