@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corefold.session import written
+from corefold.session import broadcast_if_small, written
 
 _ROW_BITS = 33  # monotonically_increasing_id: partition above, place in it below
 
@@ -54,11 +54,11 @@ def number_by_range(df: DataFrame, order: Sequence, out: str, start: int = 0, ke
     numbered = numbered.drop("_order_part", "_order_at", "_order_base")
     if not keys:
         return numbered
-    firsts = numbered.groupBy(*[F.col(k).alias(f"_order_{i}") for i, k in enumerate(keys)]).agg(F.min(out).alias("_order_first"))
+    firsts = written(numbered.groupBy(*[F.col(k).alias(f"_order_{i}") for i, k in enumerate(keys)]).agg(F.min(out).alias("_order_first")), "firsts")
     same = F.lit(True)
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_order_{i}"))
-    joined = numbered.join(firsts, same).withColumn(out, F.col(out) - F.col("_order_first") + start)
+    joined = numbered.join(broadcast_if_small(firsts), same).withColumn(out, F.col(out) - F.col("_order_first") + start)
     return joined.drop("_order_first", *[f"_order_{i}" for i in range(len(keys))])
 
 
