@@ -26,15 +26,17 @@ from tokenizers import Tokenizer
 from corefold.llm import common
 from corefold.session import fresh_path
 
-CACHE = 1 << 20
+#: Entries of each of a worker's two tables, some 60 MB; a full one is emptied.
+CACHE = 1 << 18
 CACHED_CHARS = 64
 DOCUMENTS_PER_PART = 5_000
 
 
 class Encoder:
-    """Stretches seen are kept. A new one that is letters with at most one mark
-    behind is put together from its word and its mark; new words are encoded many at
-    a time, as every word closes with a token that ends in the vocabulary's suffix."""
+    """Stretches seen are kept. A new one that is letters, also in lower case, with at
+    most one mark behind is put together from its word and its mark (a letter whose
+    lower case ends in a combining mark would join the mark); new words are encoded many
+    at a time, as every word closes with a token that ends in the vocabulary's suffix."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -44,6 +46,8 @@ class Encoder:
         if suffix:
             self.closes[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         self.suffix = suffix
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.lowers = ids("AbC xY") == ids("abc xy")
         self.seen: dict[str, bytes] = {"": b""}
         self.words: dict[str, bytes] = {}
 
@@ -69,8 +73,8 @@ class Encoder:
         other: list[str] = []
         for p in fresh:
             word, mark = (p[:-1], p[-1]) if p[-1] in ".,;:!?" else (p, "")
-            if self.suffix and word.isalpha() and len(word) <= CACHED_CHARS:
-                plain.append((p, word.lower() if word.isascii() else word, mark))
+            if self.suffix and word.isalpha() and word.lower().isalpha() and len(word) <= CACHED_CHARS:
+                plain.append((p, word.lower() if self.lowers and word.isascii() else word, mark))
             else:
                 other.append(p)
         need = {w for _, w, _ in plain if w not in self.words} | {m for _, _, m in plain if m and m not in self.words}

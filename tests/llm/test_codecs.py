@@ -194,6 +194,16 @@ def test_word_encoder_equals_the_library():
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_word_encoder_joins_marks_as_the_library_does():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, own = Tokenizer.from_file(path), token_files.Encoder(path)
+    longer = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha() and len(chr(c).lower()) > 1]
+    texts = [f"{word}{mark} geldi" for word in ["AL\u0130", "\u0130", "a\u0130b", *longer] for mark in ".,;:!?"]
+    assert longer and own.lowers
+    for text, ids in zip(texts, own.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_control_bytes_round_trip():
     draw = np.random.default_rng(1)
     ids = [np.array(x, np.uint32) for x in ([], [0], [255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1], draw.integers(0, 2**32, 1001), [])]
