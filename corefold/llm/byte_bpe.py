@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from corefold.llm import common
 
-CACHE = 1 << 19
+#: Entries of a worker's table, some 30 MB; a full one is emptied. Workers are reused by later stages.
+CACHE = 1 << 17
 CACHED_CHARS = 64
 
 
