@@ -159,7 +159,7 @@ WITH steps AS MATERIALIZED (
   SELECT doc_id, source, coalesce(octet_length(encode(text)), 0) + 16 AS size,
     xor(coalesce(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda b: CAST('0x' || b AS BIGINT)),
       lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295), 4294967295), 4294967295) AS crc,
-    sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h
+    CAST('0x' || substr(sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS h
   FROM documents, steps
 ), f AS (
   SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY h, size, crc) - 1) / CAST(2 * count(*) OVER (PARTITION BY source) AS DOUBLE) AS fraction FROM d

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corefold.operators import order
+from corefold.session import broadcast_if_small, written
 
 LAW = "rows"
 
@@ -37,15 +38,17 @@ def checksum(text: Column) -> Column:
 
 
 def seeded(key: Column, seed: int) -> Column:
-    return F.sha2(F.concat_ws(":", F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit("null"))), 256)
+    """The first 60 bits of sha256."""
+    text = F.concat_ws(":", F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit("null")))
+    return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
 
 
 def interleave(rows: DataFrame, shards: int, source: str, key: str, seed: int, ties: Sequence[str] = ()) -> DataFrame:
     """Adds shard and slot (from 0 in each shard)."""
     named = rows.withColumn("_shuffled", seeded(F.col(key), seed)).withColumn("_source", F.col(source))
     ranked = order.number_by_range(named, ["_shuffled", *ties], "_rank", keys=["_source"])
-    sizes = ranked.groupBy(F.col("_source").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
-    placed = ranked.join(sizes, F.col("_source").eqNullSafe(F.col("_of"))).withColumn("_fraction", (2 * F.col("_rank") + 1) / (2 * F.col("_n")))
+    sizes = written(ranked.groupBy(F.col("_source").alias("_of")).agg(F.count(F.lit(1)).alias("_n")), "sizes")
+    placed = ranked.join(broadcast_if_small(sizes), F.col("_source").eqNullSafe(F.col("_of"))).withColumn("_fraction", (2 * F.col("_rank") + 1) / (2 * F.col("_n")))
     numbered = order.number_by_range(placed.drop("_rank", "_of"), ["_fraction", "_shuffled", "_source", *ties], "_place")
     total = numbered.count()
     whole = numbered.withColumn("shard", F.expr(f"int(_place * {shards} div {max(total, 1)})"))
