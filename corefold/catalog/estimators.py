@@ -21,7 +21,7 @@ from corefold.session import cut_lineage
 BLOCK = 32  # small, so that the comparison runs through several blocks
 N_CLUSTERS = 10
 
-TEXT = """cand AS (SELECT b.doc, b.idx AS j, b.lemma AS tgt, a.lemma AS src, count(*)::DOUBLE AS n, min(a.idx) AS first FROM mentions a JOIN mentions b
+TEXT = """cand AS MATERIALIZED (SELECT b.doc, b.idx AS j, b.lemma AS tgt, a.lemma AS src, count(*)::DOUBLE AS n, min(a.idx) AS first FROM mentions a JOIN mentions b
     ON a.doc = b.doc AND a.type = b.type AND a.idx < b.idx GROUP BY ALL UNION ALL SELECT doc, idx, lemma, '###NEW###', 1, -1 FROM mentions),
     p0 AS (SELECT DISTINCT src, tgt, 1 / (SELECT count(DISTINCT lemma) FROM mentions) AS p FROM cand)"""
 
@@ -30,8 +30,8 @@ def text_rounds(rounds: int) -> str:
     """Views e0, p1, e1, p2, ...: posteriors and tables of the rounds."""
     views = [TEXT]
     for r in range(rounds + 1):
-        views.append(f"e{r} AS (SELECT c.*, p.p AS w, n * p.p / sum(n * p.p) OVER (PARTITION BY doc, j) AS post FROM cand c JOIN p{r} p ON c.src = p.src AND c.tgt = p.tgt)")
-        views.append(f"p{r + 1} AS (SELECT src, tgt, c AS count, c / sum(c) OVER (PARTITION BY src) AS p FROM (SELECT src, tgt, sum(post) AS c FROM e{r} GROUP BY ALL))")
+        views.append(f"e{r} AS MATERIALIZED (SELECT c.*, p.p AS w, n * p.p / sum(n * p.p) OVER (PARTITION BY doc, j) AS post FROM cand c JOIN p{r} p ON c.src = p.src AND c.tgt = p.tgt)")
+        views.append(f"p{r + 1} AS MATERIALIZED (SELECT src, tgt, c AS count, c / sum(c) OVER (PARTITION BY src) AS p FROM (SELECT src, tgt, sum(post) AS c FROM e{r} GROUP BY ALL))")
     return ", ".join(views)
 
 
@@ -69,7 +69,7 @@ MODES = """mm AS (SELECT *, type < 2 AS visual FROM mentions),
         SELECT *, min(idx) FILTER (mtype = 'nominal') OVER (PARTITION BY doc, type) AS d0 FROM mm) m
       LEFT JOIN (SELECT doc, j, min(i) AS s0 FROM sem GROUP BY ALL) s ON s.doc = m.doc AND s.j = m.idx)),
     mass AS (SELECT doc, k, sum(p) AS mass FROM posteriors GROUP BY ALL),
-    mcand AS (SELECT 'semantic' AS mode, s.doc, s.j, s.tgt, s.src, s.dist, count(*)::DOUBLE AS n, min(s.i) AS first, true AS open
+    mcand AS MATERIALIZED (SELECT 'semantic' AS mode, s.doc, s.j, s.tgt, s.src, s.dist, count(*)::DOUBLE AS n, min(s.i) AS first, true AS open
         FROM sem s JOIN moded b ON s.doc = b.doc AND s.j = b.idx WHERE b.mode = 'semantic' GROUP BY ALL
       UNION ALL SELECT mode, doc, idx, lemma, '###NEW###', sent, 1, -1, tag <> 'PRP' FROM moded WHERE mode = 'semantic'
       UNION ALL SELECT 'discourse', b.doc, b.idx, b.mtype || '__' || b.number, a.mtype || '__' || a.number, b.sent - a.sent, count(*), min(a.idx), true
@@ -86,12 +86,12 @@ def mode_rounds(rounds: int) -> str:
     views = [MODES]
     for r in range(rounds + 1):
         views += [
-            f"""w{r} AS (SELECT c.*, CASE WHEN open THEN coalesce(t.p, 0) * coalesce(q.p, 0) ELSE 0 END AS w FROM mcand c LEFT JOIN t{r} t ON c.mode = t.mode AND c.src = t.src AND c.tgt = t.tgt
+            f"""w{r} AS MATERIALIZED (SELECT c.*, CASE WHEN open THEN coalesce(t.p, 0) * coalesce(q.p, 0) ELSE 0 END AS w FROM mcand c LEFT JOIN t{r} t ON c.mode = t.mode AND c.src = t.src AND c.tgt = t.tgt
                 LEFT JOIN q{r} q ON c.mode = q.mode AND c.dist = q.dist)""",
-            f"x{r} AS (SELECT *, n * w / greatest(1e-100, sum(n * w) OVER (PARTITION BY doc, j)) AS post FROM w{r})",
-            f"""t{r + 1} AS (SELECT mode, src, tgt, c AS count, c / greatest(1e-100, sum(c) OVER (PARTITION BY mode, src)) AS p FROM (
+            f"x{r} AS MATERIALIZED (SELECT *, n * w / greatest(1e-100, sum(n * w) OVER (PARTITION BY doc, j)) AS post FROM w{r})",
+            f"""t{r + 1} AS MATERIALIZED (SELECT mode, src, tgt, c AS count, c / greatest(1e-100, sum(c) OVER (PARTITION BY mode, src)) AS p FROM (
                 SELECT mode, src, tgt, sum(post) AS c FROM x{r} WHERE open GROUP BY ALL))""",
-            f"""q{r + 1} AS (SELECT * FROM q{r} WHERE mode <> 'discourse' UNION ALL SELECT mode, dist, c / sum(c) OVER () FROM (
+            f"""q{r + 1} AS MATERIALIZED (SELECT * FROM q{r} WHERE mode <> 'discourse' UNION ALL SELECT mode, dist, c / sum(c) OVER () FROM (
                 SELECT mode, dist, sum(post) AS c FROM x{r} WHERE open AND mode = 'discourse' GROUP BY ALL))""",
         ]
     return ", ".join(views)
@@ -170,27 +170,30 @@ def _(t):
     return _rounded(T.log_likelihood(model.posterior()))
 
 
-@query("em09_fit", f"WITH {text_rounds(2)} SELECT src, tgt, round(count, 6) AS count, round(p, 6) AS p FROM p3")
+ROUNDS = 10
+
+
+@query("em09_fit", f"WITH {text_rounds(ROUNDS - 1)} SELECT src, tgt, round(count, 6) AS count, round(p, 6) AS p FROM p{ROUNDS}")
 def _(t):
-    return _rounded(fitted_text(t, 3).translation.drop("mode"))
+    return _rounded(fitted_text(t, ROUNDS).translation.drop("mode"))
 
 
 @query(
     "em10_predict_antecedents",
-    f"""WITH {text_rounds(2)} SELECT doc, j AS idx, first AS antecedent, round(w, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc, j ORDER BY round(w, 12) DESC, first) AS r FROM e2) WHERE r = 1""",
+    f"""WITH {text_rounds(ROUNDS)} SELECT doc, j AS idx, first AS antecedent, round(w, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc, j ORDER BY round(w, 12) DESC, first) AS r FROM e{ROUNDS}) WHERE r = 1""",
 )
 def _(t):
-    model = fitted_text(t, 2)
+    model = fitted_text(t, ROUNDS)
     rounded = model.translation.withColumn("p", F.round("p", 12))
     return _rounded(T.predict_antecedents(model.candidates, rounded))
 
 
 @query(
     "em10_predict_antecedents_modes",
-    f"""WITH {mode_rounds(2)} SELECT doc, j AS idx, first AS antecedent FROM (SELECT *, row_number() OVER (PARTITION BY doc, j ORDER BY round(w, 12) DESC, first) AS r FROM w2 WHERE mode <> 'visual') WHERE r = 1""",
+    f"""WITH {mode_rounds(ROUNDS)} SELECT doc, j AS idx, first AS antecedent FROM (SELECT *, row_number() OVER (PARTITION BY doc, j ORDER BY round(w, 12) DESC, first) AS r FROM w{ROUNDS} WHERE mode <> 'visual') WHERE r = 1""",
 )
 def _(t):
-    model = fitted_modes(t, 2)
+    model = fitted_modes(t, ROUNDS)
     scored = model.posterior().filter("mode <> 'visual'")
     ranked = R.rank_antecedents(scored.select("doc", "j", F.col("first").alias("i"), F.round("w", 12).alias("score")))
     return ranked.select("doc", "idx", "antecedent")
@@ -221,6 +224,96 @@ def _(t):
     return _rounded(T.visual_antecedents(seen, seen, posteriors, model.translation))
 
 
+def visual_scores(table: str, later: str, earlier: str) -> str:
+    """vs: the scores of visual mentions ``later`` under a table of the rounds, with all
+    frames written out."""
+    return f"""em AS MATERIALIZED (SELECT substr(src, 3)::INT AS k, tgt AS word, p AS e FROM {table} WHERE mode = 'visual' AND src LIKE 'k:%'),
+    e0 AS (SELECT tgt AS word, p AS e0 FROM {table} WHERE mode = 'visual' AND src = '###NEW###'),
+    fw AS MATERIALIZED (SELECT p.doc, p.fidx, w.lemma AS word, sum(p.p * em.e) AS x FROM posteriors p JOIN (SELECT DISTINCT doc, lemma FROM {earlier}) w ON p.doc = w.doc JOIN em ON em.word = w.lemma AND em.k = p.k GROUP BY ALL),
+    tot AS (SELECT doc, word, sum(x) AS m FROM fw GROUP BY ALL),
+    ws AS MATERIALIZED (SELECT a.doc, a.word AS tgt, b.word AS src, (sum(a.x * b.x) + any_value(e0.e0) * any_value(e0.e0)) / ((any_value(ta.m) + any_value(e0.e0)) * (any_value(tb.m) + any_value(e0.e0))) AS score
+      FROM fw a JOIN fw b ON a.doc = b.doc AND a.fidx = b.fidx JOIN tot ta ON ta.doc = a.doc AND ta.word = a.word JOIN tot tb ON tb.doc = b.doc AND tb.word = b.word JOIN e0 ON e0.word = a.word GROUP BY ALL),
+    vs AS (SELECT b.doc, b.idx AS j, a.idx AS i, ws.score FROM {earlier} a JOIN {later} b ON a.doc = b.doc AND a.type = b.type AND a.number = b.number AND a.idx < b.idx JOIN ws ON ws.doc = b.doc AND ws.tgt = b.lemma AND ws.src = a.lemma
+      UNION ALL SELECT m.doc, m.idx, -1, coalesce(e0.e0 / (tot.m + e0.e0), 1) FROM {later} m LEFT JOIN tot ON tot.doc = m.doc AND tot.word = m.lemma LEFT JOIN e0 ON e0.word = m.lemma)"""
+
+
+def rooted(links: str) -> str:
+    """Follows the links of a view (doc, idx, antecedent) to the first mention; ids in
+    the order of document and first mention."""
+    return f"""rt(doc, idx, root) AS (SELECT doc, idx, idx FROM {links} WHERE antecedent = -1 UNION ALL SELECT l.doc, l.idx, rt.root FROM rt JOIN {links} l ON l.doc = rt.doc AND l.antecedent = rt.idx),
+        ids AS (SELECT doc, idx, root, dense_rank() OVER (ORDER BY doc, root) AS cluster_id FROM rt)"""
+
+
+BEST = "row_number() OVER (PARTITION BY doc, j ORDER BY round(score, 12) DESC, i) AS r"
+
+
+@query(
+    "em10_predict_all_modes",
+    f"""WITH RECURSIVE {mode_rounds(ROUNDS)}, late AS (SELECT * FROM moded WHERE mode = 'visual'), early AS (SELECT * FROM moded WHERE visual), {visual_scores(f't{ROUNDS}', 'late', 'early')},
+        lk AS MATERIALIZED (SELECT doc, j AS idx, i AS antecedent FROM (SELECT *, {BEST} FROM (SELECT doc, j, first AS i, w AS score FROM w{ROUNDS} WHERE mode <> 'visual' UNION ALL SELECT doc, j, i, score FROM vs)) WHERE r = 1),
+        {rooted('lk')} SELECT m.mode, ids.doc, ids.idx, lk.antecedent, ids.cluster_id FROM ids JOIN lk ON lk.doc = ids.doc AND lk.idx = ids.idx JOIN moded m ON m.doc = ids.doc AND m.idx = ids.idx""",
+)
+def _(t):
+    semantic = semantic_words(t)
+    mentions = cut_lineage(moded(t, semantic))
+    candidates = T.mode_candidates(mentions, semantic, T.cluster_mass(t.posteriors()), block=BLOCK)
+    model = T.fit(candidates, T.mode_vocab_sizes(t.mentions()), ROUNDS, positions=True)
+    links = cut_lineage(T.amodal_antecedents(model, mentions, t.posteriors()))
+    clusters = K.antecedents_to_clusters(links).select("doc", "idx", "cluster_id")
+    return links.join(clusters, ["doc", "idx"]).join(mentions.select("doc", "idx", "mode"), ["doc", "idx"]).select("mode", "doc", "idx", "antecedent", "cluster_id")
+
+
+JOINT = """mm AS (SELECT *, type < 2 AS visual FROM mentions),
+    mv AS MATERIALIZED (SELECT doc, idx, number, lemma, list_transform(emb, lambda x: x / greatest(1e-100, sqrt(list_dot_product(emb, emb)))) AS u FROM mention_vectors),
+    jm AS MATERIALIZED (SELECT b.doc, b.idx AS j, a.idx AS i, b.lemma AS tgt, a.lemma AS src FROM mv a JOIN mv b ON a.doc = b.doc AND a.number = b.number AND a.idx < b.idx WHERE abs(list_dot_product(a.u, b.u)) > 0.5),
+    mass AS (SELECT doc, k, sum(p) AS mass FROM posteriors GROUP BY ALL),
+    cand AS MATERIALIZED (SELECT 'text' AS mode, doc, j, tgt, src, count(*)::DOUBLE AS n, min(i) AS first FROM jm GROUP BY ALL UNION ALL SELECT 'text', doc, idx, lemma, '###NEW###', 1, -1 FROM mm
+      UNION ALL SELECT 'visual', m.doc, m.idx, m.lemma, 'k:' || s.k, s.mass, NULL FROM mm m JOIN mass s ON m.doc = s.doc WHERE m.visual),
+    t0 AS (SELECT DISTINCT mode, src, tgt, 1 / (SELECT count(DISTINCT lemma) FROM mentions) AS p FROM cand)"""
+
+
+def joint_rounds(rounds: int) -> str:
+    views = [JOINT]
+    for r in range(rounds + 1):
+        views += [
+            f"w{r} AS MATERIALIZED (SELECT c.*, t.p AS w, n * t.p / sum(n * t.p) OVER (PARTITION BY doc, j) AS post FROM cand c JOIN t{r} t ON c.mode = t.mode AND c.src = t.src AND c.tgt = t.tgt)",
+            f"t{r + 1} AS MATERIALIZED (SELECT mode, src, tgt, c / sum(c) OVER (PARTITION BY mode, src) AS p FROM (SELECT mode, src, tgt, sum(post) AS c FROM w{r} GROUP BY ALL))",
+        ]
+    return ", ".join(views)
+
+
+def joint_model(t, rounds):
+    vectors = t.mention_vectors().withColumn("visual", F.col("type") < 2)
+    semantic = cut_lineage(T.semantic_matches(vectors, block=BLOCK, keys=("doc", "number")))
+    mentions = t.mentions().withColumn("visual", F.col("type") < 2)
+    size = T.vocab_sizes(mentions)["text"]
+    return mentions, T.fit(T.joint_candidates(mentions, semantic, T.cluster_mass(t.posteriors())), {"text": size, "visual": size}, rounds)
+
+
+@query("em02_joint_posterior", f"WITH {joint_rounds(1)} SELECT mode, doc, j, src, round(n, 6) AS n, round(post, 6) AS post FROM w1")
+def _(t):
+    """Text and visual partners of a mention share one normaliser."""
+    return _rounded(joint_model(t, 1)[1].posterior().select("mode", "doc", "j", "src", "n", "post"))
+
+
+@query(
+    "em10_predict_joint",
+    f"""WITH RECURSIVE {joint_rounds(ROUNDS)}, fr AS (SELECT p.doc, p.fidx, w.lemma, sum(p.p * t.p) AS s FROM posteriors p JOIN (SELECT DISTINCT doc, lemma FROM mm WHERE visual) w ON p.doc = w.doc
+          JOIN t{ROUNDS} t ON t.mode = 'visual' AND t.src = 'k:' || p.k AND t.tgt = w.lemma GROUP BY ALL),
+        al AS (SELECT doc, j, CASE WHEN first = -1 THEN 1 ELSE 2 END AS kind, first AS partner, w AS score FROM w{ROUNDS} WHERE mode = 'text'
+          UNION ALL SELECT m.doc, m.idx, 0, fr.fidx, fr.s FROM mm m JOIN fr ON fr.doc = m.doc AND fr.lemma = m.lemma WHERE m.visual),
+        ch AS MATERIALIZED (SELECT doc, j AS idx, kind, partner FROM (SELECT *, row_number() OVER (PARTITION BY doc, j ORDER BY round(score, 12) DESC, kind, partner) AS r FROM al) WHERE r = 1),
+        lk AS MATERIALIZED (SELECT doc, idx, kind, CASE WHEN kind > 0 THEN partner WHEN f < idx THEN f ELSE -1 END AS antecedent FROM (SELECT *, min(idx) FILTER (kind = 0) OVER (PARTITION BY doc, kind, partner) AS f FROM ch)),
+        {rooted('lk')} SELECT ids.doc, ids.idx, lk.kind, ch.partner, lk.antecedent, ids.cluster_id FROM ids JOIN lk ON lk.doc = ids.doc AND lk.idx = ids.idx JOIN ch ON ch.doc = ids.doc AND ch.idx = ids.idx""",
+)
+def _(t):
+    mentions, model = joint_model(t, ROUNDS)
+    chosen = cut_lineage(T.joint_antecedents(model, mentions, t.posteriors(), block=BLOCK))
+    links = cut_lineage(T.joint_links(chosen))
+    clusters = K.antecedents_to_clusters(links).select("doc", "idx", "cluster_id")
+    return chosen.select("doc", "idx", "kind", "partner").join(links, ["doc", "idx"]).join(clusters, ["doc", "idx"])
+
+
 @query(
     "em14_visual_cluster_link",
     """WITH s AS (SELECT m.doc, m.idx, f.fidx, list_dot_product(m.emb, f.emb) AS s FROM mention_vectors m JOIN frames f ON m.doc = f.doc),

@@ -20,6 +20,7 @@ from corefold.functions import vectors as V
 from corefold.operators.order import blocks_of
 from corefold.operators.pairs import block_scores
 from corefold.operators.ranking import rank_antecedents
+from corefold.plans.clusters import visual_cluster_link
 from corefold.session import broadcast_if_small, cut_lineage
 
 EPS = 1e-100
@@ -90,15 +91,18 @@ def cluster_mass(posteriors: DataFrame) -> DataFrame:
     return posteriors.groupBy("doc", "k").agg(F.sum("p").alias("mass"))
 
 
-def semantic_matches(mentions: DataFrame, similarity: float = 0.5, block: int = 512) -> DataFrame:
-    """doc, j, tgt, src, dist, n, first: the earlier mentions of equal type, number
-    and visual flag whose vector's |cosine| exceeds ``similarity``, counted per lemma
-    and sentence distance. Blocks of mentions meet as matrix products; only the
+MATCH_KEYS = ("doc", "type", "number", "visual")
+
+
+def semantic_matches(mentions: DataFrame, similarity: float = 0.5, block: int = 512, keys: Sequence[str] = MATCH_KEYS) -> DataFrame:
+    """doc, j, tgt, src, dist, n, first: the earlier mentions of equal ``keys`` (type,
+    number and visual flag) whose vector's |cosine| exceeds ``similarity``, counted per
+    lemma and sentence distance. Blocks of mentions meet as matrix products; only the
     counts leave a block pair."""
     import numpy as np
     import pandas as pd
 
-    units = mentions.select("doc", "type", "number", "visual", "idx", "lemma", F.col("sent").cast("long").alias("sent"), V.unit(F.col("emb")).alias("_u"))
+    units = mentions.select(*keys, "idx", "lemma", F.col("sent").cast("long").alias("sent"), V.unit(F.col("emb")).alias("_u"))
 
     def match(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if l.empty or r.empty:
@@ -119,8 +123,7 @@ def semantic_matches(mentions: DataFrame, similarity: float = 0.5, block: int =
             "dist": r["sent"].to_numpy()[row] - sent[col], "n": n[row, col].astype(float), "first": first[row, col],
         })
 
-    keys = ["doc", "type", "number", "visual"]
-    parts = block_scores(units, units, keys, "idx", "idx", match, "doc long, j long, tgt string, src string, dist long, n double, first long", block)
+    parts = block_scores(units, units, list(keys), "idx", "idx", match, "doc long, j long, tgt string, src string, dist long, n double, first long", block)
     return parts.groupBy("doc", "j", "tgt", "src", "dist").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
 
 
@@ -250,9 +253,10 @@ def fit(
     candidates: DataFrame, sizes: dict[str, int], rounds: int = 10, positions: bool = False, learned: str | None = "discourse",
     trace: bool = False,
 ) -> Fitted:
-    """Rounds of E and M. The candidate table is fixed and written once; each round
-    is two joins and three grouped sums, and its small tables are checkpointed."""
-    candidates = cut_lineage(candidates)
+    """Rounds of E and M. The candidate table is fixed and written once, dealt by
+    mention, so that no round moves it while the tables can be sent to all tasks; each
+    round is two joins and three grouped sums, and its small tables are checkpointed."""
+    candidates = cut_lineage(candidates.repartition("doc", "j"))
     translation = cut_lineage(init_translation(candidates, sizes))
     position = cut_lineage(init_position(candidates)) if positions else None
     likelihoods: list[float] = []
@@ -318,6 +322,75 @@ def visual_antecedents(
     return rank_antecedents(every.withColumn("score", F.round("score", 12)))
 
 
+def amodal_antecedents(fitted: Fitted, mentions: DataFrame, posteriors: DataFrame) -> DataFrame:
+    """doc, idx, antecedent, score of every mention, each decoded in its own ``mode``:
+    by word and distance in the text modes, by what both see in the frames (among the
+    earlier visual mentions) in the visual one. Without frames a visual mention opens a
+    cluster. Scores that agree to twelve digits tie, ties go to the lowest index."""
+    scored = fitted.posterior().filter("mode <> 'visual'")
+    text = rank_antecedents(scored.select("doc", "j", F.col("first").alias("i"), F.round("w", 12).alias("score")))
+    seen = mentions.filter("mode = 'visual'")
+    found = visual_antecedents(seen, mentions.filter("visual"), posteriors, fitted.translation)
+    every = seen.select("doc", "idx").join(found, ["doc", "idx"], "left")
+    visual = every.select("doc", "idx", F.coalesce("antecedent", F.lit(-1).cast("long")).alias("antecedent"), F.coalesce("score", F.lit(1.0)).alias("score"))
+    return text.unionByName(visual)
+
+
+def joint_candidates(mentions: DataFrame, semantic_words: DataFrame, mass: DataFrame) -> DataFrame:
+    """Partners of two kinds under one normaliser: the words of the matching earlier
+    mentions and the null event (mode text), and, for visual mentions, the clusters by
+    their mass in the document's frames (mode visual)."""
+    text = semantic_words.select(F.lit("text").alias("mode"), "doc", "j", "tgt", "src", F.lit(0).cast("long").alias("dist"), "n", "first", F.lit(True).alias("open"))
+    return text.unionByName(null_candidates(mentions)).unionByName(visual_candidates(mentions.filter("visual"), mass))
+
+
+FRAME, NEW, EARLIER = 0, 1, 2  # kinds of partners, in the order of a tie
+
+
+def joint_antecedents(fitted: Fitted, mentions: DataFrame, posteriors: DataFrame, block: int = 512) -> DataFrame:
+    """doc, idx, kind, partner, score: the best of the document's frames (kind 0), a new
+    cluster (1, partner -1) and the matching earlier mentions (2). Words meet frames
+    as block products, and one frame per word leaves a block."""
+    import numpy as np
+    import pandas as pd
+
+    text = fitted.posterior().filter("mode = 'text'")
+    kind = F.when(F.col("src") == X.NEW_TEXT, NEW).otherwise(EARLIER)
+    read = text.select("doc", F.col("j").alias("idx"), kind.alias("kind"), F.col("first").alias("partner"), F.col("w").alias("score"))
+    table = fitted.translation.filter("mode = 'visual'").select(F.substring("src", 3, 10).cast("int").alias("k"), F.col("tgt").alias("lemma"), "p")
+    emission = table.groupBy("lemma").agg(F.collect_list(F.struct("k", "p")).alias("v"))  # one entry per cluster
+    words = mentions.filter("visual").groupBy("doc", "lemma").agg(F.min("idx").alias("word")).join(emission, "lemma").select("doc", "word", "lemma", "v")
+    frames = posteriors.groupBy("doc", "fidx").agg(F.collect_list(F.struct("k", "p")).alias("v"))
+
+    def dense(column: pd.Series, width: int) -> np.ndarray:
+        out = np.zeros((len(column), width))
+        for i, entries in enumerate(column):
+            for e in entries:
+                out[i, e["k"]] = e["p"]
+        return out
+
+    def best(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if l.empty or r.empty:
+            return pd.DataFrame()
+        r = r.sort_values("fidx")
+        width = 1 + max(e["k"] for column in (l["v"], r["v"]) for entries in column for e in entries)
+        scores = np.round(dense(l["v"], width) @ dense(r["v"], width).T, 12)
+        return pd.DataFrame({"doc": l["doc"], "word": l["word"], "lemma": l["lemma"], "fidx": r["fidx"].to_numpy()[scores.argmax(axis=1)], "s": scores.max(axis=1)})
+
+    parts = block_scores(words, frames, ["doc"], "word", "fidx", best, "doc long, word long, lemma string, fidx long, s double", block)
+    top = parts.groupBy("doc", "lemma").agg(F.max(F.struct("s", (-F.col("fidx")).alias("_f"))).alias("_b"))
+    seen = mentions.filter("visual").join(top, ["doc", "lemma"]).select("doc", "idx", F.lit(FRAME).alias("kind"), (-F.col("_b._f")).alias("partner"), F.col("_b.s").alias("score"))
+    order = F.struct(F.round("score", 12).alias("score"), (-F.col("kind")).alias("_k"), (-F.col("partner")).alias("_p"))
+    chosen = read.unionByName(seen).groupBy("doc", "idx").agg(F.max(order).alias("_b"))
+    return chosen.select("doc", "idx", (-F.col("_b._k")).cast("int").alias("kind"), (-F.col("_b._p")).alias("partner"), F.col("_b.score").alias("score"))
+
+
+def joint_links(chosen: DataFrame) -> DataFrame:
+    """doc, idx, antecedent: mentions with the same best frame belong together, the
+    later ones linked to the first."""
+    return visual_cluster_link(chosen.select("doc", "idx", "partner", (F.col("kind") == FRAME).alias("is_action")))
+
+
 def similarity_candidates(mentions: DataFrame, keys: Sequence[str], block: int = 512) -> DataFrame:
     """Candidates of the exact-or-similar model. A mention with an earlier equal
     text is exact: those count 1 each. The others weigh each compatible earlier
