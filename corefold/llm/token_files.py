@@ -52,14 +52,22 @@ class Encoder:
         self.words: dict[str, bytes] = {}
 
     def _each(self, parts: list[str]) -> dict[str, bytes]:
-        got = self.tokenizer.encode_batch(parts, add_special_tokens=False) if parts else []
-        return {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(parts, got)}
+        """Stretches of any kind, many in one text; a token's offset tells whose it is."""
+        out: dict[str, bytes] = {}
+        for i in range(0, len(parts), 1000):
+            some = parts[i : i + 1000]
+            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ends = np.cumsum([len(p) + 1 for p in some])
+            owner = np.searchsorted(ends, [a for a, _ in got.offsets], side="right")
+            raw, cuts = np.array(got.ids, "<u4").tobytes(), [0, *(np.searchsorted(owner, np.arange(len(some)), side="right") * 4).tolist()]
+            out.update(zip(some, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+        return out
 
     def _words(self, fresh: list[str]) -> dict[str, bytes]:
         out: dict[str, bytes] = {}
         for i in range(0, len(fresh), 1000):
             some = fresh[i : i + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) != len(some) or (len(ids) and ends[-1] != len(ids)):
                 out |= self._each(some)
