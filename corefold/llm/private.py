@@ -21,14 +21,18 @@ by one. Offsets are code points, ends exclusive.
 
 from __future__ import annotations
 
+import collections
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corefold.llm import common
+from corefold.llm.vectors import arrow_map
 
 SUPPORT = 3
 GENERALISE, REMOVE = 0.85, 0.95
@@ -130,23 +134,50 @@ def _low(column: str) -> F.Column:
     return F.col(column).bitwiseAND(F.lit(0x7FFFFFFF))
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """term, n_term: documents (copies once) with each of the given terms. A hashed
-    filter of fixed size drops other words before the shuffle."""
-    shared = _filter(terms).shared
+FLUSH = 1 << 18  # terms that a task counts before it gives them away
 
-    def run(b: dict[str, list]) -> dict[str, list]:
-        bits, copies, words = shared.value, [], []
-        for copy, t in zip(b["copy"], b["text"]):
-            own = list({w.lower() for w in set(_WORD.findall(t))})
-            kept = _passing(own, bits) if own else ()
-            copies += [copy] * len(kept)
-            words += [own[i] for i in kept]
-        return {"copy": copies, "term": words}
 
-    rows = docs.filter(F.col(text).isNotNull()).select(F.xxhash64(text).alias("copy"), F.col(text).alias("text"))
-    got = common.scan(rows, run, "copy bigint, term string").join(terms, "term", "left_semi")
-    return got.distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+def term_counts(docs: DataFrame, seen: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
+    """term, n_term: documents (copies once) with each of the given terms. A hashed
+    filter of fixed size drops other words. Texts that stand once are counted inside
+    the task; only those of which a second hashed filter says that they may have copies
+    (``seen``: copy) are told apart by rows of (copy, term)."""
+    shared = _filter(terms).shared
+    copied = seen.groupBy("copy").agg(F.count("*").alias("n")).filter("n > 1").select(_low("copy").alias("h"))
+    twice = common.HashFilter(copied.distinct()).shared
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        counts: collections.Counter = collections.Counter()
+        for batch in batches:
+            for part in common.steps(batch):
+                copies, words = [], []
+                own_low = np.asarray(part.column(1), np.int64)
+                several = common.HashFilter.test(twice.value, own_low)
+                done: set[int] = set()
+                for copy, again, t in zip(part.column(0).to_pylist(), several.tolist(), part.column(2).to_pylist()):
+                    if again and copy in done:
+                        continue
+                    own = list({w.lower() for w in set(_WORD.findall(t))})
+                    kept = [own[i] for i in _passing(own, shared.value)] if own else []
+                    if again:
+                        done.add(copy)
+                        copies += [copy] * len(kept)
+                        words += kept
+                    else:
+                        counts.update(kept)
+                if copies:
+                    yield {"copy": copies, "term": words, "n": [0] * len(copies)}
+                if len(counts) > FLUSH:
+                    yield {"copy": [None] * len(counts), "term": list(counts), "n": list(counts.values())}
+                    counts.clear()
+        if counts:
+            yield {"copy": [None] * len(counts), "term": list(counts), "n": list(counts.values())}
+
+    rows = docs.filter(F.col(text).isNotNull()).select(F.xxhash64(text).alias("copy"), F.col(text).alias("text")).select("copy", _low("copy").alias("low"), "text")
+    got = arrow_map(rows, run, "copy bigint, term string, n bigint")
+    each = got.groupBy("copy", "term").agg(F.sum("n").alias("n"))  # n is 0 for a copy, however often it stands
+    counted = each.groupBy("term").agg(F.sum(F.when(F.col("copy").isNull(), F.col("n")).otherwise(1)).alias("n_term"))
+    return counted.join(terms, "term", "left_semi")
 
 
 def _terms_beside(docs: DataFrame, copies: common.HashFilter, terms: common.HashFilter | None = None, text: str = "text") -> DataFrame:
@@ -180,7 +211,7 @@ def disclosing(docs: DataFrame, seen: DataFrame, text: str = "text") -> DataFram
     most = F.pow(F.col("n_value"), F.lit(GENERALISE)) * total ** (1 - GENERALISE) * (1 + 1e-9)
     several = _terms_beside(docs, copies, text=text).groupBy("term").agg(F.count("*").alias("n")).filter(F.col("n") >= SUPPORT).select("term")
     several = common.written(several, "terms-beside")
-    n_term = term_counts(docs, several, text).crossJoin(F.broadcast(values.agg(F.max(most).alias("most")))).filter(F.col("n_term") <= F.col("most")).drop("most")
+    n_term = term_counts(docs, seen, several, text).crossJoin(F.broadcast(values.agg(F.max(most).alias("most")))).filter(F.col("n_term") <= F.col("most")).drop("most")
     n_term = common.written(n_term, "term-counts")
     beside = _terms_beside(docs, copies, _filter(n_term), text).join(n_term, "term").distinct()
     both = values.join(beside, "copy").filter(F.col("n_term") <= most)

@@ -412,6 +412,18 @@ def test_windows_of_long_candidates_are_counted_in_stretches(spark, monkeypatch)
         assert abs(got[i] - best) < 1e-9
 
 
+def test_term_counts_take_copies_once(spark, monkeypatch):
+    draw = random.Random(9)
+    texts = [" ".join(draw.choice(["alpha", "beta", "gamma", "delta", "zeta"]) for _ in range(draw.randrange(1, 5))) for _ in range(60)] + ["alpha beta"] * 40 + [None, ""]
+    docs = table(spark, texts).repartition(7)
+    seen = private.found(docs)
+    terms = spark.createDataFrame([(w,) for w in ("alpha", "beta", "zeta", "never")], "term string")
+    monkeypatch.setattr(private, "FLUSH", 1)
+    got = {r["term"]: r["n_term"] for r in private.term_counts(docs, seen, terms).collect()}
+    plain = {w: sum(w in t.split() for t in {t for t in texts if t}) for w in ("alpha", "beta", "zeta")}
+    assert got == plain
+
+
 # ---- pages
 
 PAGE = (
