@@ -125,7 +125,8 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """All columns plus n_tokens and ids (little-endian 32-bit)."""
+    """All columns plus n_tokens and ids (little-endian 32-bit), which take the place of
+    the caller's columns of these names."""
     names = [c for c in docs.columns if c not in ("n_tokens", "ids")]
 
     def run(b: dict[str, list]) -> dict[str, list]:
@@ -133,7 +134,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
         return {**{c: b[c] for c in names}, "n_tokens": [len(x) // 4 for x in ids], "ids": ids}
 
     rows = docs.select(*[F.col(f"`{c}`") for c in names])
-    return common.scan(rows, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", n_tokens bigint, ids binary")
+    return common.scan(rows, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", n_tokens bigint, ids binary", common.FEW_CHARS)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -145,4 +146,4 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         return {**{c: b[c] for c in names}, "decoded": [own.decode(x) for x in b["ids"]]}
 
     rows = encoded.select(*[F.col(f"`{c}`") for c in names])
-    return common.scan(rows, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", decoded binary")
+    return common.scan(rows, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", decoded binary", common.FEW_CHARS)

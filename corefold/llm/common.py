@@ -14,10 +14,12 @@ from corefold.session import fresh_path
 
 BATCH_ROWS = 1024
 BATCH_CHARS = 4_000_000
+#: For steps whose arrays are many times the size of the text.
+FEW_CHARS = 1 << 19
 
 
-def scan(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list] | pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``mapInArrow`` in steps of at most BATCH_ROWS rows, or about BATCH_CHARS
+def scan(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list] | pa.RecordBatch | None], schema: str, chars: int = BATCH_CHARS) -> DataFrame:
+    """``mapInArrow`` in steps of at most BATCH_ROWS rows, or about ``chars``
     characters of text. ``fn`` gets and gives columns as lists."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -27,7 +29,7 @@ def scan(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list] | pa.Rec
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in steps(batch):
+            for part in steps(batch, chars):
                 out = fn({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
@@ -35,7 +37,7 @@ def scan(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list] | pa.Rec
     return df.mapInArrow(run, kind)
 
 
-def steps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def steps(batch: pa.RecordBatch, chars: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
     """Slices of a batch by rows and by bytes of its widest columns."""
     start, used = 0, 0
     sizes = np.zeros(batch.num_rows, np.int64)
@@ -43,7 +45,7 @@ def steps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
             sizes += np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
     for i, size in enumerate(sizes.tolist()):
-        if i > start and (i - start >= BATCH_ROWS or used + size > BATCH_CHARS):
+        if i > start and (i - start >= BATCH_ROWS or used + size > chars):
             yield batch.slice(start, i - start)
             start, used = i, 0
         used += size

@@ -129,7 +129,8 @@ def score(model: Model, texts: list[str]) -> np.ndarray:
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` plus lang_pred and score."""
+    """All columns of ``docs`` plus lang_pred and score, which take the place of the
+    caller's columns of these names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").rlike(r"\p{L}").alias("__letters"))
@@ -145,7 +146,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         return {**{c: b[c] for c in names}, "lang_pred": pred, "score": best}
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*[F.col(f"`{c}`") for c in names]).schema) + ", lang_pred string, score double"
-    return common.scan(rows, run, schema)
+    return common.scan(rows, run, schema, common.FEW_CHARS)
 
 
 def held_out(key: str = "doc_id") -> F.Column:

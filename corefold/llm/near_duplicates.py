@@ -130,7 +130,7 @@ def signatures(docs: DataFrame, words: int, key: str = "doc_id", text: str = "te
         marks = [(int(np.add.reduce(_mix(s)).view(np.int64)), int(np.add.reduce(_mix(s + np.uint64(77))).view(np.int64))) if len(s) else (0, 0) for s in sets]
         return {"doc_id": b["doc_id"], "n": [len(s) for s in sets], "f1": [m[0] for m in marks], "f2": [m[1] for m in marks], "bands": bands}
 
-    return common.written(common.scan(rows, run, "doc_id bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>"), "signatures")
+    return common.written(common.scan(rows, run, "doc_id bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>", common.FEW_CHARS), "signatures")
 
 
 #: Keys lie below; rows without a key get a number above, drawn from their set, so
@@ -159,7 +159,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int, key: str, text: str) ->
         bits = [np.packbits(m, bitorder="little").view(np.int64).tolist() for m in maps]
         return {"doc_id": [b["doc_id"][i] for i in keep], "f1": [m[0] for m in marks], "f2": [m[1] for m in marks], "grams": [s.tobytes() for s in sets], "bits": bits, "over": over}
 
-    got = common.scan(rows, run, "doc_id bigint, f1 bigint, f2 bigint, grams binary, bits array<bigint>, over bigint").select(_node().alias("node"), "grams", "bits", "over")
+    got = common.scan(rows, run, "doc_id bigint, f1 bigint, f2 bigint, grams binary, bits array<bigint>, over bigint", common.FEW_CHARS).select(_node().alias("node"), "grams", "bits", "over")
     return common.written(got.join(nodes, "node", "left_semi").dropDuplicates(), "sets")
 
 

@@ -19,8 +19,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Rejects what is in no language: null texts and texts without a letter. The
     predicted language replaces ``lang``. The model learns from rows not held out."""
     model = language.train(docs.filter(~language.held_out()))
-    found = language.predict(docs, model).filter(F.col("lang_pred") != "und")
-    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    aside = {c: f"__own_{c}" for c in ("lang_pred", "score") if c in docs.columns}
+    found = language.predict(docs.withColumnsRenamed(aside), model).filter(F.col("lang_pred") != "und")
+    found = found.withColumn("lang", F.col("lang_pred")).drop("lang_pred", "score")
+    return found.withColumnsRenamed({own: c for c, own in aside.items()}).select(*docs.columns)
 
 
 def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +53,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds n_tokens, ids and whether the ids decode to the text's bytes."""
-    encoded = byte_bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN)
+    """Adds n_tokens, ids and round_trip, whether the ids decode to the text's bytes;
+    where the caller has a column of that name, the added one is called bpe_... ."""
+    made = ("n_tokens", "ids", "decoded", "round_trip")
+    aside = {c: f"__own_{c}" for c in made if c in docs.columns}
+    encoded = byte_bpe.encode(docs.withColumnsRenamed(aside), VOCABULARY, public_tokenizers.PATTERN)
     back = byte_bpe.decode(encoded, VOCABULARY, public_tokenizers.PATTERN)
-    return back.withColumn("round_trip", F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).drop("decoded")
+    whole = back.withColumn("round_trip", F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).drop("decoded")
+    return whole.withColumnsRenamed({c: f"bpe_{c}" for c in aside}).withColumnsRenamed({own: c for c, own in aside.items()})
 
 
 STAGES = [

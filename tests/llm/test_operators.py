@@ -522,3 +522,21 @@ def test_pipeline_tells_rows_without_or_with_a_repeated_key_apart(spark, tmp_pat
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS).coalesce(2)
     got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, [(None, b), (None, c), (5, d), (6, e), (None, None)]))
+
+
+def test_pipeline_stages_keep_the_callers_columns(spark):
+    import corpus_pipeline as P
+
+    docs = table(spark, ["plain words here", None, "12", "more plain words", ""])
+    names = ("score", "lang_pred", "ids", "n_tokens", "decoded", "round_trip", "k1", "n")
+    for name in names:
+        docs = docs.withColumn(name, F.concat(F.lit("mine "), F.col("doc_id").cast("string")))
+    found = P.identify_language(spark, docs, "")
+    assert found.columns == docs.columns
+    encoded = P.encode(spark, docs, "")
+    assert encoded.columns[: len(docs.columns)] == docs.columns
+    for rows in (found, encoded):
+        assert all(r[name] == f"mine {r['doc_id']}" for r in rows.collect() for name in names)
+    assert {r["doc_id"] for r in found.collect()} == {0, 3}
+    assert all(r["bpe_round_trip"] and 4 * r["bpe_n_tokens"] == len(r["bpe_ids"]) for r in encoded.collect())
+    assert P.identify_language(spark, docs.limit(0), "").count() == 0
