@@ -312,7 +312,7 @@ def _(t):
 def _(t):
     orders = t.read("orders").select("o_orderkey")
     total = orders.count()
-    ranked = order.number_rows(orders, [], ["o_orderkey"], order.blocks_of(F.col("o_orderkey"), 4096), "_n")
+    ranked = order.number_by_range(orders, ["o_orderkey"], "_n")
     return ranked.select("o_orderkey", F.when(F.col("_n") < int(0.8 * total), "train").otherwise("test").alias("split"))
 
 
@@ -653,7 +653,7 @@ def _(t):
 def _(t):
     m = t.mentions().select("doc", "idx")
     pairs = m.join(m.select("doc", (F.col("idx") - 1).alias("idx")), ["doc", "idx"]).select("doc", F.col("idx").alias("i"), (F.col("idx") + 1).alias("j"))
-    f = M.attention_pair_features(pairs, M.attention_rows(t.vectors(), t.frames()))
+    f = M.attention_pair_features(pairs, t.vectors(), t.frames())
     return f.select("doc", "i", "j", *[six_digits(c).alias(c) for c in ("first", "second", "product", "joint")])
 
 

@@ -13,7 +13,7 @@ SPAN_PUNCTUATION = [",", ".", "?", "'", "\"", "!"]
 PRONOUN_TAGS = ["PRP", "PRP$"]
 PROPER_TAGS = ["NNP", "NNPS"]
 PLURAL_TAGS = ["NNS", "NNPS"]
-PLURAL_PRONOUNS = ["they", "them", "their", "we", "us", "our", "these", "those"]
+PLURAL_PRONOUNS = ["they", "them", "those", "these", "we", "us", "their", "our"]
 ONE_WORDS = ["one", "1"]
 WORD_CLASSES = ["NOUN", "VERB", "ADJ"]
 NULL_TEXT = "###NULL###"

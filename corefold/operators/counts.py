@@ -16,9 +16,7 @@ def build_vocab(words: DataFrame, specials: Sequence[str] = (X.NULL_TEXT,)) -> D
     """(word, doc, idx) -> word, n, id: ids in order of first sighting after the
     special words, which take the first ids with count 0."""
     seen = words.groupBy("word").agg(F.count("*").alias("n"), F.min(F.struct("doc", "idx")).alias("_first"))
-    numbered = order.number_rows(
-        seen, [], ["_first.doc", "_first.idx", "word"], order.document_blocks(seen, "_first.doc"), "id", start=len(specials)
-    ).select("word", "n", "id")
+    numbered = order.number_by_range(seen, ["_first.doc", "_first.idx", "word"], "id", start=len(specials)).select("word", "n", "id")
     spark = words.sparkSession
     head = spark.createDataFrame([(w, 0, i) for i, w in enumerate(specials)], "word string, n long, id long")
     return head.unionByName(numbered)
@@ -27,7 +25,7 @@ def build_vocab(words: DataFrame, specials: Sequence[str] = (X.NULL_TEXT,)) -> D
 def build_role_vocab(arguments: DataFrame) -> DataFrame:
     """Distinct event_type.role sorted by event type, then role; NULL text is 0."""
     roles = arguments.select("e_type", "role").distinct()
-    numbered = order.number_rows(roles, [], ["e_type", "role"], F.substring("e_type", 1, 2), "id", start=1)
+    numbered = order.number_by_range(roles, ["e_type", "role"], "id", start=1)
     named = numbered.select(F.concat_ws(".", "e_type", "role").alias("name"), "id")
     null = arguments.sparkSession.createDataFrame([(X.NULL_TEXT, 0)], "name string, id long")
     return null.unionByName(named)
@@ -49,9 +47,7 @@ def build_feature_vocab(mentions: DataFrame, features: Sequence[str]) -> DataFra
     ).select("doc", "idx", "_f.*")
     seen = melted.groupBy("feature", "value").agg(F.min(F.struct("doc", "idx")).alias("_first"))
     numeric = F.col("value").rlike("^[0-9]+$")
-    words = order.number_rows(
-        seen.filter(~numeric), ["feature"], ["_first.doc", "_first.idx", "value"], order.document_blocks(seen, "_first.doc"), "id", start=1
-    ).select("feature", "value", "id")
+    words = order.number_by_range(seen.filter(~numeric), ["_first.doc", "_first.idx", "value"], "id", start=1, keys=["feature"]).select("feature", "value", "id")
     return words.unionByName(seen.filter(numeric).select("feature", "value", F.col("value").cast("long").alias("id")))
 
 
@@ -68,7 +64,7 @@ def assign_cluster_ids(mentions: DataFrame, singles_get_ids: bool = True) -> Dat
     )
     wanted = keyed if singles_get_ids else keyed.filter(in_cluster)
     heads = wanted.groupBy("doc", "_key").agg(F.min("idx").alias("_first"))
-    numbered = order.number_rows(heads, [], ["doc", "_first"], order.document_blocks(heads), "cluster_id", start=1)
+    numbered = order.number_by_range(heads, ["doc", "_first"], "cluster_id", start=1)
     return (
         keyed.join(numbered.drop("_first"), ["doc", "_key"], "left")
         .withColumn("cluster_id", F.coalesce("cluster_id", F.lit(0))).drop("_key")

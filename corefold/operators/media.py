@@ -15,6 +15,7 @@ from corefold.functions import text as X
 from corefold.functions import vectors as V
 from corefold.operators import order
 from corefold.operators.pairs import BLOCK, block_scores
+from corefold.session import cut_lineage
 
 
 def vector_mean(rows: DataFrame, keys: Sequence[str], vector: str = "emb", weight: str | None = None, out: str = "emb") -> DataFrame:
@@ -236,10 +237,8 @@ def matchmap_similarity(tokens: DataFrame, regions: DataFrame, how: str) -> Data
 
 
 def attention_rows(mentions: DataFrame, actions: DataFrame) -> DataFrame:
-    """Softmax over the actions of a document of each mention's dot products.
-
-    Blocks give the products; the normaliser is aggregated per mention and joined
-    back, so a document with many actions is not one group."""
+    """Softmax over the actions of a document of each mention's dot products, a row
+    per mention and action: where the probabilities themselves are asked for."""
 
     def products(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if l.empty or r.empty:
@@ -254,21 +253,56 @@ def attention_rows(mentions: DataFrame, actions: DataFrame) -> DataFrame:
 
     sides = mentions.select("doc", "idx", "emb"), actions.select("doc", "fidx", "emb")
     scored = block_scores(*sides, ["doc"], "idx", "fidx", products, "doc long, idx long, fidx long, s double")
-    peaks = scored.groupBy("doc", "idx").agg(F.max("s").alias("_peak"))
-    shifted = scored.join(peaks, ["doc", "idx"]).withColumn("_e", F.exp(F.col("s") - F.col("_peak")))
-    totals = shifted.groupBy("doc", "idx").agg(F.sum("_e").alias("_t"))
-    return shifted.join(totals, ["doc", "idx"]).select("doc", "idx", "fidx", (F.col("_e") / F.col("_t")).alias("p"))
+    mass = attention_mass(mentions, actions).select("doc", "idx", "log_total")
+    return scored.join(mass, ["doc", "idx"]).select("doc", "idx", "fidx", F.exp(F.col("s") - F.col("log_total")).alias("p"))
 
 
-def attention_pair_features(pairs: DataFrame, attention: DataFrame) -> DataFrame:
-    """Best attention of each side, their product, and the best joint attention."""
-    a = attention.select("doc", F.col("idx").alias("i"), "fidx", F.col("p").alias("_a"))
-    b = attention.select("doc", F.col("idx").alias("j"), "fidx", F.col("p").alias("_b"))
-    return (
-        pairs.select("doc", "i", "j").join(a, ["doc", "i"]).join(b, ["doc", "j", "fidx"])
-        .groupBy("doc", "i", "j")
-        .agg(F.max("_a").alias("first"), F.max("_b").alias("second"), F.max(F.col("_a") * F.col("_b")).alias("joint"))
-        .withColumn("product", F.col("first") * F.col("second"))
+def attention_mass(mentions: DataFrame, actions: DataFrame, block: int = BLOCK) -> DataFrame:
+    """doc, idx, peak, log_total: the largest dot product of each mention with the
+    actions of its document and the log of the sum of their exponentials. A block of
+    actions gives one (maximum, sum scaled by it) per mention; these are merged."""
+
+    def partial(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if l.empty or r.empty:
+            return pd.DataFrame()
+        dots = _matrix(l["emb"]) @ _matrix(r["emb"]).T
+        peak = dots.max(axis=1)
+        return pd.DataFrame({"doc": l["doc"].iloc[0], "idx": l["idx"].to_numpy(), "m": peak, "z": np.exp(dots - peak[:, None]).sum(axis=1)})
+
+    sides = mentions.select("doc", "idx", "emb"), actions.select("doc", "fidx", "emb")
+    parts = cut_lineage(block_scores(*sides, ["doc"], "idx", "fidx", partial, "doc long, idx long, m double, z double", block))
+    peaks = parts.groupBy("doc", "idx").agg(F.max("m").alias("peak"))
+    scaled = parts.join(peaks, ["doc", "idx"]).groupBy("doc", "idx", "peak").agg(F.sum(F.col("z") * F.exp(F.col("m") - F.col("peak"))).alias("_z"))
+    return scaled.select("doc", "idx", "peak", (F.col("peak") + F.ln("_z")).alias("log_total"))
+
+
+def attention_pair_features(pairs: DataFrame, mentions: DataFrame, actions: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(doc, i, j) -> best attention of each side, their product, and the best joint
+    attention; documents without actions give no row.
+
+    The product of two attentions on an action is largest where the sum of the two
+    vectors has its largest dot product, so one number per pair and block of actions
+    leaves a task, and no table of mentions by actions exists."""
+    vectors = mentions.select("doc", "idx", "emb")
+    a = vectors.select("doc", F.col("idx").alias("i"), F.col("emb").alias("_a"))
+    b = vectors.select("doc", F.col("idx").alias("j"), F.col("emb").alias("_b"))
+    both = pairs.select("doc", "i", "j").join(a, ["doc", "i"]).join(b, ["doc", "j"])
+    both = both.select("doc", "i", "j", F.zip_with("_a", "_b", lambda x, y: x + y).alias("emb"))
+
+    def best(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if l.empty or r.empty:
+            return pd.DataFrame()
+        top = (_matrix(l["emb"]) @ _matrix(r["emb"]).T).max(axis=1)
+        return pd.DataFrame({"doc": l["doc"].iloc[0], "i": l["i"].to_numpy(), "j": l["j"].to_numpy(), "s": top})
+
+    parts = block_scores(both, actions.select("doc", "fidx", "emb"), ["doc"], "i", "fidx", best, "doc long, i long, j long, s double", block)
+    joint = parts.groupBy("doc", "i", "j").agg(F.max("s").alias("_s"))
+    mass = cut_lineage(attention_mass(mentions, actions, block))
+    first = mass.select("doc", F.col("idx").alias("i"), F.col("peak").alias("_p1"), F.col("log_total").alias("_t1"))
+    second = mass.select("doc", F.col("idx").alias("j"), F.col("peak").alias("_p2"), F.col("log_total").alias("_t2"))
+    return joint.join(first, ["doc", "i"]).join(second, ["doc", "j"]).select(
+        "doc", "i", "j", F.exp(F.col("_p1") - F.col("_t1")).alias("first"), F.exp(F.col("_p2") - F.col("_t2")).alias("second"),
+        F.exp(F.col("_p1") - F.col("_t1") + F.col("_p2") - F.col("_t2")).alias("product"), F.exp(F.col("_s") - F.col("_t1") - F.col("_t2")).alias("joint"),
     )
 
 

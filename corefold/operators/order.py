@@ -29,16 +29,16 @@ def _in_ranges(df: DataFrame, order: Sequence) -> DataFrame:
     )
 
 
-def _with_bases(placed: DataFrame, amount: Column) -> DataFrame:
-    """Adds the total of ``amount`` over the earlier partitions. One row per
+def _with_bases(placed: DataFrame, amounts: dict[str, Column]) -> DataFrame:
+    """Adds, by name, the total of each amount over the earlier partitions. One row per
     partition passes through the driver, however long the table is."""
-    base, rows = None, []
-    for part, total in sorted(tuple(r) for r in placed.groupBy("_order_part").agg(amount.alias("_total")).collect()):
-        rows.append((part, base if base is not None else total - total))
-        base = rows[-1][1] + total
-    kind = placed.select(amount.alias("_total")).schema["_total"].dataType.simpleString()
-    bases = placed.sparkSession.createDataFrame(rows, f"_order_part long, _order_base {kind}")
-    return placed.join(F.broadcast(bases), "_order_part")
+    sums = placed.groupBy("_order_part").agg(*[a.alias(name) for name, a in amounts.items()])
+    rows, before = [], None
+    for part, *totals in sorted((tuple(r) for r in sums.collect()), key=lambda r: r[0]):
+        before = before or [t - t for t in totals]
+        rows.append((part, *before))
+        before = [b + t for b, t in zip(before, totals)]
+    return placed.join(F.broadcast(placed.sparkSession.createDataFrame(rows, sums.schema)), "_order_part")
 
 
 def number_by_range(df: DataFrame, order: Sequence, out: str, start: int = 0, keys: Sequence[str] = ()) -> DataFrame:
@@ -50,7 +50,7 @@ def number_by_range(df: DataFrame, order: Sequence, out: str, start: int = 0, ke
     numbers in any order."""
     keys = list(keys)
     placed = _in_ranges(df, [*keys, *order])
-    numbered = _with_bases(placed, F.count(F.lit(1))).withColumn(out, F.col("_order_at") + F.col("_order_base") + start)
+    numbered = _with_bases(placed, {"_order_base": F.count(F.lit(1))}).withColumn(out, F.col("_order_at") + F.col("_order_base") + start)
     numbered = numbered.drop("_order_part", "_order_at", "_order_base")
     if not keys:
         return numbered
@@ -62,6 +62,16 @@ def number_by_range(df: DataFrame, order: Sequence, out: str, start: int = 0, ke
     return joined.drop("_order_first", *[f"_order_{i}" for i in range(len(keys))])
 
 
+def running_totals_by_range(df: DataFrame, order: Sequence, values: dict[str, Column]) -> DataFrame:
+    """Adds, by name, the sums of ``values`` (never null) up to each row in ``order``
+    over the whole table. A window never reaches beyond one range partition."""
+    placed = _in_ranges(df, order)
+    based = _with_bases(placed, {f"_order_{name}": F.sum(value) for name, value in values.items()})
+    inner = Window.partitionBy("_order_part").orderBy("_order_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = based.withColumns({name: F.sum(value).over(inner) + F.col(f"_order_{name}") for name, value in values.items()})
+    return totals.drop("_order_part", "_order_at", *[f"_order_{name}" for name in values])
+
+
 def _earlier_blocks(df: DataFrame, keys: Sequence[str], amount: Column) -> DataFrame:
     window = (
         Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
@@ -139,15 +149,3 @@ def running_max(
 
 def blocks_of(column: Column, width: int) -> Column:
     return F.floor(column / F.lit(width))
-
-
-DOCUMENT_BLOCK = 4096  # documents per numbering block
-PREFIX_BLOCK = 3  # leading characters of a text key that form its block
-
-
-def document_blocks(df: DataFrame, column: str = "doc") -> Column:
-    """Blocks of a key in its order: ranges of a number, prefixes of a text."""
-    kind = df.select(column).dtypes[0][1]
-    if kind == "string":
-        return F.substring(F.col(column), 1, PREFIX_BLOCK)
-    return blocks_of(F.col(column), DOCUMENT_BLOCK)

@@ -29,7 +29,7 @@ def antecedents_to_clusters(links: DataFrame) -> DataFrame:
     """doc, idx, root, cluster_id: ids from 1 over all documents in (doc, root) order."""
     rooted = roots_of_links(links)
     heads = rooted.filter("root = idx").select("doc", "root")
-    ids = order.number_rows(heads, [], ["doc", "root"], order.document_blocks(heads), "cluster_id", start=1)
+    ids = order.number_by_range(heads, ["doc", "root"], "cluster_id", start=1)
     return rooted.join(ids, ["doc", "root"])
 
 

@@ -203,15 +203,12 @@ def average_scores(scores: DataFrame) -> DataFrame:
     return scores.agg(*[F.avg(c).alias(c) for c in ("precision", "recall", "f1")])
 
 
-def pr_curve(rows: DataFrame, buckets: int = 1024) -> DataFrame:
+def pr_curve(rows: DataFrame) -> DataFrame:
     """(score, label) -> one row per distinct score, from the highest down, with
     precision, recall and f1 of predicting that score and above. Rows are counted
     per score first."""
     points = rows.groupBy("score").agg(F.count("*").alias("_n"), F.sum((F.col("label") == 1).cast("long")).alias("_y"))
-    falling = [F.desc("score")]
-    block = -F.floor(F.col("score") * buckets)
-    seen = order.running_total(points, [], falling, block, F.col("_n"), "n", inclusive=True)
-    seen = order.running_total(seen, [], falling, block, F.col("_y"), "tp", inclusive=True)
+    seen = order.running_totals_by_range(points, [F.desc("score")], {"n": F.col("_n"), "tp": F.col("_y")})
     positives = points.agg(F.coalesce(F.sum("_y"), F.lit(0)).alias("v")).first()["v"]
     return (
         seen.withColumn("precision", F.col("tp") / F.col("n"))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corefold.functions import vectors as V
+from corefold.operators import media as M
 from corefold.operators import pairs as P
 from corefold.operators import ranking as R
 from corefold.operators import spans as S
@@ -191,3 +192,51 @@ def test_text_document_keys(spark):
     links = spark.createDataFrame([("b_1", 0, -1), ("b_1", 1, 0), ("a_2", 0, -1), ("a_2", 1, -1)], "doc string, idx long, antecedent long")
     got = {(r["doc"], r["idx"]): r["cluster_id"] for r in K.antecedents_to_clusters(links).collect()}
     assert got == {("a_2", 0): 1, ("a_2", 1): 2, ("b_1", 0): 3, ("b_1", 1): 3}
+
+
+def test_attention_from_merged_blocks(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(4)
+    m, f = draw.normal(0, 9, (11, 5)), draw.normal(0, 9, (17, 5))
+    mentions = spark.createDataFrame([(1, i, v.tolist()) for i, v in enumerate(m)] + [(2, 0, [1.0] * 5)], "doc long, idx long, emb array<double>")
+    frames = spark.createDataFrame([(1, i, v.tolist()) for i, v in enumerate(f)], "doc long, fidx long, emb array<double>")
+    pairs = spark.createDataFrame([(1, i, j) for j in range(11) for i in range(j)], "doc long, i long, j long")
+    logits = m @ f.T
+    p = np.exp(logits - logits.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    got = M.attention_pair_features(pairs, mentions, frames, block=3).collect()
+    assert len(got) == 55
+    for r in got:
+        a, b = p[r["i"]], p[r["j"]]
+        for name, want in (("first", a.max()), ("second", b.max()), ("product", a.max() * b.max()), ("joint", (a * b).max())):
+            assert abs(r[name] - want) <= 1e-9 * want
+    rows = M.attention_rows(mentions, frames).collect()
+    assert len(rows) == 11 * 17 and all(abs(r["p"] - p[r["idx"], r["fidx"]]) < 1e-12 for r in rows)
+
+
+def test_whole_tables_are_numbered_over_several_tasks(spark):
+    from corefold.operators import order
+
+    names = [f"same-prefix-{i:05}" for i in range(20_000)]
+    draw = random.Random(1)
+    rows = [(n, draw.randrange(3), draw.choice(["hot"] * 8 + ["a", None])) for n in draw.sample(names, len(names))]
+    df = spark.createDataFrame(rows, "name string, v int, g string").repartition(6)
+    ids = order.number_by_range(df, ["name"], "id", start=5)
+    assert [r["id"] for r in ids.orderBy("name").collect()] == list(range(5, 20_005))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions would be put together
+    try:
+        assert order._in_ranges(df, ["name"]).select("_order_part").distinct().count() == 8
+        assert [r["id"] for r in order.number_by_range(df, ["name"], "id").orderBy("name").collect()] == list(range(20_000))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    inside = order.number_by_range(df, ["name"], "id", keys=["g"]).collect()
+    for g in ("hot", "a", None):
+        assert [r["id"] for r in sorted((r for r in inside if r["g"] == g), key=lambda r: r["name"])] == list(range(sum(x[2] == g for x in rows)))
+    sums = order.running_totals_by_range(df, ["name"], {"total": F.col("v")}).orderBy("name").collect()
+    total = 0
+    for r in sums:
+        total += r["v"]
+        assert r["total"] == total
+    assert order.number_by_range(df.limit(0), ["name"], "id").count() == 0
+    assert order.running_totals_by_range(df.limit(0), ["name"], {"total": F.col("v")}).count() == 0
