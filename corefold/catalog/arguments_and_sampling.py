@@ -253,10 +253,14 @@ def _(t):
 
 @query(
     "em35_sample_negative_pairs",
-    """WITH s AS (SELECT doc, type, CASE WHEN sum(n) > 1 THEN sum(CASE WHEN cluster <> 0 THEN n * (n - 1) ELSE 0 END) / (sum(n) * (sum(n) - 1)) ELSE 0 END AS share FROM (
-         SELECT doc, type, cluster, count(*) AS n FROM mentions GROUP BY ALL) GROUP BY ALL),
-       p AS (SELECT a.doc, a.idx AS i, b.idx AS j, (a.cluster = b.cluster AND a.cluster <> 0)::BIGINT AS y, s.share FROM mentions a JOIN mentions b ON a.doc = b.doc AND a.type = b.type AND a.idx < b.idx JOIN s ON s.doc = a.doc AND s.type = a.type)
-       SELECT doc, i, j, y FROM p WHERE y = 1 OR (('0x' || substr(md5(doc || '|' || i || '|' || j || '|1234'), 1, 8))::BIGINT + 0.5) / 4294967296 < share * 20""",
+    f"""WITH s AS (SELECT doc, type, 1 / least(1, 20 * sum(CASE WHEN cluster <> 0 THEN n * (n - 1) ELSE 0 END) / (sum(n) * (sum(n) - 1))::DOUBLE) AS w FROM (
+         SELECT doc, type, cluster, count(*) AS n FROM mentions GROUP BY ALL) GROUP BY doc, type HAVING sum(CASE WHEN cluster <> 0 THEN n * (n - 1) ELSE 0 END) > 0),
+       m AS (SELECT m.doc, m.type, m.idx, m.cluster, s.w, row_number() OVER (PARTITION BY m.doc, m.type ORDER BY idx) - 1 AS r FROM mentions m JOIN s ON s.doc = m.doc AND s.type = m.type),
+       g AS (SELECT doc, type, w, floor((k + {_uniform('doc', 'type', 'k', "'1234'")}) * w)::BIGINT AS number FROM (
+         SELECT doc, type, w, unnest(generate_series(0, floor((n * (n - 1) // 2) / w)::BIGINT)) AS k FROM (SELECT doc, type, w, count(*) AS n FROM m GROUP BY ALL) WHERE n > 1)),
+       p AS (SELECT a.doc, a.idx AS i, b.idx AS j, a.cluster = b.cluster AND a.cluster <> 0 AS y, a.w, EXISTS (SELECT 1 FROM g WHERE g.doc = a.doc AND g.type = a.type AND g.number = b.r * (b.r - 1) // 2 + a.r) AS drawn
+         FROM m a JOIN m b ON a.doc = b.doc AND a.type = b.type AND a.idx < b.idx)
+       SELECT doc, i, j, y::BIGINT AS y, round(CASE WHEN y THEN 1 ELSE w END, 6) AS weight FROM p WHERE y OR drawn""",
 )
 def _(t):
-    return G.sample_negative_pairs(t.mentions(), ["doc", "type"])
+    return _rounded(G.sample_negative_pairs(t.mentions(), ["doc", "type"]))
