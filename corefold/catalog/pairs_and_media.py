@@ -260,6 +260,15 @@ def _(t):
     return M.argument_vectors(events, t.arguments(), t.vectors(), DIM).select("doc", "idx", *shape())
 
 
+@query(
+    "jon17_argument_slots",
+    f"""WITH a AS (SELECT a.doc, a.e_idx, v.emb, row_number() OVER (PARTITION BY a.doc, a.e_idx ORDER BY a.a_start) - 1 AS slot FROM arguments a JOIN vectors v ON a.doc = v.doc AND a.a_idx = v.idx)
+        SELECT doc, e_idx, slot, {SHAPE} FROM a""",
+)
+def _(t):
+    return M.argument_slots(t.arguments(), t.vectors()).select("doc", "e_idx", "slot", *shape())
+
+
 @query(
     "jon18_concat_features",
     f"SELECT doc, idx AS row, {SHAPE} FROM (SELECT v.doc, v.idx, v.emb || f.emb AS emb FROM vectors v JOIN frames f ON v.doc = f.doc AND v.idx = f.fidx)",
@@ -728,6 +737,11 @@ def _(t):
     "agg14_merge_segments_by_label",
     f"WITH {SEG_MEMBERS} SELECT doc, label, seg, fidx, row FROM (SELECT *, row_number() OVER (PARTITION BY doc, label ORDER BY seg, fidx) - 1 AS row FROM members) WHERE row < 30",
 )
+def _(t):
+    return M.merge_segments_by_label(_members(t), 30).select("doc", "label", "seg", "fidx", "row")
+
+
+@query("agg14_merge_segments_whole", f"WITH {SEG_MEMBERS} SELECT doc, label, seg, fidx, row_number() OVER (PARTITION BY doc, label ORDER BY seg, fidx) - 1 AS row FROM members")
 def _(t):
     return M.merge_segments_by_label(_members(t)).select("doc", "label", "seg", "fidx", "row")
 

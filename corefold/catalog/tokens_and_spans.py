@@ -435,6 +435,11 @@ def _(t):
     return S.span_token_map(t.mentions(), 2, 300)
 
 
+@query("prj39_span_token_map_whole", "SELECT m.doc, m.idx, (t.tid - m.m_start)::BIGINT AS off, t.tid FROM mentions m JOIN tokens t ON m.doc = t.doc AND t.tid BETWEEN m.m_start AND m.m_end")
+def _(t):
+    return S.span_token_map(t.mentions())
+
+
 @query(
     "prj40_event_argument_map",
     """WITH e AS (SELECT doc, idx, row_number() OVER (PARTITION BY doc ORDER BY m_start, idx) - 1 AS event_row FROM mentions WHERE kind = 'event'),
@@ -446,6 +451,16 @@ def _(t):
     return S.event_argument_map(t.arguments(), t.mentions(), 20, 3, 80)
 
 
+@query(
+    "prj40_event_argument_map_whole",
+    """WITH e AS (SELECT doc, idx, row_number() OVER (PARTITION BY doc ORDER BY m_start, idx) - 1 AS event_row FROM mentions WHERE kind = 'event'),
+       r AS (SELECT *, row_number() OVER (PARTITION BY doc, e_idx ORDER BY a_start, a_idx) - 1 AS role_no FROM arguments)
+       SELECT r.doc, e.event_row, r.role_no, r.a_idx, r.role FROM r JOIN e ON r.doc = e.doc AND r.e_idx = e.idx""",
+)
+def _(t):
+    return S.event_argument_map(t.arguments(), t.mentions())
+
+
 @query(
     "prj41_densify_roles",
     """WITH r AS (SELECT DISTINCT e_type, role FROM arguments), l AS (SELECT doc, e_idx, role, arg_max(a_lemma, a_start) AS v FROM arguments GROUP BY ALL)

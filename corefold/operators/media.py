@@ -134,14 +134,19 @@ def mention_vector_head(mentions: DataFrame, word_vectors: DataFrame, means: Dat
     )
 
 
+def argument_slots(arguments: DataFrame, vectors: DataFrame) -> DataFrame:
+    """doc, e_idx, slot, emb: the vectors of all arguments of each event, from slot 0."""
+    rank = Window.partitionBy("doc", "e_idx").orderBy("a_start", "a_idx")
+    placed = arguments.withColumn("slot", (F.row_number().over(rank) - 1).cast("long"))
+    return placed.join(vectors.select("doc", F.col("idx").alias("a_idx"), "emb"), ["doc", "a_idx"]).select("doc", "e_idx", "slot", "emb")
+
+
 def argument_vectors(events: DataFrame, arguments: DataFrame, vectors: DataFrame, dim: int, slots: int = 10) -> DataFrame:
     """The first ``slots`` argument vectors of each event, zero padded to a fixed
-    width: the layout of the feature files."""
-    rank = Window.partitionBy("doc", "e_idx").orderBy("a_start", "a_idx")
-    kept = arguments.withColumn("_n", F.row_number().over(rank)).filter(F.col("_n") <= slots)
+    width: the layout of the feature files. ``argument_slots`` has all of them."""
     parts = (
-        kept.join(vectors.select("doc", F.col("idx").alias("a_idx"), "emb"), ["doc", "a_idx"])
-        .groupBy("doc", "e_idx").agg(F.array_sort(F.collect_list(F.struct("_n", "emb"))).alias("_v"))
+        argument_slots(arguments, vectors).filter(F.col("slot") < slots)
+        .groupBy("doc", "e_idx").agg(F.array_sort(F.collect_list(F.struct("slot", "emb"))).alias("_v"))
     )
     flat = F.flatten(F.transform("_v", lambda s: s["emb"]))
     return (
@@ -174,19 +179,19 @@ def pool_segments(members: DataFrame, how: str, k: int = 4) -> DataFrame:
     return vector_mean(chunked, ["doc", "seg", "chunk"])
 
 
-def merge_segments_by_label(members: DataFrame, limit: int = 30) -> DataFrame:
-    """Frames of equal label in order of segment and frame, the first ``limit``
-    rows each: the fixed input length of the model. The rank runs in two steps,
-    per segment and then over what is left, so a frequent label is spread."""
+def merge_segments_by_label(members: DataFrame, limit: int | None = None) -> DataFrame:
+    """Frames of equal label in order of segment and frame, with their place; with a
+    ``limit`` only the first rows of each label, the input length of a model. The rank
+    runs in two steps, per segment and over the segments' sizes, so a frequent label is
+    spread."""
     own = Window.partitionBy("doc", "label", "seg").orderBy("fidx")
-    first = members.withColumn("_r", F.row_number().over(own)).filter(F.col("_r") <= limit).drop("_r")
+    first = members.withColumn("_r", F.row_number().over(own))
+    first = first if limit is None else first.filter(F.col("_r") <= limit)
     sizes = first.groupBy("doc", "label", "seg").agg(F.count("*").alias("_n"))
     before = order.running_total(sizes, ["doc", "label"], ["seg"], order.blocks_of(F.col("seg"), 4096), F.col("_n"), "_sofar")
-    return (
-        first.join(before.filter(F.col("_sofar") < limit).select("doc", "label", "seg", "_sofar"), ["doc", "label", "seg"])
-        .withColumn("row", F.row_number().over(own) + F.col("_sofar") - 1)
-        .filter(F.col("row") < limit).drop("_sofar")
-    )
+    before = before if limit is None else before.filter(F.col("_sofar") < limit)
+    placed = first.join(before.select("doc", "label", "seg", "_sofar"), ["doc", "label", "seg"]).withColumn("row", F.col("_r") + F.col("_sofar") - 1)
+    return (placed if limit is None else placed.filter(F.col("row") < limit)).drop("_sofar", "_r")
 
 
 def _matrix(column: pd.Series) -> np.ndarray:

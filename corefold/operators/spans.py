@@ -447,27 +447,30 @@ def mention_view(views: DataFrame, mentions: DataFrame, feature: str) -> DataFra
     )
 
 
-def span_token_map(mentions: DataFrame, width: int, max_token: int) -> DataFrame:
-    """Sparse (span, offset, token); width capped, spans past the limit dropped."""
-    return mentions.filter(F.col("m_end") <= max_token).select(
-        "doc", "idx",
-        F.posexplode(F.sequence("m_start", F.least("m_end", F.col("m_start") + width - 1))).alias("off", "tid"),
-    )
+def span_token_map(mentions: DataFrame, width: int | None = None, max_token: int | None = None) -> DataFrame:
+    """Sparse (span, offset, token). For a model of fixed size, spans are cut to
+    ``width`` tokens and those that reach past token ``max_token`` are dropped."""
+    kept = mentions if max_token is None else mentions.filter(F.col("m_end") <= max_token)
+    last = F.col("m_end") if width is None else F.least("m_end", F.col("m_start") + width - 1)
+    return kept.select("doc", "idx", F.posexplode(F.sequence("m_start", last)).alias("off", "tid"))
 
 
 def event_argument_map(
-    arguments: DataFrame, mentions: DataFrame, max_events: int, max_roles: int, max_mentions: int
+    arguments: DataFrame, mentions: DataFrame, max_events: int | None = None, max_roles: int | None = None, max_mentions: int | None = None
 ) -> DataFrame:
-    """Event row and role number -> mention index, within the model's fixed sizes."""
-    numbered = mentions.filter(F.col("idx") < max_mentions).select("doc", F.col("idx").alias("a_idx"))
+    """Event row and role number -> mention index; with limits, what lies within a
+    model's fixed sizes."""
+
+    def below(rows: DataFrame, column: str, limit: int | None) -> DataFrame:
+        return rows if limit is None else rows.filter(F.col(column) < limit)
+
+    numbered = below(mentions, "idx", max_mentions).select("doc", F.col("idx").alias("a_idx"))
     roles = Window.partitionBy("doc", "e_idx").orderBy("a_start", "a_idx")
     events = mentions.filter("kind = 'event'").select("doc", F.col("idx").alias("e_idx"), "m_start")
     ranked = order.number_rows(events, ["doc"], ["m_start", "e_idx"], order.blocks_of(F.col("m_start"), 65536), "event_row").drop("m_start")
     return (
-        arguments.withColumn("role_no", F.row_number().over(roles) - 1)
-        .filter(F.col("role_no") < max_roles)
-        .join(numbered, ["doc", "a_idx"])
-        .join(ranked.filter(F.col("event_row") < max_events), ["doc", "e_idx"])
+        below(arguments.withColumn("role_no", F.row_number().over(roles) - 1), "role_no", max_roles)
+        .join(numbered, ["doc", "a_idx"]).join(below(ranked, "event_row", max_events), ["doc", "e_idx"])
         .select("doc", "event_row", "role_no", "a_idx", "role")
     )
 

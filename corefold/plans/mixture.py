@@ -20,7 +20,6 @@ from corefold.operators import pairs as P
 from corefold.session import cut_lineage
 
 EPS = 1e-100
-MAX_CLUSTERS = 10_000
 
 
 def kmeans_centroids(vectors: DataFrame, k: int, seed: int = 1234, rounds: int = 20) -> list[list[float]]:
@@ -103,10 +102,9 @@ def _as_vector(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFr
     return packed.select(*keys, F.transform("_v", lambda s: s[value]).alias(out))
 
 
-def null_row(table: DataFrame) -> list[float]:
-    """P of the null word: the mean over the vocabulary, one number per cluster."""
-    rows = table.groupBy("k").agg(F.avg("p").alias("p")).orderBy("k").limit(MAX_CLUSTERS).collect()
-    return [r["p"] for r in rows]
+def null_row(table: DataFrame) -> DataFrame:
+    """k, p of the null word: the mean over the vocabulary."""
+    return table.groupBy("k").agg(F.avg("p").alias("p"))
 
 
 def mixture_align(words: DataFrame, posteriors: DataFrame, table: DataFrame) -> DataFrame:
@@ -115,8 +113,9 @@ def mixture_align(words: DataFrame, posteriors: DataFrame, table: DataFrame) ->
     the column, every mention counted. Scores that agree to nine digits tie, the
     first word wins. Blocks give one best word per frame."""
     spots = words.join(_as_vector(table, ["word"], "p", "vec"), "word").select("doc", F.col("first").alias("idx"), "n", "vec")
-    null = words.select("doc").distinct().select(
-        "doc", F.lit(-1).cast("long").alias("idx"), F.lit(1).cast("long").alias("n"), F.array(*map(F.lit, null_row(table))).alias("vec")
+    one = _as_vector(null_row(table).withColumn("_one", F.lit(0)), ["_one"], "p", "vec").select("vec")
+    null = words.select("doc").distinct().crossJoin(F.broadcast(one)).select(  # a single row
+        "doc", F.lit(-1).cast("long").alias("idx"), F.lit(1).cast("long").alias("n"), "vec"
     )
     frames = _as_vector(posteriors, ["doc", "fidx"], "p", "vec")
 
@@ -147,12 +146,12 @@ def doc_pair_vectors(words: DataFrame, posteriors: DataFrame, table: DataFrame)
     log of its best P(k | word), null included, and per video its frames per
     (most likely) cluster. Feed them to ranking.retrieve_topk."""
     best = words.join(table, "word").groupBy("doc", "k").agg(F.max("p").alias("_p"))
-    null = null_row(table)
-    floor = F.get(F.array(*map(F.lit, null)), F.col("k"))
-    logs = best.select("doc", "k", F.ln(F.greatest("_p", floor, F.lit(EPS))).alias("v"))
+    floor = null_row(table).select("k", F.col("p").alias("_floor"))
+    logs = best.join(floor, "k").select("doc", "k", F.ln(F.greatest("_p", "_floor", F.lit(EPS))).alias("v"))
     hard = posteriors.groupBy("doc", "fidx").agg(F.max(F.struct("p", (-F.col("k")).alias("_k"))).alias("_b"))
+    last = table.agg(F.coalesce(F.max("k"), F.lit(0))).first()[0]
     counts = hard.groupBy("doc", (-F.col("_b._k")).alias("k")).agg(F.count("*").cast("double").alias("v"))
-    slots = counts.select("doc").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(len(null) - 1))))
+    slots = counts.select("doc").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(last).cast("int"))))
     filled = slots.join(counts, ["doc", "k"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
     return _as_vector(logs, ["doc"], "v", "emb"), _as_vector(filled, ["doc"], "v", "emb")
 
