@@ -194,6 +194,15 @@ def test_word_encoder_equals_the_library():
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_word_encoder_splits_where_the_library_does():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, own = Tokenizer.from_file(path), token_files.Encoder(path)
+    blanks = [chr(c) for c in (*range(33), 0x7F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)]
+    texts = [f"one{b}two.{b}{b}3{b}!four" for b in blanks]
+    for text, ids in zip(texts, own.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_word_encoder_joins_marks_as_the_library_does():
     path = public_tokenizers.path("word_bpe_49k.json")
     plain, own = Tokenizer.from_file(path), token_files.Encoder(path)
