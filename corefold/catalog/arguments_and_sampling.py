@@ -215,7 +215,7 @@ def _(t):
 def _(t):
     mentions = cut_lineage(unit_vectors(t))
     pairs = cut_lineage(G.pair_rows(mentions, ["doc", "type"], "cluster"))
-    model = G.pair_classifier(pairs)
+    model = G.pair_classifier(cut_lineage(G.training_pairs(mentions, ["doc", "type"], "cluster")))
     return G.link_sweep(mentions.drop("emb"), G.score_pairs(model, pairs), FEATURES, feature_sizes(t), 0.5, 0.2, 0, 1234)
 
 
@@ -247,8 +247,10 @@ def _(t):
 
 @query("em34_pair_classifier")
 def _(t):
-    pairs = cut_lineage(G.pair_rows(unit_vectors(t), ["doc", "type"], "cluster"))
-    return G.score_pairs(G.pair_classifier(pairs), pairs).select("doc", "i", "j", "label", F.round("score", 4).alias("score"))
+    """Fitted on all positive and a weighted sample of the negative pairs, applied to all."""
+    mentions = cut_lineage(unit_vectors(t))
+    model = G.pair_classifier(cut_lineage(G.training_pairs(mentions, ["doc", "type"], "cluster")))
+    return G.score_pairs(model, G.pair_rows(mentions, ["doc", "type"], "cluster")).select("doc", "i", "j", "label", F.round("score", 4).alias("score"))
 
 
 @query(

@@ -240,3 +240,23 @@ def test_whole_tables_are_numbered_over_several_tasks(spark):
         assert r["total"] == total
     assert order.number_by_range(df.limit(0), ["name"], "id").count() == 0
     assert order.running_totals_by_range(df.limit(0), ["name"], {"total": F.col("v")}).count() == 0
+
+
+def test_sampled_pairs_have_the_expected_share_and_weights(spark):
+    draw = random.Random(2)
+    rows = [(d, i, 1 + draw.randrange(4) if draw.random() < 0.3 else 0) for d in range(12) for i in range(30)]
+    mentions = spark.createDataFrame(rows, "doc long, idx long, cluster long")
+    cluster = {(d, i): c for d, i, c in rows}
+    got = G.sample_negative_pairs(mentions, factor=3.0).collect()
+    assert len({(r["doc"], r["i"], r["j"]) for r in got}) == len(got) and all(r["i"] < r["j"] for r in got)
+    same = lambda d, i, j: cluster[d, i] != 0 and cluster[d, i] == cluster[d, j]
+    assert all(r["y"] == same(r["doc"], r["i"], r["j"]) for r in got)
+    all_pairs = [(d, i, j) for d in range(12) for j in range(30) for i in range(j)]
+    positives = [p for p in all_pairs if same(*p)]
+    all_pairs = [p for p in all_pairs if p[0] in {d for d, _, _ in positives}]  # no positives, no negatives
+    assert sum(r["y"] for r in got) == len(positives)
+    by_weight = sum(r["weight"] for r in got if not r["y"])
+    negatives = len(all_pairs) - len(positives)
+    assert abs(by_weight - negatives) < 0.1 * negatives and len(got) < 0.6 * len(all_pairs)
+    every = G.sample_negative_pairs(mentions, factor=1e9)
+    assert every.count() == len(all_pairs) and every.filter("weight <> 1").count() == 0
