@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from corefold.operators import pairs as P
+from corefold.operators import ranking as R
 from corefold.plans import translation as T
 
 
@@ -53,3 +54,24 @@ def test_semantic_matches_without_a_transfer_per_key(spark):
                     n, first = want.get((b[0], b[1], b[3], a[3], b[4] - a[4]), (0, 10**9))
                     want[(b[0], b[1], b[3], a[3], b[4] - a[4])] = (n + 1, min(first, a[1]))
     assert {(r.doc, r.j, r.tgt, r.src, r.dist): (r.n, r.first) for r in found.collect()} == want
+
+
+def test_retrieval_sends_rows_to_few_blocks(spark, monkeypatch):
+    draw = random.Random(5)
+    vectors = [[float(draw.randrange(-2, 3)) for _ in range(3)] for _ in range(150)]  # many ties
+    q = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "q long, emb array<double>")
+    g = spark.createDataFrame([(1000 + i, v) for i, v in enumerate(vectors[::-1])], "g long, emb array<double>")
+    sent = []
+    meet = R.meet
+    monkeypatch.setattr(R, "meet", lambda l, r, *rest: (sent.append((l.count(), r.count())), meet(l, r, *rest))[1])
+    monkeypatch.setattr(R, "SCORES_AT_ONCE", 20)
+    found = R.retrieve_topk(q, g, 4, block=2).collect()
+    assert max(sent[0]) <= 150 * R.FEW_BLOCKS
+    want = {}
+    for i, v in enumerate(vectors):
+        ranked = sorted((-float(np.dot(v, w)), 1000 + n) for n, w in enumerate(vectors[::-1]))[:4]
+        want[i] = [(g_, -s) for s, g_ in ranked]
+    got = {}
+    for r in sorted(found, key=lambda r: (r.q, r.rank)):
+        got.setdefault(r.q, []).append((r.g, r.score))
+    assert got == want
