@@ -709,14 +709,19 @@ SEG_MEMBERS = """members AS (SELECT s.doc, s.seg, s.label, f.fidx, f.emb, row_nu
     FROM (SELECT *, floor(t0 / duration * 100) AS f0, floor(t1 / duration * 100) AS f1 FROM segments) s JOIN frames f ON f.doc = s.doc AND f.frame BETWEEN s.f0 AND s.f1)"""
 
 
-def _members(t):
-    found = M.frames_in_segment(M.annotation_frames(t.segments()).select("doc", "seg", "f0", "f1", "label"), t.frames().drop("label"), "label")
+def _found(t, *columns):
+    frames = t.frames().select("doc", "fidx", "t", "frame", *columns)
+    return M.frames_in_segment(M.annotation_frames(t.segments()).select("doc", "seg", "f0", "f1", "label"), frames, "label")
+
+
+def _members(t, *columns):
+    found = _found(t, *columns)
     return order.number_rows(found, ["doc", "seg"], ["fidx"], order.blocks_of(F.col("fidx"), 65536), "pos")
 
 
 @query("agg13_pool_segments_mean", f"WITH {SEG_MEMBERS}, mm AS ({mean_sql('doc, seg', 'SELECT doc, seg, emb FROM members')}) SELECT doc, seg, {SHAPE} FROM mm")
 def _(t):
-    return M.pool_segments(_members(t), "mean").select("doc", "seg", *shape())
+    return M.pool_segments(_found(t), "mean", frames=t.frames()).select("doc", "seg", *shape())
 
 
 @query(
@@ -725,12 +730,12 @@ def _(t):
         c AS (SELECT doc, seg, pos // (greatest(n, 4) // 4) AS chunk, emb FROM fill WHERE pos < (greatest(n, 4) // 4) * 4), mm AS ({mean_sql('doc, seg, chunk', 'SELECT * FROM c')}) SELECT doc, seg, chunk, {SHAPE} FROM mm""",
 )
 def _(t):
-    return M.pool_segments(_members(t), "resample", 4).select("doc", "seg", "chunk", *shape())
+    return M.pool_segments(_members(t), "resample", 4, t.frames()).select("doc", "seg", "chunk", *shape())
 
 
 @query("agg13_pool_segments_concat", f"WITH {SEG_MEMBERS} SELECT doc, seg, fidx, row_number() OVER (PARTITION BY doc ORDER BY seg, pos) - 1 AS row FROM members")
 def _(t):
-    return M.pool_segments(_members(t).drop("emb"), "concat").select("doc", "seg", "fidx", "row")
+    return M.pool_segments(_members(t), "concat").select("doc", "seg", "fidx", "row")
 
 
 @query(
@@ -751,7 +756,7 @@ def _(t):
     f"""WITH {SEG_MEMBERS}, mm AS ({mean_sql('doc, seg', "SELECT doc, seg, emb FROM members WHERE label <> 'error'")}) SELECT doc, seg, {SHAPE} FROM mm""",
 )
 def _(t):
-    return M.vector_mean(_members(t).filter("label <> 'error'"), ["doc", "seg"]).select("doc", "seg", *shape())
+    return M.frame_means(_found(t).filter("label <> 'error'"), t.frames(), ["doc", "seg"]).select("doc", "seg", *shape())
 
 
 @query(

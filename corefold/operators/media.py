@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from corefold.functions import text as X
 from corefold.functions import vectors as V
 from corefold.operators import order
-from corefold.operators.pairs import BLOCK, block_scores
+from corefold.operators.pairs import BLOCK, block_scores, meet
 from corefold.session import cut_lineage
 
 
@@ -159,24 +159,85 @@ def concat_features(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("d
     return left.join(right.withColumnRenamed("emb", "_r"), list(keys)).withColumn("emb", F.concat("emb", "_r")).drop("_r")
 
 
-def pool_segments(members: DataFrame, how: str, k: int = 4) -> DataFrame:
-    """(doc, seg, pos, emb) -> one vector per segment.
+FRAME_BLOCK = 4096  # frames of a video that are pooled at a time
+
+
+def frame_means(members: DataFrame, frames: DataFrame, keys: Sequence[str], block: int = FRAME_BLOCK) -> DataFrame:
+    """Mean vector per ``keys`` (doc and whole numbers) of the frames (doc, fidx, emb)
+    that ``members`` (keys, fidx) name, one row per frame met; repeated frames count by
+    their mean.
+
+    Vectors are sent once, by video, and are pooled where they arrive. Only groups of
+    videos beyond ``block`` frames are pooled per block and put together by weight."""
+    keys = list(keys)
+    others = [k for k in keys if k != "doc"]
+    at_once = 1 << 16
+
+    def mean(l: pd.DataFrame, r: pd.DataFrame):
+        if l.empty or r.empty:
+            return {}
+        at, back, times = np.unique(r["fidx"].to_numpy(), return_inverse=True, return_counts=True)
+        vectors = np.stack(r["emb"].to_numpy())
+        if len(at) < len(r):
+            sums = np.zeros((len(at), vectors.shape[1]))
+            np.add.at(sums, back, vectors)
+            vectors = sums / times[:, None]
+        else:
+            vectors = vectors[np.argsort(back)]
+        place = np.minimum(np.searchsorted(at, l["fidx"].to_numpy()), len(at) - 1)
+        known = at[place] == l["fidx"].to_numpy()
+        place, groups = place[known], [l[c].to_numpy()[known] for c in others]
+        if not len(place):
+            return {}
+        by_group = np.lexsort(groups[::-1])
+        place, groups = place[by_group], [g[by_group] for g in groups]
+        change = np.zeros(len(place), dtype=bool)
+        change[0] = True
+        for g in groups:
+            change[1:] |= g[1:] != g[:-1]
+        starts = np.flatnonzero(change)
+        n = np.diff(starts, append=len(place))
+        means, first = [], 0
+        while first < len(starts):  # whole groups, about ``at_once`` rows at a time
+            last = max(first + 1, int(np.searchsorted(starts, starts[first] + at_once)))
+            end = starts[last] if last < len(starts) else len(place)
+            part = np.add.reduceat(vectors[place[starts[first] : end]], starts[first:last] - starts[first], axis=0)
+            means.extend(part / n[first:last, None])
+            first = last
+        return {"doc": l["doc"].to_numpy()[: len(starts)], **{c: g[starts] for c, g in zip(others, groups)}, "emb": means, "_n": n.astype(float)}
+
+    types = dict(members.select(*keys).dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in ["doc", *others]) + ", emb array<double>, _n double"
+    named, vectors = members.select(*keys, "fidx"), frames.select("doc", "fidx", "emb")
+    long = frames.filter(F.col("fidx") >= block).select("doc").distinct()
+    if long.isEmpty():
+        return meet(named, vectors, ["doc"], mean, schema).select(*keys, "emb")
+    short = meet(named.join(long, "doc", "left_anti"), vectors.join(long, "doc", "left_anti"), ["doc"], mean, schema)
+    cut = [side.join(long, "doc", "left_semi").withColumn("_b", order.blocks_of(F.col("fidx"), block)) for side in (named, vectors)]
+    parts = meet(*cut, ["doc", "_b"], mean, schema)
+    return short.select(*keys, "emb").unionByName(vector_mean(parts, keys, weight="_n"))
+
+
+def pool_segments(members: DataFrame, how: str, k: int = 4, frames: DataFrame | None = None) -> DataFrame:
+    """(doc, seg, pos, emb) -> one vector per segment. With ``frames`` (doc, fidx, emb)
+    the members name theirs by fidx and carry no vectors; a mean needs no pos then.
 
     mean: average. resample: the last frame repeats up to k frames, then the mean
     of k equal chunks (the rest is dropped). concat: rows in order, not pooled."""
+
+    def pooled(rows: DataFrame, *keys: str) -> DataFrame:
+        return vector_mean(rows, keys) if frames is None else frame_means(rows, frames, keys)
+
     if how == "mean":
-        return vector_mean(members, ["doc", "seg"])
+        return pooled(members, "doc", "seg")
     if how == "concat":
         return order.number_rows(members, ["doc"], ["seg", "pos"], order.blocks_of(F.col("seg"), 1024), "row")
     sizes = members.groupBy("doc", "seg").agg(F.count("*").alias("_n"), F.max("pos").alias("_last"))
-    sized = members.join(sizes, ["doc", "seg"])
-    fill = (
-        sized.filter((F.col("pos") == F.col("_last")) & (F.col("_n") < k))
-        .withColumn("pos", F.explode(F.sequence(F.col("_last") + 1, F.col("_last") + k - F.col("_n"))))
-    )
-    full = sized.unionByName(fill).withColumn("_w", F.floor(F.greatest("_n", F.lit(k)) / k)).filter(F.col("pos") < F.col("_w") * k)
-    chunked = full.withColumn("chunk", F.floor(F.col("pos") / F.col("_w")))
-    return vector_mean(chunked, ["doc", "seg", "chunk"])
+    short_end = (F.col("pos") == F.col("_last")) & (F.col("_n") < k)
+    places = F.when(short_end, F.sequence("pos", F.col("_last") + k - F.col("_n"))).otherwise(F.array("pos"))
+    full = members.join(sizes, ["doc", "seg"]).withColumn("pos", F.explode(places))
+    full = full.withColumn("_w", F.floor(F.greatest("_n", F.lit(k)) / k)).filter(F.col("pos") < F.col("_w") * k)
+    return pooled(full.withColumn("chunk", F.floor(F.col("pos") / F.col("_w"))), "doc", "seg", "chunk")
 
 
 def merge_segments_by_label(members: DataFrame, limit: int | None = None) -> DataFrame:

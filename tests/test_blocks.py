@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from corefold.operators import media as M
 from corefold.operators import pairs as P
 from corefold.operators import ranking as R
 from corefold.plans import translation as T
@@ -75,3 +76,24 @@ def test_retrieval_sends_rows_to_few_blocks(spark, monkeypatch):
     for r in sorted(found, key=lambda r: (r.q, r.rank)):
         got.setdefault(r.q, []).append((r.g, r.score))
     assert got == want
+
+
+def test_pooling_sends_vectors_once(spark):
+    draw = random.Random(6)
+    frames = spark.createDataFrame([(d, f, [draw.gauss(0, 1) for _ in range(3)]) for d in range(5) for f in range(23)], "doc long, fidx long, emb array<double>")
+    rows = []
+    for d in range(5):
+        for seg in range(9):
+            start, n = draw.randrange(18), draw.randrange(1, 12)
+            rows += [(d, seg, pos, f) for pos, f in enumerate(range(start, min(23, start + n)))]
+    named = spark.createDataFrame(rows, "doc long, seg long, pos long, fidx long")
+    whole = named.join(frames, ["doc", "fidx"])
+    for how, key in (("mean", lambda r: (r.doc, r.seg)), ("resample", lambda r: (r.doc, r.seg, r.chunk))):
+        want = {key(r): list(r.emb) for r in M.pool_segments(whole, how, 4).collect()}
+        found = M.pool_segments(named, how, 4, frames)
+        assert "MapInArrow" in _plan(found)
+        got = {key(r): list(r.emb) for r in found.collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    want = {(r.doc, r.seg): list(r.emb) for r in M.vector_mean(whole, ["doc", "seg"]).collect()}
+    split = {(r.doc, r.seg): list(r.emb) for r in M.frame_means(named, frames, ["doc", "seg"], block=10).collect()}
+    assert split.keys() == want.keys() and all(np.allclose(split[k], want[k]) for k in want)
