@@ -619,7 +619,7 @@ SIMILAR = f"""sim AS (SELECT doc, i, j, avg(best) AS sim FROM (SELECT a.doc, a.i
 
 def span_token_vectors(t):
     covered = S.covered_tokens(t.mentions(), "idx")
-    return covered.join(_token_vectors(t).select("doc", "tid", "emb"), ["doc", "tid"])
+    return covered.join(_token_vectors(t).select("doc", "tid", "emb").hint("merge"), ["doc", "tid"])  # mentions are many, their files small
 
 
 @query(
@@ -629,7 +629,7 @@ def span_token_vectors(t):
 def _(t):
     m = t.mentions().select("doc", "idx")
     near = m.select("doc", F.col("idx").alias("i"), F.explode(F.sequence(F.col("idx") + 1, F.col("idx") + 4)).alias("j"))
-    pairs = near.join(m.withColumnRenamed("idx", "j"), ["doc", "j"], "left_semi").select("doc", "i", "j")
+    pairs = near.join(m.withColumnRenamed("idx", "j").hint("merge"), ["doc", "j"], "left_semi").select("doc", "i", "j")
     null = m.select("doc", F.lit(-1).cast("long").alias("i"), F.col("idx").alias("j"))
     return M.max_abs_cosine_mean(pairs.unionByName(null), span_token_vectors(t)).withColumn("sim", six_digits("sim"))
 

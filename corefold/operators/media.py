@@ -377,17 +377,56 @@ def fuse_scores(trigger: Column, visual: Column | None, argument: Column, weight
     return total if visual is None else total + visual * weights[1]
 
 
-def max_abs_cosine_mean(pairs: DataFrame, token_vecs: DataFrame) -> DataFrame:
+def max_abs_cosine_mean(pairs: DataFrame, token_vecs: DataFrame, block: int = BLOCK) -> DataFrame:
     """Mean over the tokens of j of the best |cos| with the tokens of i; 1 for the
-    null candidate. ``token_vecs`` is (doc, idx, tid, emb)."""
-    units = token_vecs.withColumn("emb", V.unit(F.col("emb")))
-    a = units.select("doc", F.col("idx").alias("i"), F.col("emb").alias("_a"))
-    b = units.select("doc", F.col("idx").alias("j"), "tid", F.col("emb").alias("_b"))
-    real = (
-        pairs.filter("i >= 0").select("doc", "i", "j").join(a, ["doc", "i"]).join(b, ["doc", "j"])
-        .groupBy("doc", "i", "j", "tid").agg(F.max(F.abs(V.dot(F.col("_a"), F.col("_b")))).alias("_best"))
-        .groupBy("doc", "i", "j").agg(F.avg("_best").alias("sim"))
-    )
+    null candidate. ``token_vecs`` is (doc, idx, tid, emb).
+
+    The pairs meet their tokens by document, in pairs of blocks where a document is
+    longer than ``block``, so a vector is sent once per block pair and not per pair,
+    and no side is broadcast for what its files weigh."""
+    listed = pairs.filter("i >= 0 AND doc IS NOT NULL").select("doc", "i", "j")
+    vectors = token_vecs.filter("doc IS NOT NULL").select("doc", "idx", "tid", "emb")
+    at_once = 1 << 16
+
+    def best(l: pd.DataFrame, r: pd.DataFrame):
+        if l.empty or r.empty:
+            return {}
+        r = r.sort_values(["idx", "tid"])
+        idx, tid = r["idx"].to_numpy(), r["tid"].to_numpy()
+        units = np.stack(r["emb"].to_numpy())
+        units = units / np.maximum(np.sqrt((units * units).sum(axis=1, keepdims=True)), V.EPS)
+        ij = np.unique(l[["i", "j"]].to_numpy(), axis=0)
+        a, n_a = np.searchsorted(idx, ij[:, 0]), np.searchsorted(idx, ij[:, 0], "right") - np.searchsorted(idx, ij[:, 0])
+        b, n_b = np.searchsorted(idx, ij[:, 1]), np.searchsorted(idx, ij[:, 1], "right") - np.searchsorted(idx, ij[:, 1])
+        met = (n_a > 0) & (n_b > 0)
+        ij, a, n_a, b, n_b = ij[met], a[met], n_a[met], b[met], n_b[met]
+        upto, sims, first = np.cumsum(n_a * n_b), [], 0
+        while first < len(ij):  # whole pairs, about ``at_once`` products at a time
+            before = upto[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(upto, before + at_once)))
+            size = n_a[first:last] * n_b[first:last]
+            pair = np.repeat(np.arange(first, last), size)
+            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            left, right = a[pair] + place % n_a[pair], b[pair] + place // n_a[pair]
+            products = np.abs(np.einsum("ij,ij->i", units[left], units[right]))
+            change = np.ones(len(pair), dtype=bool)
+            change[1:] = (pair[1:] != pair[:-1]) | (tid[right[1:]] != tid[right[:-1]])
+            starts = np.flatnonzero(change)
+            top, of = np.maximum.reduceat(products, starts), pair[starts] - first
+            sims.append(np.bincount(of, weights=top) / np.bincount(of))
+            first = last
+        if not sims:
+            return {}
+        return {"doc": np.repeat(r["doc"].to_numpy()[:1], len(ij)), "i": ij[:, 0], "j": ij[:, 1], "sim": np.concatenate(sims)}
+
+    schema = f"doc {dict(pairs.dtypes)['doc']}, i long, j long, sim double"
+    if listed.filter((F.col("i") >= block) | (F.col("j") >= block)).isEmpty():
+        real = meet(listed, vectors, ["doc"], best, schema)
+    else:
+        listed = listed.withColumn("_lb", order.blocks_of(F.col("i"), block)).withColumn("_rb", order.blocks_of(F.col("j"), block))
+        reach = listed.select("doc", "_lb", "_rb").distinct().withColumn("_b", F.explode(F.array_distinct(F.array("_lb", "_rb"))))
+        near = vectors.withColumn("_b", order.blocks_of(F.col("idx"), block)).join(reach.hint("merge"), ["doc", "_b"])
+        real = meet(listed, near, ["doc", "_lb", "_rb"], best, schema)
     null = pairs.filter("i < 0").select("doc", "i", "j", F.lit(1.0).alias("sim"))
     return real.unionByName(null)
 

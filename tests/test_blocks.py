@@ -97,3 +97,29 @@ def test_pooling_sends_vectors_once(spark):
     want = {(r.doc, r.seg): list(r.emb) for r in M.vector_mean(whole, ["doc", "seg"]).collect()}
     split = {(r.doc, r.seg): list(r.emb) for r in M.frame_means(named, frames, ["doc", "seg"], block=10).collect()}
     assert split.keys() == want.keys() and all(np.allclose(split[k], want[k]) for k in want)
+
+
+def test_token_cosines_without_broadcast(spark):
+    draw = random.Random(7)
+    tokens = [(d, i, 10 * i + k, [draw.gauss(0, 1) for _ in range(3)]) for d in range(3) for i in range(12) for k in range(draw.randrange(3))]
+    tokens.append((*tokens[0][:3], [1.0, 0.0, 0.0]))  # a token with two vectors
+    pairs = [(d, i, j) for d in range(3) for i in range(-1, 12) for j in range(max(0, i + 1), 12)]
+    table, listed = spark.createDataFrame(tokens, "doc long, idx long, tid long, emb array<double>"), spark.createDataFrame(pairs, "doc long, i long, j long")
+    want = {}
+    for d, i, j in pairs:
+        if i < 0:
+            want[d, i, j] = 1.0
+            continue
+        top = {}
+        for e, b, t, v in tokens:
+            for e2, a, _, u in tokens:
+                if e == e2 == d and b == j and a == i:
+                    cos = abs(np.dot(u, v)) / (np.linalg.norm(u) * np.linalg.norm(v))
+                    top[t] = max(top.get(t, 0.0), cos)
+        if top:
+            want[d, i, j] = sum(top.values()) / len(top)
+    for block in (1024, 5):
+        found = M.max_abs_cosine_mean(listed, table, block)
+        assert "Broadcast" not in _plan(found)
+        got = {(r.doc, r.i, r.j): r.sim for r in found.collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
