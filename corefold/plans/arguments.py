@@ -45,16 +45,14 @@ def imputation_candidates(slots: DataFrame) -> DataFrame:
 def fit_imputer(slots: DataFrame, rounds: int) -> T.Fitted:
     roles = [r["role"] for r in slots.select("role").distinct().orderBy("role").collect()]  # one row per role of the ontology
     vocab = slots.select(F.countDistinct(F.coalesce("value", F.lit(X.NULL_TEXT)))).first()[0]
-    return T.fit(imputation_candidates(slots), {r: vocab for r in roles}, rounds)
+    return T.fit(imputation_candidates(slots), {r: vocab for r in roles}, rounds, own="src")
 
 
 def impute_arguments(model: T.Fitted) -> DataFrame:
     """doc, e_idx, role, value: the best-scoring value of every slot; ties go to
     the earliest event, then by name."""
-    scored = model.posterior()
-    best = F.min_by("tgt", F.struct(-F.round("w", 12), "first", "tgt"))
-    ranked = scored.groupBy("doc", "e_idx", "mode").agg(best.alias("value"))
-    return ranked.select("doc", "e_idx", F.col("mode").alias("role"), "value")
+    best = model.dealt.best(model.translation.withColumn("p", F.round("p", 12)))
+    return best.select("doc", F.split("j", ":", 2)[0].try_cast("long").alias("e_idx"), F.col("mode").alias("role"), F.col("tgt").alias("value"))
 
 
 def argument_conditional(arguments: DataFrame) -> DataFrame:
@@ -102,7 +100,7 @@ def joint_pipeline(entities: DataFrame, events: DataFrame, arguments: DataFrame,
     with one of the earlier event's, if that has any."""
     model = T.fit(T.text_candidates(entities, ["doc", "type"]), T.vocab_sizes(entities), rounds)
     rounded = model.translation.withColumn("p", F.round("p", 12))
-    links = T.predict_antecedents(model.candidates, rounded)
+    links = T.predict_antecedents(model.dealt, rounded)
     labels = K.roots_of_links(links).select("doc", F.col("idx").alias("a_idx"), F.col("root").alias("_c"))
     held = arguments.filter(F.col("entity_type") == checked_type).join(labels, ["doc", "a_idx"]).select("doc", "e_idx", "_c").distinct()
     pairs = P.mention_pairs(events, ["doc", "type"], ["lemma"])
@@ -116,4 +114,4 @@ def joint_pipeline(entities: DataFrame, events: DataFrame, arguments: DataFrame,
     admitted = pairs.join(refused, ["doc", "i", "j"], "left_anti")
     cand = T.candidates_from_pairs(admitted).unionByName(T.null_candidates(events))
     fitted = T.fit(cand, T.vocab_sizes(events), rounds)
-    return T.predict_antecedents(fitted.candidates, fitted.translation.withColumn("p", F.round("p", 12)))
+    return T.predict_antecedents(fitted.dealt, fitted.translation.withColumn("p", F.round("p", 12)))
