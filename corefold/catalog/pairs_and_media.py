@@ -12,6 +12,8 @@ from corefold.operators import media as M
 from corefold.operators import order
 from corefold.operators import pairs as P
 from corefold.operators import spans as S
+from corefold.plans.mixture import SENT
+from corefold.session import broadcast_if_small, written
 
 
 def shape(vector: str = "emb"):
@@ -223,9 +225,11 @@ def _(t):
         SELECT doc, piece, {SHAPE} FROM j""",
 )
 def _(t):
-    pieces = S.pieces_of_tokens(S.piece_alignment(t.tokens().withColumn("n_pieces", F.ceil(F.length("tok") / 4))))
+    pieces = S.pieces_of_tokens(S.piece_alignment(t.tokens().select("doc", "tid", "tok").withColumn("n_pieces", F.ceil(F.length("tok") / 4))), ["tok"])
+    pieces = written(pieces, "pieces")
     own = pieces.select("doc", "piece", F.array(F.col("piece").cast("double"), F.lit(1.0)).alias("emb"))
-    return M.piece_vectors(pieces, _token_vectors(t), own).select("doc", "piece", *shape())
+    words = written(M.token_vectors(t.tokens().select("tok").distinct(), _word_vectors(t), DIM), "word-vectors")
+    return M.piece_vectors(pieces, broadcast_if_small(words, SENT // DIM), own, ["tok"]).select("doc", "piece", *shape())
 
 
 MENTION_MEAN = "SELECT m.doc, m.idx, v.emb FROM mentions m JOIN token_v v ON m.doc = v.doc AND v.tid BETWEEN m.m_start AND m.m_end"
@@ -488,10 +492,11 @@ def _(t):
 def _(t):
     listed = t.arguments().groupBy("doc", F.col("e_idx").alias("idx")).agg(F.array_sort(F.collect_list(F.struct("a_start", "entity_type"))).alias("_a"))
     seen = t.log().select("doc").distinct().withColumn("_seen", F.lit(True))
-    events = t.mention_vectors().filter("kind = 'event'").join(listed, ["doc", "idx"], "left").join(seen, "doc", "left")
+    events = t.mention_vectors().filter("kind = 'event'").withColumn("total", six_digits(V.vsum(F.col("emb")))).drop("emb")
+    events = events.join(listed, ["doc", "idx"], "left").join(seen, "doc", "left")
     types = F.array_join(F.transform("_a", lambda a: a["entity_type"]), ",")
     return events.select(
-        "doc", "idx", "lemma", "number", "mtype", six_digits(V.vsum(F.col("emb"))).alias("total"),
+        "doc", "idx", "lemma", "number", "mtype", "total",
         F.coalesce(F.size("_a"), F.lit(0)).alias("n_arguments"), F.coalesce(types, F.lit("")).alias("argument_types"),
         (F.col("_seen").isNotNull() & (F.col("type") < 2)).alias("is_visual"),
     )

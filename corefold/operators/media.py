@@ -112,11 +112,12 @@ def token_vectors(tokens: DataFrame, word_vectors: DataFrame, dim: int) -> DataF
     )
 
 
-def piece_vectors(pieces: DataFrame, token_vecs: DataFrame, piece_vecs: DataFrame) -> DataFrame:
-    """Vector of each piece followed by the vector of its token."""
+def piece_vectors(pieces: DataFrame, token_vecs: DataFrame, piece_vecs: DataFrame, on: Sequence[str] = ("doc", "tid")) -> DataFrame:
+    """Vector of each piece followed by the vector of its token. Pieces that carry the
+    word find it in a table of words (``on``), which is sent once and not by token."""
     own = piece_vecs.select("doc", "piece", F.col("emb").alias("_p"))
-    word = token_vecs.select("doc", "tid", F.col("emb").alias("_t"))
-    return pieces.join(own, ["doc", "piece"]).join(word, ["doc", "tid"]).withColumn("emb", F.concat("_p", "_t")).drop("_p", "_t")
+    word = token_vecs.select(*on, F.col("emb").alias("_t"))
+    return pieces.join(own, ["doc", "piece"]).join(word, list(on)).withColumn("emb", F.concat("_p", "_t")).drop("_p", "_t")
 
 
 def mention_vector_mean(mentions: DataFrame, token_vecs: DataFrame) -> DataFrame:

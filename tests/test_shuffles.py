@@ -42,6 +42,25 @@ def test_arguments_meet_by_cells(spark, tmp_path):
     assert "cell#" in sent
 
 
+def test_argument_rows_are_dealt_by_event_once(spark):
+    arguments = spark.createDataFrame([("d", 0, a, a + 5, "r") for a in (1, 3, 5)] + [("d", 2, 1, 6, "r"), ("d", 4, 90, 9, "r")], "doc string, e_idx long, a_idx long, a_start long, role string")
+    mentions = spark.createDataFrame([("d", i, i + 5, "event" if i % 2 == 0 else "entity") for i in [*range(8), 90]], "doc string, idx long, m_start long, kind string")
+    got = S.event_argument_map(arguments, mentions, 2, 2, 80)
+    assert sorted((r["event_row"], r["role_no"], r["a_idx"]) for r in got.collect()) == [(0, 0, 1), (0, 1, 3), (1, 0, 1)]
+    plan = _plan(spark, lambda: S.event_argument_map(arguments, mentions, 2, 2, 80))
+    assert plan.count("Exchange hashpartitioning(doc") == 8
+
+
+def test_pieces_find_vectors_by_word(spark):
+    tokens = spark.createDataFrame([("d", 0, "ab", 1), ("d", 1, "cd", 2), ("d", 2, "", 0), ("e", 0, "ab", 1)], "doc string, tid long, tok string, n_pieces long")
+    pieces = S.pieces_of_tokens(S.piece_alignment(tokens), ["tok"])
+    own = pieces.select("doc", "piece", F.array(F.col("piece").cast("double")).alias("emb"))
+    vectors = spark.createDataFrame([("ab", [7.0, 8.0])], "word string, emb array<double>")
+    words = M.token_vectors(tokens.select("tok").distinct(), vectors, 2)
+    got = M.piece_vectors(pieces, words, own, ["tok"]).collect()
+    assert sorted((r["doc"], r["piece"], r["emb"]) for r in got) == [("d", 0, [0.0, 7.0, 8.0]), ("d", 1, [1.0, 0.0, 0.0]), ("d", 2, [2.0, 0.0, 0.0]), ("e", 0, [0.0, 7.0, 8.0])]
+
+
 def test_mention_vectors_need_no_second_reading(spark, tmp_path):
     spark.createDataFrame([(1, 0, "abcdefgh bcdefghi cdefghij"), (None, 0, "abcdefgh")], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     spark.createDataFrame([(i, [float(i)] * 2, i) for i in range(2)], "vec_id long, embedding array<double>, label long").write.parquet(f"{tmp_path}/embeddings.parquet")
