@@ -26,6 +26,17 @@ def _plan(spark, build) -> str:
             spark.conf.set(k, v)
 
 
+def test_pairs_send_a_row_once(spark):
+    rows = [("d", i, float(i)) for i in (0, 1, 2, 3, 4, 7, 7, 9)] + [("e", 5, 0.5), ("e", 6, 0.25), (None, 1, 0.0), (None, 2, 0.0)]
+    df = spark.createDataFrame(rows, "doc string, idx long, x double")
+    want = sorted((a[0], a[1], a[2], b[1], b[2]) for a, b in itertools.product(rows, rows) if a[0] and a[0] == b[0] and a[1] < b[1])
+    for block in (2, 3, 100):
+        got = P.mention_pairs(df, ["doc"], ["x"], block)
+        assert got.columns == ["doc", "i", "a_x", "j", "b_x"]
+        assert sorted((r["doc"], r["i"], r["a_x"], r["j"], r["b_x"]) for r in got.collect()) == want
+    assert "ReusedExchange" in _plan(spark, lambda: P.mention_pairs(df, ["doc"], ["x"]))
+
+
 def test_arguments_meet_by_cells(spark, tmp_path):
     words = ["abcdefgh", "bcdefghij", "no", "cdefghijkl", "defghijk"]
     text = " ".join(words[i * i % 5] for i in range(150))
