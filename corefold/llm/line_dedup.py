@@ -124,24 +124,28 @@ def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+def classes_of(lines: DataFrame) -> DataFrame:
+    """One row per class, written: h1, h2, first (occurrence) and line."""
+    first = F.min(F.struct("doc_id", "row", "place"))
+    return common.written(lines.groupBy(*_CLASS).agg(first.alias("first"), F.first("line").alias("line")), "line-classes")
+
+
+def links(lines: DataFrame, edits: int = EDITS, classes: DataFrame | None = None) -> DataFrame:
     """Pairs of classes within reach: h1, h2, g1, g2 with their first occurrences
-    (first, other_first)."""
+    (first, other_first). ``classes`` are those of the lines, where they are written already."""
     c = F.col
+    classes = classes_of(lines) if classes is None else classes
     own, other = segment_keys(edits=edits)
-    shaped = lines.select(*_CLASS, F.struct("doc_id", "row", "place").alias("at"), F.length("line").alias("size"), one_byte().alias("raw"))
-    shaped = shaped.select(*_CLASS, "at", "size", own.alias("own"), other.alias("other"))
-    unique = shaped.groupBy(*_CLASS).agg(F.min("at").alias("first"), F.first("size").alias("size"), F.first("own").alias("own"), F.first("other").alias("other"))
+    shaped = classes.select("h1", F.length("line").alias("size"), one_byte().alias("raw")).select("h1", "size", own.alias("own"), other.alias("other"))
     # One narrow row per key. The sign of ``mark`` tells segments from substrings, its value is the line's length.
-    keyed = unique.select("h1", "size", F.explode(F.concat(F.transform("own", lambda k: F.struct(k.alias("key"), F.lit(1).alias("sign"))), F.transform("other", lambda k: F.struct(k.alias("key"), F.lit(-1).alias("sign"))))).alias("k"))
+    keyed = shaped.select("h1", "size", F.explode(F.concat(F.transform("own", lambda k: F.struct(k.alias("key"), F.lit(1).alias("sign"))), F.transform("other", lambda k: F.struct(k.alias("key"), F.lit(-1).alias("sign"))))).alias("k"))
     keyed = keyed.select("h1", c("k.key").alias("key"), (c("size") * c("k.sign")).alias("mark"))
     # Keys of several classes, then their rows only: few lines share a segment.
     shared = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("mark").alias("top")).filter("low < high AND top > 0").select("key")
     shared = _small(common.written(shared, "line-keys"))
     met = common.written(keyed.join(shared, "key").distinct(), "line-meetings")
     wanted = _small(common.written(met.select("h1").distinct(), "line-candidates"))
-    texts = lines.join(wanted, "h1", "left_semi").groupBy(*_CLASS).agg(F.min(F.struct("doc_id", "row", "place")).alias("first"), F.first("line").alias("line"))
-    texts = common.written(texts.withColumn("counts", letter_counts()), "line-texts")
+    texts = common.written(classes.join(wanted, "h1", "left_semi").withColumn("counts", letter_counts()), "line-texts")
     sifted = met.join(texts.select("h1", "counts"), "h1")
     a, b = sifted.alias("a"), sifted.alias("b")
     longer = F.abs(c("b.mark")) - c("a.mark")  # out of range where a is no segment
@@ -155,12 +159,13 @@ def links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
 def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS) -> DataFrame:
     """One row per line of MIN_CHARS characters or more: doc_id, row, place, its
     class's first occurrence, n_links (classes linked with its class), kept."""
-    lines = lines_of(docs, key, text)
-    linked = links(lines, edits)
+    lines = common.written(lines_of(docs, key, text), "lines")
+    firsts = classes_of(lines)
+    linked = links(lines, edits, firsts)
     both = linked.unionByName(linked.select(F.col("g1").alias("h1"), F.col("g2").alias("h2"), F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("other_first").alias("first"), F.col("first").alias("other_first")))
     near = both.groupBy(*_CLASS).agg(F.count("*").alias("n_links"), F.min("other_first").alias("earliest"))
     places = lines.select("doc_id", "row", "place", *_CLASS)
-    classes = places.groupBy(*_CLASS).agg(F.min(F.struct("doc_id", "row", "place")).alias("first")).join(near, _CLASS, "left")
+    classes = firsts.select(*_CLASS, "first").join(near, _CLASS, "left")
     own = F.struct("doc_id", "row", "place")
     kept = (own == F.col("first")) & (F.col("earliest").isNull() | (F.col("first") < F.col("earliest")))
     return places.join(classes, _CLASS).select(

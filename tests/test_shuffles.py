@@ -101,3 +101,18 @@ def test_mention_vectors_need_no_second_reading(spark, tmp_path):
     found = t.mention_vectors()
     assert sorted((r["doc"], r["idx"], r["emb"][0]) for r in found.collect()) == [(1, 0, 0.0), (1, 1, 1.0), (1, 2, 0.0)]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_lines_are_cut_once(spark):
+    texts = ["a line of more than sixteen characters\nanother line, also long enough here", "a line of more than sixteen charakters\nshort", None]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string").mapInArrow(counted, "doc_id long, text string")
+    got = line_dedup.occurrences(docs).collect()
+    assert sorted((r["doc_id"], r["place"], r["n_links"], r["kept"]) for r in got) == [(0, 0, 1, True), (0, 1, 0, True), (1, 0, 1, False)]
+    assert seen.value == len(texts)
