@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from corefold.llm import common
 from corefold.plans.clusters import connected_components
-from corefold.session import cut_lineage
+from corefold.session import cut_lineage, packed
 
 PERMUTATIONS = 64
 BANDS = PERMUTATIONS // 2
@@ -183,11 +183,17 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return common.scan(both, run, "src bigint, dst bigint")
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """Checkpoint of narrow rows, read in few partitions where they are few."""
+    rows = cut_lineage(df)
+    return packed(rows, rows.count())
+
+
 def _open_buckets(members: DataFrame, joined: DataFrame) -> DataFrame:
     """bucket, node, n, component of the buckets that hold several components."""
     placed = members.join(joined, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
     apart = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("bucket")
-    return cut_lineage(placed.join(apart, "bucket"))
+    return _kept(placed.join(apart, "bucket"))
 
 
 def _may_link(percent: int) -> F.Column:
@@ -201,11 +207,11 @@ def _grow(joined: DataFrame, found: DataFrame) -> DataFrame:
     """node, component once the found links hold as well: only the components that
     they touch are walked again, as single nodes."""
     ends = found.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    known = cut_lineage(joined.unionByName(ends.join(joined, "node", "left_anti").select("node", F.col("node").alias("component"))))
+    known = _kept(joined.unionByName(ends.join(joined, "node", "left_anti").select("node", F.col("node").alias("component"))))
     left, right = (known.select(F.col("node").alias(n), F.col("component").alias(f"c_{n}")) for n in ("src", "dst"))
     edges = found.join(left, "src").join(right, "dst").filter("c_src <> c_dst").select(F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).distinct()
     top = connected_components(edges).select(F.col("node").alias("component"), F.col("component").alias("top"))
-    return cut_lineage(known.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component")))
+    return _kept(known.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component")))
 
 
 def components(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -221,7 +227,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "d
     members = common.written(buckets.join(firsts, "bucket").select("bucket", "node", "n", "first"), "members")
     sets = _sets(docs, members.select("node").distinct(), words, key, text)
     star = members.filter("node <> first").select(F.col("node").alias("src"), F.col("first").alias("dst")).distinct()
-    links = cut_lineage(_confirm(star, sets, percent))
+    links = _kept(_confirm(star, sets, percent))
     joined = connected_components(links)
 
     # Once more against the best linked member of each bucket that is still in parts.
@@ -230,7 +236,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "d
     hubs = placed.join(degree, "node", "left").groupBy("bucket").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("d"), "component", "node")).alias("hub"))
     hubs = hubs.select("bucket", F.col("hub.node").alias("dst"), F.col("hub.component").alias("c"))
     again = placed.join(hubs, "bucket").filter("component <> c").select(F.col("node").alias("src"), "dst").distinct()
-    joined = _grow(joined, cut_lineage(_confirm(again, sets, percent)))
+    joined = _grow(joined, _kept(_confirm(again, sets, percent)))
 
     placed = _open_buckets(members, joined)
     main = placed.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "component"))["component"].alias("main"))
@@ -247,7 +253,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "d
     once = (F.col("c_src") != F.col("c_dst")) & ((F.col("c_dst") == F.col("main")) | (F.col("src") < F.col("dst")))
     sizes = F.least("n_src", "n_dst") * 100 >= F.greatest("n_src", "n_dst") * percent
     rest = outside.join(others, "bucket").filter(once & sizes & _may_link(percent))
-    more = cut_lineage(_confirm(rest.select("src", "dst").distinct(), sets, percent))
+    more = _kept(_confirm(rest.select("src", "dst").distinct(), sets, percent))
     if not more.isEmpty():
         joined = _grow(joined, more)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corefold.operators import order
-from corefold.session import cut_lineage
+from corefold.session import BROADCAST_ROWS, cut_lineage, packed
 
 
 def roots_of_links(links: DataFrame) -> DataFrame:
@@ -67,22 +67,25 @@ def connected_components(edges: DataFrame) -> DataFrame:
     number of rounds grows with the logarithm of the component size."""
     pairs = edges.filter("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct()
     pairs = cut_lineage(pairs)
-    before = None
+    before, size = None, pairs.count()
     while True:
+        # Few edges lie in few partitions and stay where they are while the minima come to them.
+        pairs = packed(pairs, size)
+        near = F.broadcast if 2 * size <= BROADCAST_ROWS else (lambda rows: rows)
         both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        small_low = large.groupBy("a").agg(F.min("b").alias("m"))
-        with_low = large.join(small_low, "a")
+        large = both.filter("b > a").join(near(low), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        small_low = packed(large.groupBy("a").agg(F.min("b").alias("m")), size)
+        with_low = large.join(near(small_low), "a")
         small = (
             with_low.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
             .unionByName(small_low.select("a", F.col("m").alias("b"))).distinct()
         )
-        pairs = cut_lineage(small)
+        pairs = cut_lineage(packed(small, size))
         mark = pairs.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("decimal(20,0)")).alias("h")).first()
         if before == mark:
             break
-        before = mark
+        before, size = mark, mark["n"]
     inner = pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
     return nodes.join(inner, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

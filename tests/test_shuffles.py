@@ -116,3 +116,36 @@ def test_lines_are_cut_once(spark):
     got = line_dedup.occurrences(docs).collect()
     assert sorted((r["doc_id"], r["place"], r["n_links"], r["kept"]) for r in got) == [(0, 0, 1, True), (0, 1, 0, True), (1, 0, 1, False)]
     assert seen.value == len(texts)
+
+
+def test_near_duplicates_leave_texts_where_they_are(spark, tmp_path):
+    import corpus_pipeline
+
+    words = [" ".join(f"w{(i * j) % 31}x{i}" for j in range(1, 40)) for i in range(12)]
+    rows = [(i, t) for i, t in enumerate(words)] + [(3, words[3]), (20, words[4] + " more"), (None, words[5]), (21, None), (21, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    docs.write.parquet(f"{tmp_path}/docs")
+    found = corpus_pipeline.remove_near_duplicates(spark, spark.read.parquet(f"{tmp_path}/docs"), str(tmp_path))
+    assert sorted(r["doc_id"] for r in found.collect()) == [*range(12), 21]
+    # Only rows that are there twice are sent with their text; all others meet a small table.
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert len(joins) == 2 and all("BroadcastHashJoin" in line for line in joins)
+
+
+def test_rounds_of_few_edges_lie_in_few_partitions(spark, monkeypatch):
+    from corefold.plans import clusters as K
+
+    sizes, cut = [], K.cut_lineage
+    monkeypatch.setattr(K, "cut_lineage", lambda df: sizes.append((out := cut(df)).rdd.getNumPartitions()) or out)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(40, 50), (50, 60), (60, 40)], "src long, dst long")
+        found = {r["node"]: r["component"] for r in K.connected_components(edges).collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert found == {i: 0 for i in range(21)} | {40: 40, 50: 40, 60: 40}
+    assert len(sizes) > 2 and max(sizes[1:]) <= 8
