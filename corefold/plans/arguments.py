@@ -2,50 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corefold.functions import text as X
 from corefold.operators import pairs as P
 from corefold.plans import clusters as K
 from corefold.plans import translation as T
+from corefold.plans.dealt import unlisted
+from corefold.session import written
 
 EPS = 1e-100
 UNK_TEXT = "###UNK###"
+VALUES = 4096  # values of a document in one list, about
 
 
 def imputation_candidates(slots: DataFrame) -> DataFrame:
     """(doc, e_idx, role, trigger, value or null) -> candidates of each slot in the
-    layout of plans.translation: role as mode, trigger as src, argument as tgt.
+    layout of plans.translation: role as mode, trigger as src, argument as tgt."""
+    return unlisted(listed_candidates(slots))
+
+
+def listed_candidates(slots: DataFrame) -> DataFrame:
+    """The candidates of each slot as lists ``_c`` of (tgt, n, first).
 
     A known slot has its own value. A missing one has the known values of the other
-    events of its document, counted per value; with none it keeps NULL text."""
+    events of its document, counted per value; with none it keeps NULL text.
+
+    The values of a document travel as lists of VALUES at most and those of the own event
+    as a map, so that only what meets the slots is shuffled, not the candidates. ``_own`` is
+    the trigger that deals a slot."""
+    place = F.concat_ws(":", "e_idx", "role")
+    slots = slots.withColumn("_own", F.min("trigger").over(Window.partitionBy("doc", place)))
     known = slots.filter("value IS NOT NULL")
-    missing = slots.filter("value IS NULL").select("doc", "e_idx", "role", "trigger")
+    missing = slots.filter("value IS NULL").select("doc", "e_idx", "role", "trigger", "_own")
     own = known.groupBy("doc", "e_idx", "value").agg(F.count("*").alias("_own"))
     lowest = own.groupBy("doc", "value").agg(F.sum("_own").alias("_all"), F.min("e_idx").alias("_e1"))
     second = own.join(lowest, ["doc", "value"]).groupBy("doc", "value").agg(F.min(F.when(F.col("e_idx") > F.col("_e1"), F.col("e_idx"))).alias("_e2"))
     values = lowest.join(second, ["doc", "value"])
-    n = F.col("_all") - F.coalesce("_own", F.lit(0))
-    found = (
-        missing.join(values, "doc").join(own, ["doc", "e_idx", "value"], "left")
-        .withColumn("n", n.cast("double")).filter("n > 0")
-        .withColumn("first", F.when(F.col("_e1") == F.col("e_idx"), F.col("_e2")).otherwise(F.col("_e1")))
-        .select("doc", "e_idx", "role", "trigger", "value", "n", "first")
-    )
-    alone = missing.join(found.select("doc", "e_idx", "role").distinct(), ["doc", "e_idx", "role"], "left_anti")
-    fixed = known.select("doc", "e_idx", "role", "trigger", "value").unionByName(alone.withColumn("value", F.lit(X.NULL_TEXT)))
-    rows = found.unionByName(fixed.withColumn("n", F.lit(1.0)).withColumn("first", F.lit(-1).cast("long")))
+    sizes = values.groupBy("doc").agg(F.ceil(F.count("*") / VALUES).alias("_k"), F.sum("_all").alias("_total"))
+    lists = values.join(sizes.drop("_total"), "doc").groupBy("doc", F.pmod(F.xxhash64("value"), F.col("_k")).alias("_b"))
+    lists = lists.agg(F.collect_list(F.struct("value", "_all", "_e1", "_e2")).alias("_v"))
+    mine = own.groupBy("doc", "e_idx").agg(F.map_from_entries(F.collect_list(F.struct("value", "_own"))).alias("_m"), F.sum("_own").alias("_mine"))
+    placed = missing.join(mine, ["doc", "e_idx"], "left")
+    here = lambda column: F.coalesce(column, F.lit(0))
+    first = lambda v: F.when(v["_e1"] == F.col("e_idx"), v["_e2"]).otherwise(v["_e1"])
+    n = lambda v: (v["_all"] - here(F.try_element_at("_m", v["value"]))).cast("double")
+    each = F.filter(F.transform("_v", lambda v: F.struct(v["value"].alias("tgt"), n(v).alias("n"), first(v).alias("first"))), lambda c: c["n"] > 0)
+    slot = ["doc", "e_idx", "role", "trigger", "_own"]
+    found = placed.join(lists, "doc").select(*slot, each.alias("_c")).filter(F.size("_c") > 0)
+    alone = placed.join(sizes.drop("_k"), "doc", "left").filter(here(F.col("_total")) <= here(F.col("_mine")))
+    one = lambda value: F.array(F.struct(value.alias("tgt"), F.lit(1.0).alias("n"), F.lit(-1).cast("long").alias("first"))).alias("_c")
+    rows = found.unionByName(known.select(*slot, one(F.col("value")))).unionByName(alone.select(*slot, one(F.lit(X.NULL_TEXT))))
     return rows.select(
-        F.col("role").alias("mode"), "doc", F.concat_ws(":", "e_idx", "role").alias("j"), F.col("value").alias("tgt"), F.col("trigger").alias("src"),
-        F.lit(0).cast("long").alias("dist"), "n", "first", F.lit(True).alias("open"), "e_idx",
+        F.col("role").alias("mode"), "doc", place.alias("j"), F.col("trigger").alias("src"), F.lit(0).cast("long").alias("dist"),
+        F.lit(True).alias("open"), "e_idx", "_own", "_c",
     )
 
 
 def fit_imputer(slots: DataFrame, rounds: int) -> T.Fitted:
     roles = [r["role"] for r in slots.select("role").distinct().orderBy("role").collect()]  # one row per role of the ontology
     vocab = slots.select(F.countDistinct(F.coalesce("value", F.lit(X.NULL_TEXT)))).first()[0]
-    return T.fit(imputation_candidates(slots), {r: vocab for r in roles}, rounds, own="src")
+    return T.fit(listed_candidates(written(slots, "slots")), {r: vocab for r in roles}, rounds, own="src")
 
 
 def impute_arguments(model: T.Fitted) -> DataFrame:

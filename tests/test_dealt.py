@@ -134,3 +134,29 @@ def test_products_of_frames_are_summed_by_document(spark):
         assert found[d]["_mass"] == pytest.approx([sum(at[d, f, k] for f in range(7)) for k in range(3)])
         for a in range(3):
             assert found[d]["_gram"][a] == pytest.approx([sum(at[d, f, a] * at[d, f, b] for f in range(7)) for b in range(3)])
+
+
+def test_imputer_makes_candidates_without_moving_them(spark, monkeypatch):
+    import collections
+
+    monkeypatch.setattr(A, "VALUES", 2, raising=False)
+    rng = random.Random(8)
+    rows = [(d, e, r, f"t{e % 3}", None if rng.random() < 0.5 else f"v{rng.randrange(5)}") for d in range(5) for e in range(7) for r in "ABC"]
+    rows += [(9, 0, "A", "t0", None), (9, 0, "B", "t0", "v1"), (10, 0, "A", "t1", None), (10, 0, "A", "t1", None), (10, 4, "B", "t1", "v3"), (None, 1, "A", "t1", None), (None, 2, "A", "t1", "v1")]
+    found = A.imputation_candidates(spark.createDataFrame(rows, "doc long, e_idx long, role string, trigger string, value string"))
+    want = collections.Counter()
+    for d, e, r, t, v in rows:
+        others = [] if v is not None else [(w, f) for x, f, _, _, w in rows if w is not None and x == d and d is not None and f != e]
+        for w in {w for w, _ in others}:
+            want[d, f"{e}:{r}", w, t, float(sum(w == x for x, _ in others)), min(f for x, f in others if x == w)] += 1
+        if not others:
+            want[d, f"{e}:{r}", v or "###NULL###", t, 1.0, -1] += 1
+    assert collections.Counter((r["doc"], r["j"], r["tgt"], r["src"], r["n"], r["first"]) for r in found.collect()) == want
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(lines) if "Generate explode" in line)
+    depth, above = len(lines[at]) - len(lines[at].lstrip(" :+-")), []
+    for line in reversed(lines[:at]):  # what the candidates pass through
+        here = len(line) - len(line.lstrip(" :+-"))
+        if here < depth:
+            depth, above = here, [*above, line.lstrip(" :+-")]
+    assert above and not any(line.startswith(("Join", "Aggregate", "Window")) for line in above)
